@@ -73,25 +73,23 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFram
 
 
 def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], group: str | None = None) -> DataFrame:
-    """Exclusive running sums over the whole table in the order of ``order``, without gathering rows in one task.
+    """Exclusive running sums in the order of ``order``, without gathering rows in one task.
 
-    ``sums`` maps new column -> summed column. Rows are dealt by range of ``order``, each partition keeps its own
-    running sums, and the totals of the partitions (one row for each partition and value of ``group``, so bounded by
-    the number of partitions plus the number of groups) are summed and added. With ``group`` (the first of ``order``)
-    sums restart at each of its values. The table is written first, so every later read sees the same partitions.
+    ``sums`` maps new column -> summed column; with ``group`` (non-null, first of ``order``) they restart at each of
+    its values. Rows are dealt by range of ``order`` and written, so every later read sees the same partitions; each
+    partition keeps its own running sums; the totals of the partitions are summed and added. Only the group that a
+    partition starts in the middle of needs an offset, so no more offsets than partitions are broadcast.
+    Rows that tie in ``order`` are put in an arbitrary order, which holds throughout the result.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "dealt")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*order, "_tie"]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
+    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "dealt")
     keys = ["_part"] + ([group] if group else [])
     totals = dealt.groupBy(*keys).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
     before = (Window.partitionBy(group) if group else Window).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))])
-    on = F.col("d._part") == F.col("o._part")
-    if group:
-        on = on & F.col(f"d.{group}").eqNullSafe(F.col(f"o.{group}"))
-    # one offset for each partition, and one more for each value of group: a proven bound
-    joined = dealt.alias("d").join(F.broadcast(offsets.alias("o")), on)
-    w = Window.partitionBy(*[F.col(f"d.{k}") for k in keys]).orderBy(*[F.col(f"d.{c}") for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    local = [(F.coalesce(F.sum(F.col(f"d.{c}")).over(w), F.lit(0)) + F.col(f"o._o{i}")).alias(out) for i, (out, c) in enumerate(sums.items())]
-    return joined.select(*[F.col(f"d.{c}") for c in df.columns], *local)
+    offsets = totals.select(*keys, *[F.sum(f"_t{i}").over(before).alias(f"_o{i}") for i in range(len(sums))]).filter("_o0 IS NOT NULL")
+    w = Window.partitionBy(*keys).orderBy(*order[1 if group else 0 :]).rowsBetween(Window.unboundedPreceding, -1)
+    local = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_l{i}") for i, c in enumerate(sums.values())]
+    joined = dealt.select("*", *local).join(F.broadcast(offsets), keys, "left")
+    return joined.select(*df.columns, *[(F.col(f"_l{i}") + F.coalesce(f"_o{i}", F.lit(0))).alias(out) for i, out in enumerate(sums)])
