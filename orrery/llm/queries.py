@@ -53,6 +53,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import neighbours
+
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours(rows, rows.filter("vec_id % 50 = 0"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
