@@ -1,12 +1,14 @@
 """SimHash near-duplicate groups by vantage-point trees.
 
 Fingerprints that differ in at most ``radius`` bits are linked, and documents reachable through links form a
-component. Distinct fingerprints are dealt to shards by a vantage-point tree that is fitted on a bounded sample:
-a node sends a fingerprint left when its Hamming distance to the node's vantage point is at most the node's
-threshold. By the triangle bound a fingerprint can have partners on the other side only if that distance lies within
-``radius`` of the threshold, so exactly those also visit the boundary-overlapping shards. Every shard repeats this in
-memory down to small buckets, compares those bit by bit, and returns a spanning forest of its links instead of its
-pairs, so a group of g fingerprints costs g rows. Stars of the forests are then joined by alternating min-label
+component. Distinct fingerprints are dealt to shards by vantage-point trees that are fitted on a bounded sample: a
+node sends a fingerprint left when its Hamming distance to the node's vantage point is at most the node's threshold.
+By the triangle bound a fingerprint can have partners on the other side only if that distance lies within the radius
+of the threshold, so exactly those also visit the boundary-overlapping shards. Two fingerprints that differ in at most
+r bits differ in at most r // 2 in one of their halves, so there is a tree over either half with that smaller radius:
+far fewer lie that close to a threshold. Every shard repeats this in memory down to small buckets, compares whole
+fingerprints there, and returns a spanning forest of its links instead of its pairs, so a group of g fingerprints
+costs g rows. Stars of the forests are then joined by alternating min-label
 rounds over tables in the shared folder.
 """
 
@@ -59,6 +61,10 @@ def distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))  # of a signed number it would count the absolute value's bits
 
 
+def half(fps: np.ndarray, tree: int) -> np.ndarray:
+    return (fps >> np.int64(32 * tree)) & np.int64(0xFFFFFFFF)
+
+
 def grow(sample: np.ndarray, leaves: int) -> list[tuple[int, int, int, int]]:
     """Vantage-point tree over a sample: nodes (vantage, threshold, left, right); a child below 0 is leaf ~child."""
     nodes: list = []
@@ -133,30 +139,36 @@ class Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def link_shard(homes: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links within homes and between homes and visitors, as a spanning forest: (fingerprint, root) of non-roots."""
+def link_shard(homes: np.ndarray, visitors: np.ndarray, radius: int, tree: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All links within homes and between homes and visitors, as a spanning forest: (fingerprint, root) of non-roots.
+
+    Splits by halves as the trees do; where many share a half, by whole fingerprints with the whole radius.
+    """
     every = np.concatenate([homes, visitors])
-    forest = Forest(len(every))
-    todo = [(np.arange(len(homes)), np.arange(len(homes), len(every)), 0)]
+    forest, halves = Forest(len(every)), half(every, tree)
+    todo = [(np.arange(len(homes)), np.arange(len(homes), len(every)), 0, True)]
     while todo:
-        h, q, depth = todo.pop()
+        h, q, depth, by_half = todo.pop()
         if not len(h):
             continue
-        x = every[h]
-        if len(h) > BUCKET and depth < 24:
-            v = x[(depth * 7919) % len(x)]
-            d = distance(x, v).astype(np.int64)
-            mu = min(int(np.median(d)), int(d.max()) - 1)
-            if d.min() <= mu:
-                e = distance(every[q], v).astype(np.int64)
+        if len(h) > BUCKET and depth < 40:
+            x, r = (halves, radius // 2) if by_half else (every, radius)
+            v = x[h[(depth * 7919) % len(h)]]
+            d = distance(x[h], v).astype(np.int64)
+            if d.min() == d.max() and by_half:
+                todo.append((h, q, depth + 1, False))
+                continue
+            if d.min() < d.max():
+                mu = min(int(np.median(d)), int(d.max()) - 1)
+                e = distance(x[q], v).astype(np.int64)
                 near = d <= mu
-                todo.append((h[near], q[e <= mu + radius], depth + 1))
-                todo.append((h[~near], np.concatenate([h[near & (d > mu - radius)], q[e > mu - radius]]), depth + 1))
+                todo.append((h[near], q[e <= mu + r], depth + 1, by_half))
+                todo.append((h[~near], np.concatenate([h[near & (d > mu - r)], q[e > mu - r]]), depth + 1, by_half))
                 continue
         both = np.concatenate([h, q])
         for i in range(0, len(both), 2048):
             y = both[i : i + 2048]
-            a, b = np.nonzero(distance(every[y][:, None], x[None, :]) <= radius)
+            a, b = np.nonzero(distance(every[y][:, None], every[h][None, :]) <= radius)
             forest.link(y[a], h[b])
     root = forest.roots(np.arange(len(every)))
     moved = root != np.arange(len(every))
@@ -193,23 +205,25 @@ def fingerprint_components(distinct: DataFrame, radius: int = 3) -> DataFrame:
     n = distinct.count()
     leaves = max(1, min(MOST_SHARDS, n // SHARD))
     picked = distinct.select("fp", F.xxhash64("fp").alias("h")).orderBy("h", "fp").limit(leaves * SAMPLE if leaves > 1 else 0)
-    nodes = grow(np.array([r.fp for r in picked.collect()], np.int64), leaves)
+    sample = np.array([r.fp for r in picked.collect()], np.int64)
+    trees = [grow(half(sample, t), leaves) if leaves > 1 else [] for t in (0, 1)]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = b.fp.to_numpy(np.int64)
-            for i in range(0, len(fps), 2048):
-                row, leaf, home = route(nodes, fps[i : i + 2048], radius)
-                yield pd.DataFrame({"leaf": leaf, "fp": fps[i : i + 2048][row], "home": home})
+            for t, nodes in enumerate(trees):
+                row, leaf, home = route(nodes, half(fps, t), radius // 2)
+                yield pd.DataFrame({"tree": t, "leaf": leaf, "fp": fps[row], "home": home})
 
     def shard(b: pd.DataFrame) -> pd.DataFrame:
         home = b.home.to_numpy(bool)
         fps = b.fp.to_numpy(np.int64)
-        u, v = link_shard(fps[home], fps[~home], radius)
+        u, v = link_shard(fps[home], fps[~home], radius, int(b.tree.iloc[0]))
         return pd.DataFrame({"u": u, "v": v})
 
-    dealt = distinct.select("fp").mapInPandas(deal, "leaf long, fp long, home boolean")
-    return stars(dealt.groupBy("leaf").applyInPandas(shard, "u long, v long")).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    dealt = distinct.select("fp").mapInPandas(deal, "tree int, leaf long, fp long, home boolean")
+    dealt = dealt.groupBy("tree", "leaf").applyInPandas(shard, "u long, v long")
+    return stars(dealt).select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
