@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, wherever a contract counts or shingles words.
@@ -93,3 +93,16 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], group: st
     local = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_l{i}") for i, c in enumerate(sums.values())]
     joined = dealt.select("*", *local).join(F.broadcast(offsets), keys, "left")
     return joined.select(*df.columns, *[(F.col(f"_l{i}") + F.coalesce(f"_o{i}", F.lit(0))).alias(out) for i, out in enumerate(sums)])
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A non-null key of a row, the same for repeated rows only; smaller ids come first, null ids last."""
+    return F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever columns came along."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

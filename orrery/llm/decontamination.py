@@ -19,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key, spare
 
 #: Words of a shingle, least similarity, bits of the Hamming radius (at a similarity of 0.8 about 10 of 64 bits
-#: differ, give or take 3), item shingles of one pass (larger benchmarks take several passes; bounds what is
-#: broadcast), and rows of a verdict that may be broadcast (beyond, the join shuffles).
-SHINGLE, SIMILARITY, RADIUS, PASS, BROADCAST = 5, 0.8, 20, 100_000, 1_000_000
+#: differ, give or take 3), and item shingles of one pass (larger benchmarks take several passes; this bounds what is
+#: broadcast).
+SHINGLE, SIMILARITY, RADIUS, PASS = 5, 0.8, 20, 100_000
 
 
 def words(text: Column) -> Column:
@@ -146,9 +146,7 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item; columns as they are."""
-    key = F.xxhash64(F.col("text"), F.length("text"))
-    texts = docs.select(F.struct(key.alias("k")).alias("_key"), "text")
-    bad = materialize(contaminated(texts, benchmark, similarity, radius, id_col="_key").select("doc_id.k").distinct(), "contaminated")
-    if bad.count() <= BROADCAST:
-        bad = F.broadcast(bad)
-    return docs.withColumn("_key_", key).join(bad.withColumnRenamed("k", "_key_"), "_key_", "left_anti").select(*docs.columns)
+    key = spare(docs, "_key")
+    texts = docs.select(row_key().alias("doc_id"), "text")
+    bad = materialize(contaminated(texts, benchmark, similarity, radius).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lookup, materialize, prefix_sums
+from .common import WORD, lookup, materialize, prefix_sums, row_key, spare
 
 #: Expected copies and offsets are whole numbers of 1/ONE, so that running sums are exact.
 ONE = 1 << 24
@@ -64,3 +64,21 @@ def mix(
     out = lookup(laid.select("doc_id", "size", "key", "_row"), sources, "key", "n")
     out = out.withColumn("copies", F.expr(f"(_start + (_row + 1) * _step) div {ONE} - (_start + _row * _step) div {ONE}"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as it is taken; columns as they are.
+
+    Of rows that repeat in id and text one stands for all, with the copies of all.
+    """
+    key, n = spare(docs, "_key"), spare(docs, "_copies")
+    taken = mix(docs.select(row_key().alias("doc_id"), "text", "source"), weights, share, cap, seed)
+    taken = taken.filter("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias("rows"))
+    taken = materialize(taken, "taken")
+    keyed = docs.withColumn(key, row_key())
+    out = keyed.join(taken.filter("rows = 1").drop("rows"), key)
+    repeated = taken.filter("rows > 1").drop("rows")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(repeated, key).dropDuplicates([key]))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))).alias(spare(docs, "_copy"))
+    return out.select(*docs.columns, copies).select(*docs.columns)

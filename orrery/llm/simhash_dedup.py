@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, materialize, small_batches
+from .common import discard, lookup, materialize, row_key, small_batches, spare
 
 #: Homes in a shard, about; the sample holds SAMPLE fingerprints for each shard, and there are MOST_SHARDS at most
 #: (beyond, shards grow and their in-memory trees get deeper).
@@ -242,3 +242,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = materialize(lookup(rooted, groups, "root", "fps").select("fp", "component_id", "n"), "components")
     out = lookup(rows, by_fp, "fp", "n")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component, that of the smallest id (null ids last); columns as they are."""
+    key = spare(docs, "_key")
+    texts = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    groups = materialize(near_duplicates(texts, shingle=shingle, radius=radius), "groups")
+    firsts = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    firsts = materialize(firsts, "firsts")
+    kept = docs.withColumn(key, row_key(id_col, text_col)).join(firsts.filter("n = 1").select(key), key, "left_semi")
+    repeated = firsts.filter("n > 1").select(key)
+    if not repeated.isEmpty():
+        kept = kept.unionByName(docs.withColumn(key, row_key(id_col, text_col)).join(repeated, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, spare
 
 #: Training takes at most SAMPLE labelled documents of each label (by hash of id) and CHARS characters of each, and
 #: keeps FEATURES features. A document is predicted toxic from THRESHOLD on, a sentence is offending from half on.
@@ -122,8 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(sorted((r._t, int(r._y)) for r in rows))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with struct ``_tox`` (score, offending) added; whole texts, null as empty."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", out_col: str = "_tox") -> DataFrame:
+    """``docs`` with struct ``out_col`` (score, offending) added; whole texts, null as empty."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
 
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in texts:
             yield pd.DataFrame([m.score(t) for t in batch], columns=["score", "offending"])
 
-    return docs.withColumn("_tox", run(F.col(text_col)))
+    return docs.withColumn(out_col, run(F.col(text_col)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,3 +148,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     out = score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), model, "doc_id", "_text")
     out = out.select("doc_id", fold(F.col("doc_id")).alias("held_out"), F.col("_tox.score").alias("score"), F.col("_tox.offending").alias("offending"))
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "offending")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic; columns as they are."""
+    kept = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, at := spare(docs, "_tox"))
+    return kept.filter(F.col(f"{at}.score") < THRESHOLD).select(*docs.columns)
