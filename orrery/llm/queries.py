@@ -60,9 +60,44 @@ def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(rows, rows.filter("vec_id % 50 = 0"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    return drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup as d
+    from . import mixing as m
+
+    weigh = "CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END"
+    return {
+        "op2_mixing": f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+w AS (SELECT *, {weigh} AS w, 2 * source_size AS cap FROM s),
+f AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c,
+  coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w
+  WINDOW o AS (ORDER BY cap / w, coalesce('=' || source, ''))),
+l AS (SELECT max((1.5::DOUBLE * (SELECT sum(source_size) FROM w) - c)::DOUBLE / ((SELECT sum(w) FROM w) - b)::DOUBLE) AS level FROM f),
+t AS (SELECT source, source_size, least(cap::DOUBLE, w * level) AS target FROM w, l),
+k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * {m.ONE})::BIGINT ELSE 0 END AS step,
+  ('0x' || substr(md5('mix|' || coalesce(source, '')), 1, 6))::BIGINT AS start FROM t),
+n AS (SELECT doc_id, size, source, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS i FROM d)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
+  SELECT n.doc_id, n.size, k.source_size, k.target, (start + (i + 1) * step) // {m.ONE} - (start + i * step) // {m.ONE} AS copies
+  FROM n JOIN k ON n.source IS NOT DISTINCT FROM k.source)""",
+        "op8_line_dedup": f"""
+WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{d.HOST}', 1)) AS host, coalesce(list_filter(list_transform(string_split(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{d.SILENT}', '', 'g'), '{d.SPACE}', ' ', 'g'), '{d.BREAKS}', chr(10), 'g'), '{d.TAG}', '', 'g'),
+  chr(10)), lambda x: trim(x)), lambda x: x <> ''), []) AS lines FROM pages),
+t AS (SELECT host, count(*) AS pages FROM p WHERE host <> '' GROUP BY host HAVING count(*) >= {d.PAGES}),
+e AS (SELECT host, unnest(list_distinct(lines)) AS line FROM p),
+b AS (SELECT e.host, list(line) AS gone FROM (SELECT host, line, count(*) AS n FROM e GROUP BY ALL) e JOIN t ON e.host = t.host WHERE n > pages * {d.RATIO} GROUP BY e.host)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text
+FROM (SELECT p.*, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept FROM p LEFT JOIN b ON p.host = b.host)""",
+    }
