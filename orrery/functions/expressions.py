@@ -61,7 +61,7 @@ def version_key(version: Column) -> Column:
 
 
 def age_days(now: Column, then: Column) -> Column:
-    return (F.unix_micros(now) - F.unix_micros(then)) / 8.64e10
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 8.64e10
 
 
 def freshness(days: Column) -> Column:
