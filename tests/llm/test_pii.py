@@ -19,7 +19,7 @@ def test_formats_and_coreference(docs):
     assert m[2] == m[4] and m[5].upper() == m[6] and m[8].replace(" ", "") == m[9].replace("-", "")
     assert m[1] in "Adam Bruno Carl David Emil Felix Hugo Jonas Lucas Martin Oscar Simon" and m[3] in "Alice Bella Clara Diana Emma Flora Greta Helena Julia Laura Nora Sofia"
     assert all(int(x) < 256 for x in m[10].split("."))
-    assert row.n_entities == 9
+    assert row.n_entities == 10
 
 
 def test_script_and_key(docs):

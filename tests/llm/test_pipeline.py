@@ -16,7 +16,8 @@ def folder(spark, tmp_path_factory, corpus):
     rows += [(600, "before it " + item + " after it", "en", "src1"), (601, item, "en", "src2")]
     at = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
-    spark.createDataFrame([(300 + i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    labels = [(300 + i, 1, int(i % 3 == 0)) for i in range(240)] + [(i, 1, 0) for i in range(150)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return str(at), rows
 
