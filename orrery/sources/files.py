@@ -41,7 +41,7 @@ def classify(path: Column) -> Column:
 
 def markdown_documents(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, title, links, text): ids are paths below ``root``, titles first H1 headings, links targets in order."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     path = F.regexp_replace(F.input_file_name(), r"^.*?" + re.escape(root.rstrip("/")) + "/", "")
     rows = raw.select(path.alias("doc_id"), F.col("value").alias("text"))
     return rows.select("doc_id", F.nullif(F.trim(F.regexp_extract("text", r"(?m)^# +(.+)$", 1)), F.lit("")).alias("title"), F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)\s]+)"), F.lit(1)).alias("links"), "text")
