@@ -82,6 +82,26 @@ def oracle_sql() -> dict[str, str]:
 
     weigh = "CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END"
     return {
+        "op1_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ds AS (SELECT r, doc_id, len(w) - 4 AS m, unnest(range(len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5),
+i AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+si AS (SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, len(w) - 4 AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM i WHERE len(w) >= 5) GROUP BY ALL),
+hit AS (SELECT r, doc_id, m, p, item_id, n, s, c FROM ds JOIN si USING (s)),
+win AS (SELECT r, doc_id, item_id, n, a, s, c, count(*) AS k FROM (SELECT *, unnest(range(greatest(0, p - n + 1), least(p, m - n) + 1)) AS a FROM hit WHERE m >= n) GROUP BY ALL),
+com AS (SELECT r, doc_id, item_id, n, a, sum(least(c, k))::DOUBLE AS x FROM win GROUP BY ALL),
+sim AS (SELECT r, doc_id, item_id, n, a, x / (2 * n - x) AS j FROM com WHERE x / (2 * n - x) >= 0.8),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, item_id, n ORDER BY j DESC, a) AS o FROM sim)
+SELECT doc_id, item_id, j AS similarity, a::INT AS start_word, (n + 4)::INT AS n_words FROM best WHERE o = 1""",
+        "op9_sharding": """
+WITH RECURSIVE step(i, k, c) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+b AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n, hex(encode(text)) AS h, coalesce(md5(text), '') AS key FROM documents),
+crc AS (SELECT doc_id, n + 8 AS size, key, CASE WHEN h IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295, list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+  lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) END AS text_crc32 FROM b, tbl),
+laid AS (SELECT *, (sum(size) OVER w - size)::BIGINT AS position, row_number() OVER w - 1 AS r, sum(size) OVER () AS total FROM crc WINDOW w AS (ORDER BY key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, least(23, (2 * position + size) * 24 // (2 * total))::INT AS shard FROM laid)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, r - min(r) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard, position FROM cut""",
         "op2_mixing": f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
