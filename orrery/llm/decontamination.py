@@ -45,29 +45,27 @@ def shingles(text: Column) -> Column:
     return F.transform(F.array(words(text)), lambda w: F.when(F.size(w) >= SHINGLE, hashed(w)).otherwise(F.array().cast("array<bigint>")))[0]
 
 
-def fingerprint(hashes: Column, n: Column) -> Column:
-    """SimHash of up to 32,767 hashes: bit b is set where over half of them have it set. Four 16-bit counters a sum."""
+def fingerprint(hashes: str, n: str) -> Column:
+    """SimHash of up to 32,767 hashes in array column ``hashes`` of size ``n``: bit b is set where over half of them
+    have it set. A sum holds four 16-bit counters. SQL text, as a Column call for each of its terms takes long to plan."""
+    sums = ", ".join(f"aggregate({hashes}, 0L, (a, x) -> a + (shiftrightunsigned(x, {g}) & {0x0001000100010001}L))" for g in range(16))
+    bits = " | ".join(f"if((shiftrightunsigned(s[{b % 16}], {16 * (b // 16)}) & 65535L) * 2 > {n}, shiftleft(1L, {b}), 0L)" for b in range(64))
+    return F.expr(f"transform(array(array({sums})), s -> {bits})[0]")
 
-    def adder(g: int):
-        return lambda a, x: a + F.shiftrightunsigned(x, g).bitwiseAND(F.lit(0x0001000100010001))
 
-    sums = F.array(*[F.aggregate(hashes, F.lit(0).cast("long"), adder(g)) for g in range(16)])
+def block_values(fp: str, radius: int) -> list[str]:
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [f"(shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L)" for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def majority(s: Column) -> Column:
-        out = None
-        for b in range(64):
-            count = F.shiftrightunsigned(s[b % 16], 16 * (b // 16)).bitwiseAND(F.lit(0xFFFF))
-            bit = F.when(count * 2 > n, F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-            out = bit if out is None else out.bitwiseOR(bit)
-        return out
 
-    return F.transform(F.array(sums), majority)[0]
+def blocks(fp: str, radius: int) -> Column:
+    """The radius + 1 blocks of fingerprint column ``fp``, as (block, value)."""
+    return F.expr("array(" + ", ".join(f"named_struct('block', {i}, 'value', {v})" for i, v in enumerate(block_values(fp, radius))) + ")")
 
 
-def blocks(fp: Column, radius: int) -> Column:
-    """The radius + 1 blocks of a fingerprint, as (number, value)."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def first_equal(a: str, b: str, radius: int) -> Column:
+    """Number of the first block in which two fingerprint columns agree."""
+    return F.expr("coalesce(" + ", ".join(f"if({v} = 0, {i}, NULL)" for i, v in enumerate(block_values(f"({a} ^ {b})", radius))) + ")")
 
 
 def common(a: Column, b: Column) -> Column:
@@ -80,7 +78,7 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     items = benchmark.select(F.col(item_col).alias("item_id"), shingles(F.col(text_col)).alias("h")).withColumn("n", F.size("h"))
     items = materialize(items.filter("n BETWEEN 1 AND 32767").dropDuplicates(["item_id", "h"]), "items")
     passes = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // PASS))
-    return items.withColumn("fp", fingerprint(F.col("h"), F.col("n"))).withColumn("pass", F.pmod(F.xxhash64("h"), F.lit(passes)))
+    return items.withColumn("fp", fingerprint("h", "n")).withColumn("pass", F.pmod(F.xxhash64("h"), F.lit(passes)))
 
 
 def one_pass(docs: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
@@ -102,15 +100,15 @@ def one_pass(docs: DataFrame, items: DataFrame, similarity: float, radius: int)
     hits = hits.select("_row", "n", starts.alias("starts")).filter("size(starts) > 0")
     windows = hits.join(found, "_row").select("_row", "doc_id", "n", "h", F.explode("starts").alias("start"))
     windows = windows.select("_row", "doc_id", "n", "start", F.expr("slice(h, start + 1, n)").alias("w")).dropDuplicates(["_row", "n", "start"])
-    windows = materialize(windows.withColumn("fp", fingerprint(F.col("w"), F.col("n"))), "windows")
-    index = items.select("item_id", "n", "fp", "h", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("item_id", "n", F.col("fp").alias("item_fp"), F.col("h").alias("item_h"), "b.*")
-    probe = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("_row", "doc_id", "n", "start", "w", "fp", "b.*")
+    windows = materialize(windows.withColumn("fp", fingerprint("w", "n")), "windows")
+    index = items.select("item_id", "n", "fp", "h", F.explode(blocks("fp", radius)).alias("b")).select("item_id", "n", F.col("fp").alias("item_fp"), F.col("h").alias("item_h"), "b.*")
+    probe = windows.select("*", F.explode(blocks("fp", radius)).alias("b")).select("_row", "doc_id", "n", "start", "w", "fp", "b.*")
     near = probe.join(F.broadcast(index), ["n", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     # a pair that agrees in several blocks is taken in the first of them
-    first = F.array_min(F.transform(F.filter(F.arrays_zip(blocks(F.col("fp"), radius).alias("a"), blocks(F.col("item_fp"), radius).alias("b")), lambda z: z["a"]["value"] == z["b"]["value"]), lambda z: z["a"]["block"]))
-    near = near.filter(F.col("block") == first)
-    both = near.withColumn("_c", common(F.col("item_h"), F.col("w")))
-    both = both.withColumn("similarity", F.col("_c") / (F.col("n") * 2 - F.col("_c"))).filter(F.col("similarity") >= similarity)
+    near = near.filter(F.col("block") == first_equal("fp", "item_fp", radius))
+    # the array of one binds the sum, which would else be made anew wherever it is used
+    score = F.transform(F.array(common(F.col("item_h"), F.col("w"))), lambda c: c / (F.col("n") * 2 - c))[0]
+    both = near.withColumn("similarity", score).filter(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best")
     out = both.groupBy("_row", "doc_id", "item_id", "n").agg(best)
     return out.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"), (F.col("n") + SHINGLE - 1).alias("n_words"))

@@ -95,5 +95,5 @@ def test_blocks_guarantee_the_radius(spark):
     frame = spark.createDataFrame(pairs, "a long, b long")
     from pyspark.sql import functions as F
 
-    shared = F.size(F.array_intersect(d.blocks(F.col("a"), 20), d.blocks(F.col("b"), 20)))
+    shared = F.size(F.array_intersect(d.blocks("a", 20), d.blocks("b", 20)))
     assert frame.select(F.min(shared)).first()[0] >= 1
