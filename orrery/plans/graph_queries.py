@@ -218,14 +218,15 @@ lv(c, level) AS (SELECT DISTINCT component, 0 FROM scc UNION SELECT b, level + 1
 
 @query(f"{FLOW}, {REACH}, {SCC}, {TOPO} SELECT id, level FROM scc JOIN top ON c = component")
 def topo_levels(spark, d):
-    return g.levels(g.strongly_connected(nation_nodes(spark, d), flow(spark, d)), flow(spark, d))
+    f = g.cut(flow(spark, d))
+    return g.levels(g.strongly_connected(nation_nodes(spark, d), f), f)
 
 
 @query(f"""{FLOW}, {REACH}, {SCC}, {TOPO}, f AS (SELECT * FROM flow WHERE source <> target), i AS (SELECT target AS id, count(*) AS n FROM f GROUP BY 1), o AS (SELECT source AS id, count(*) AS n FROM f GROUP BY 1)
 SELECT s.id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, i.n IS NULL AND o.n IS NULL AS orphan, level, count(*) OVER (PARTITION BY component) > 1 AS circular
 FROM scc s JOIN top ON c = component LEFT JOIN i ON i.id = s.id LEFT JOIN o ON o.id = s.id""")
 def module_graph(spark, d):
-    f = flow(spark, d).filter("source <> target")
+    f = g.cut(flow(spark, d).filter("source <> target"))
     n = nation_nodes(spark, d)
     parts = g.strongly_connected(n, f)
     out = g.degree_in_out(n, f).join(parts, "id").join(g.levels(parts, f), "id")
