@@ -62,14 +62,18 @@ def byte(d: Column, i: Column) -> Column:
 def redraw(text: Column, key: Column) -> Column:
     """``text`` with every ASCII letter and digit drawn anew in its class; hexadecimal stays hexadecimal."""
     hexadecimal = text.rlike("^[0-9A-Fa-f]{32,}$")
+    # a digest holds the draws of 32 characters; the array of one binds them all
+    draws = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 32).cast("int")), lambda b: F.sha2(F.concat_ws("|", key, b.cast("string")), 512)), "")
 
-    def one(c: Column, i: Column) -> Column:
-        n = byte(digest(key, i.cast("string")), F.lit(0)) * 256 + byte(digest(key, i.cast("string")), F.lit(1))
-        digit = F.chr(F.lit(48) + n % 10)
-        lower = F.when(hexadecimal, F.chr(F.lit(97) + n % 6)).otherwise(F.chr(F.lit(97) + n % 26))
-        return F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), lower).when(c.rlike("[A-Z]"), F.upper(lower)).otherwise(c)
+    def drawn(stream: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            n = F.conv(F.substring(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            lower = F.chr(F.lit(97) + F.when(hexadecimal, n % 6).otherwise(n % 26))
+            return F.when(c.rlike("[0-9]"), F.chr(F.lit(48) + n % 10)).when(c.rlike("[a-z]"), lower).when(c.rlike("[A-Z]"), F.upper(lower)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+        return F.array_join(F.transform(F.split(text, ""), one), "")
+
+    return F.transform(F.array(draws), drawn)[0]
 
 
 def luhn(digits: Column) -> Column:
@@ -134,9 +138,12 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     in an earlier round, and its entity is the first (by form) to draw it; the others draw again with the next attempt.
     """
     known = entities.select("kind", F.col("form").alias("new"))
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     given, left, attempt = None, entities, 0
     while True:
-        drawn = left.withColumn("new", surrogate(F.col("kind"), F.col("form"), key, F.lit(attempt)))
+        # drawing costs far more than an entity's bytes, by which partitions would be joined together
+        spread = left.repartition(parts, "kind", "form")
+        drawn = spread.withColumn("new", surrogate(F.col("kind"), F.col("form"), key, F.lit(attempt)))
         taken = known if given is None else known.unionByName(given.select("kind", "new"))
         free = drawn.join(taken, ["kind", "new"], "left_anti")
         first = free.groupBy("kind", "new").agg(F.min("form").alias("form"))
