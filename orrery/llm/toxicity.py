@@ -12,6 +12,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import nsmallest
+from itertools import chain
+from math import log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -75,8 +78,17 @@ def train(rows: list[tuple[str, int]], steps: int = 200, rate: float = 0.12, dec
     for b, label in bags:
         counts[label].update({f for w in {w for s in b for w in s} for f in features(w)})
     n0, n1 = (y == 0).sum(), (y == 1).sum()
-    odds = {f: np.log((counts[1][f] + 0.5) / (n1 + 1)) - np.log((counts[0][f] + 0.5) / (n0 + 1)) for f in {*counts[0], *counts[1]} if counts[0][f] + counts[1][f] >= 4}
-    kept = sorted(odds, key=lambda f: (-abs(odds[f]) * np.sqrt(counts[0][f] + counts[1][f]), f))[:FEATURES]
+
+    def told(f: str) -> float:
+        """How far apart the labels are in a feature, for features of four documents or more."""
+        a, b = counts[0].get(f, 0), counts[1].get(f, 0)
+        return abs(log((b + 0.5) / (n1 + 1)) - log((a + 0.5) / (n0 + 1))) * sqrt(a + b) if a + b >= 4 else -1.0
+
+    # one feature at a time: the driver never holds a second table of all features
+    every = chain(counts[1], (f for f in counts[0] if f not in counts[1]))
+    ranked = nsmallest(FEATURES, ((-t, f) for f in every if (t := told(f)) >= 0))
+    kept = [f for _, f in ranked]
+    counts = ()
     at = {f: i for i, f in enumerate(kept)}
     bag, inst, col = [], [], []
     memo: dict[str, list[int]] = {}
