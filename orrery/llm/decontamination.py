@@ -12,6 +12,9 @@ of their five-word shingles: the sum of the lesser counts over the sum of the gr
    multi-index of the items of that length: radius + 1 blocks of bits, of which one must be equal if at most
    ``radius`` bits differ. Blocks guarantee all fingerprints within the radius.
 4. Verification by exact weighted-shingle similarity of the texts' words.
+
+A document of fewer words than the item is one window, the whole of it. It isn't fingerprinted: its similarity is exact
+from the anchors, by ``swept``.
 """
 
 from __future__ import annotations
@@ -74,13 +77,29 @@ def common(a: Column, b: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, h, n, fp, pass) of items that have a shingle; more shingles than 32,767 are beyond a counter's width."""
+    """(_item, item_id, h, n, fp, pass) of items that have a shingle; more shingles than 32,767 are beyond a counter's width."""
     items = benchmark.select(F.col(item_col).alias("item_id"), shingles(F.col(text_col)).alias("h")).withColumn("n", F.size("h"))
-    items = materialize(items.filter("n BETWEEN 1 AND 32767").dropDuplicates(["item_id", "h"]), "items")
+    items = materialize(items.filter("n BETWEEN 1 AND 32767").dropDuplicates(["item_id", "h"]).withColumn("_item", F.monotonically_increasing_id()), "items")
     passes = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // PASS))
     return items.withColumn("fp", fingerprint("h", "n")).withColumn("pass", F.pmod(F.xxhash64("h"), F.lit(passes)))
 
 
+def swept(hits: DataFrame) -> DataFrame:
+    """``hits`` with the greatest sum of the lesser counts over all windows, as ``best``, and its first ``start``.
+
+    ``e`` holds (x, at, c) sorted: an item's shingle that stands c times in it, at a place of the document. Of a shingle
+    at most c in a window count, so a place counts in the windows that hold it but not the c-th place before it. These
+    starts are an interval, and the sum at a start is the number of intervals over it.
+    """
+    spans = """transform(e, (v, j) -> named_struct('hi', least(v.at, m - w),
+        'lo', greatest(0, v.at - w + 1, if(j >= v.c, if(get(e, j - v.c).x = v.x, get(e, j - v.c).at + 1, 0), 0))))"""
+    steps = f"sort_array(flatten(transform(filter({spans}, s -> s.lo <= s.hi), s -> array(named_struct('a', s.lo, 'd', 1), named_struct('a', s.hi + 1, 'd', -1)))))"
+    # ends sort before beginnings at the same start, so a sum is never too great in between
+    top = f"""aggregate({steps}, named_struct('run', 0, 'best', 0, 'start', 0), (t, s) -> named_struct(
+        'run', t.run + s.d, 'best', greatest(t.best, t.run + s.d), 'start', if(t.run + s.d > t.best, s.a, t.start)))"""
+    return hits.withColumn("top", F.expr(top)).select("_row", "item_id", "n", "w", "top.best", "top.start")
+
+
 def one_pass(docs: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Matches of ``docs`` (doc_id, text) with at most about PASS shingles of items."""
     every = sorted(r[0] for r in items.select(F.explode("h")).distinct().collect())  # at most about PASS numbers
@@ -89,11 +108,17 @@ def one_pass(docs: DataFrame, items: DataFrame, similarity: float, radius: int)
     found = docs.select("doc_id", shingles(F.col("text")).alias("h")).filter(F.expr(f"exists(h, {anchor})"))
     found = materialize(found.withColumn("_row", F.monotonically_increasing_id()), "anchored")
     places = found.select("_row", F.size("h").alias("m"), F.posexplode("h").alias("at", "x"))
-    keys = items.select("item_id", "n", F.explode(F.array_distinct("h")).alias("x"))
-    hits = places.join(F.broadcast(keys), "x").groupBy("_row", "m", "item_id", "n").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    keys = items.select("_item", "item_id", "n", F.explode("h").alias("x")).groupBy("_item", "item_id", "n", "x").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    hits = places.join(F.broadcast(keys), "x").groupBy("_row", "m", "_item", "item_id", "n").agg(F.sort_array(F.collect_list(F.struct("x", "at", "c"))).alias("e"))
+    hits = hits.withColumn("w", F.least("n", "m"))  # a window's length
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("w")) - F.lit(1e-9)).cast("int")
+    hits = materialize(hits.withColumn("need", F.greatest(need, F.lit(1))).filter("size(e) >= need"), "hits")
+    exact = "m < n"
+    score = F.col("best") / (F.col("n") + F.col("w") - F.col("best"))
+    whole = swept(hits.filter(exact)).withColumn("similarity", score).filter(F.col("similarity") >= similarity)
+    whole = whole.join(found.select("_row", "doc_id"), "_row").select("_row", "doc_id", "item_id", "n", "w", "start", "similarity")
     # need hits within n places, first the j-th: the window starts between (last - n + 1) and the first
-    need = F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("n") - F.lit(1e-9)).cast("int")
-    hits = hits.withColumn("need", F.greatest(need, F.lit(1))).filter("size(at) >= need AND m >= n")
+    hits = hits.filter(f"NOT ({exact})").withColumn("at", F.expr("sort_array(transform(e, v -> v.at))"))
     starts = F.expr("""array_distinct(flatten(transform(sequence(0, size(at) - need), j ->
         CASE WHEN at[j + need - 1] - at[j] < n AND greatest(0, at[j + need - 1] - n + 1) <= least(at[j], m - n)
         THEN sequence(greatest(0, at[j + need - 1] - n + 1), least(at[j], m - n)) ELSE cast(array() AS array<int>) END)))""")
@@ -109,9 +134,10 @@ def one_pass(docs: DataFrame, items: DataFrame, similarity: float, radius: int)
     # the array of one binds the sum, which would else be made anew wherever it is used
     score = F.transform(F.array(common(F.col("item_h"), F.col("w"))), lambda c: c / (F.col("n") * 2 - c))[0]
     both = near.withColumn("similarity", score).filter(F.col("similarity") >= similarity)
+    both = both.select("_row", "doc_id", "item_id", "n", F.col("n").alias("w"), "start", "similarity").unionByName(whole)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best")
-    out = both.groupBy("_row", "doc_id", "item_id", "n").agg(best)
-    return out.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"), (F.col("n") + SHINGLE - 1).alias("n_words"))
+    out = both.groupBy("_row", "doc_id", "item_id", "n", "w").agg(best)
+    return out.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"), (F.col("w") + SHINGLE - 1).alias("n_words"))
 
 
 def contaminated(
@@ -126,7 +152,7 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): for every row of ``docs`` and item its best matching window.
 
-    Whole texts are searched. Rows with null text, texts or items of fewer than five words and empty tables match
+    A window has the item's words, or all of a document that has fewer; ``n_words`` are the window's. Whole texts are searched. Rows with null text, texts or items of fewer than five words and empty tables match
     nothing; a null id is carried as null; a repeated row matches as often as it stands there; repeated items count
     once. Among equally similar windows the first is given. Other columns are not looked at.
     """
