@@ -13,8 +13,8 @@ of their five-word shingles: the sum of the lesser counts over the sum of the gr
    ``radius`` bits differ. Blocks guarantee all fingerprints within the radius.
 4. Verification by exact weighted-shingle similarity of the texts' words.
 
-A document of fewer words than the item is one window, the whole of it. It isn't fingerprinted: its similarity is exact
-from the anchors, by ``swept``.
+A document of fewer words than the item is one window, the whole of it. Such documents and items of over 32,767 shingles
+aren't fingerprinted: their similarity is exact from the anchors, by ``swept``.
 """
 
 from __future__ import annotations
@@ -77,11 +77,12 @@ def common(a: Column, b: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(_item, item_id, h, n, fp, pass) of items that have a shingle; more shingles than 32,767 are beyond a counter's width."""
+    """(_item, item_id, h, n, plain, fp, pass) of items that have a shingle; plain: no more of them than a counter holds."""
     items = benchmark.select(F.col(item_col).alias("item_id"), shingles(F.col(text_col)).alias("h")).withColumn("n", F.size("h"))
-    items = materialize(items.filter("n BETWEEN 1 AND 32767").dropDuplicates(["item_id", "h"]).withColumn("_item", F.monotonically_increasing_id()), "items")
+    items = materialize(items.filter("n >= 1").dropDuplicates(["item_id", "h"]).withColumn("_item", F.monotonically_increasing_id()), "items")
     passes = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // PASS))
-    return items.withColumn("fp", fingerprint("h", "n")).withColumn("pass", F.pmod(F.xxhash64("h"), F.lit(passes)))
+    items = items.withColumn("plain", F.expr("n <= 32767"))
+    return items.withColumn("fp", F.when(F.col("plain"), fingerprint("h", "n"))).withColumn("pass", F.pmod(F.xxhash64("h"), F.lit(passes)))
 
 
 def swept(hits: DataFrame) -> DataFrame:
@@ -108,12 +109,12 @@ def one_pass(docs: DataFrame, items: DataFrame, similarity: float, radius: int)
     found = docs.select("doc_id", shingles(F.col("text")).alias("h")).filter(F.expr(f"exists(h, {anchor})"))
     found = materialize(found.withColumn("_row", F.monotonically_increasing_id()), "anchored")
     places = found.select("_row", F.size("h").alias("m"), F.posexplode("h").alias("at", "x"))
-    keys = items.select("_item", "item_id", "n", F.explode("h").alias("x")).groupBy("_item", "item_id", "n", "x").agg(F.count(F.lit(1)).cast("int").alias("c"))
-    hits = places.join(F.broadcast(keys), "x").groupBy("_row", "m", "_item", "item_id", "n").agg(F.sort_array(F.collect_list(F.struct("x", "at", "c"))).alias("e"))
+    keys = items.select("_item", "item_id", "n", "plain", F.explode("h").alias("x")).groupBy("_item", "item_id", "n", "plain", "x").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    hits = places.join(F.broadcast(keys), "x").groupBy("_row", "m", "_item", "item_id", "n", "plain").agg(F.sort_array(F.collect_list(F.struct("x", "at", "c"))).alias("e"))
     hits = hits.withColumn("w", F.least("n", "m"))  # a window's length
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("w")) - F.lit(1e-9)).cast("int")
     hits = materialize(hits.withColumn("need", F.greatest(need, F.lit(1))).filter("size(e) >= need"), "hits")
-    exact = "m < n"
+    exact = "m < n OR NOT plain"
     score = F.col("best") / (F.col("n") + F.col("w") - F.col("best"))
     whole = swept(hits.filter(exact)).withColumn("similarity", score).filter(F.col("similarity") >= similarity)
     whole = whole.join(found.select("_row", "doc_id"), "_row").select("_row", "doc_id", "item_id", "n", "w", "start", "similarity")
@@ -126,7 +127,7 @@ def one_pass(docs: DataFrame, items: DataFrame, similarity: float, radius: int)
     windows = hits.join(found, "_row").select("_row", "doc_id", "n", "h", F.explode("starts").alias("start"))
     windows = windows.select("_row", "doc_id", "n", "start", F.expr("slice(h, start + 1, n)").alias("w")).dropDuplicates(["_row", "n", "start"])
     windows = materialize(windows.withColumn("fp", fingerprint("w", "n")), "windows")
-    index = items.select("item_id", "n", "fp", "h", F.explode(blocks("fp", radius)).alias("b")).select("item_id", "n", F.col("fp").alias("item_fp"), F.col("h").alias("item_h"), "b.*")
+    index = items.filter("plain").select("item_id", "n", "fp", "h", F.explode(blocks("fp", radius)).alias("b")).select("item_id", "n", F.col("fp").alias("item_fp"), F.col("h").alias("item_h"), "b.*")
     probe = windows.select("*", F.explode(blocks("fp", radius)).alias("b")).select("_row", "doc_id", "n", "start", "w", "fp", "b.*")
     near = probe.join(F.broadcast(index), ["n", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     # a pair that agrees in several blocks is taken in the first of them

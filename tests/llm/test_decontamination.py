@@ -130,3 +130,13 @@ def test_documents_shorter_than_the_item(spark, docs):
 def test_against_brute_force_with_short_documents(spark, docs, cases):
     rows, items = cases
     assert found(spark, docs, rows, items) == brute_cut(rows, items) != brute(rows, items)
+
+
+def test_items_beyond_a_counter(spark, docs):
+    w = [f"w{i}" for i in range(33_000)]
+    changed = w[:]
+    changed[100] = changed[20_000] = "other"
+    rows = [(1, "before " + " ".join(w) + " after"), (2, " ".join(changed)), (3, " ".join(w[:32_000])), (4, " ".join(w[:20_000]))]
+    got = found(spark, docs, rows, [(1, " ".join(w))])
+    n = 33_000 - 4
+    assert got == Counter({(1, 1, 1.0, n + 4): 1, (2, 1, round((n - 10) / (n + 10), 9), n + 4): 1, (3, 1, round(31_996 / n, 9), 32_000): 1})
