@@ -13,7 +13,8 @@ of their five-word shingles: the sum of the lesser counts over the sum of the gr
    ``radius`` bits differ. Blocks guarantee all fingerprints within the radius.
 4. Verification by exact weighted-shingle similarity of the texts' words.
 
-A document of fewer words than the item is one window, the whole of it. Such documents and items of over 32,767 shingles
+A document of fewer words than the item is one window, the whole of it. Such documents, items of over 32,767 shingles, and
+items and documents with a shingle more than once (one that differs and weighs much turns more bits than the radius)
 aren't fingerprinted: their similarity is exact from the anchors, by ``swept``.
 """
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_key, spare
 
-#: Words of a shingle, least similarity, bits of the Hamming radius (at a similarity of 0.8 about 10 of 64 bits
-#: differ, give or take 3), and item shingles of one pass (larger benchmarks take several passes; this bounds what is
+#: Words of a shingle, least similarity, bits of the Hamming radius (where no shingle is repeated, at a similarity
+#: of 0.8 about 10 of 64 bits differ, give or take 3), and item shingles of one pass (larger benchmarks take several passes; this bounds what is
 #: broadcast).
 SHINGLE, SIMILARITY, RADIUS, PASS = 5, 0.8, 20, 100_000
 
@@ -77,11 +78,11 @@ def common(a: Column, b: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(_item, item_id, h, n, plain, fp, pass) of items that have a shingle; plain: no more of them than a counter holds."""
+    """(_item, item_id, h, n, plain, fp, pass) of items that have a shingle; plain: none of them twice, and no more than a counter holds."""
     items = benchmark.select(F.col(item_col).alias("item_id"), shingles(F.col(text_col)).alias("h")).withColumn("n", F.size("h"))
     items = materialize(items.filter("n >= 1").dropDuplicates(["item_id", "h"]).withColumn("_item", F.monotonically_increasing_id()), "items")
     passes = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // PASS))
-    items = items.withColumn("plain", F.expr("n <= 32767"))
+    items = items.withColumn("plain", F.expr("n <= 32767 AND size(array_distinct(h)) = n"))
     return items.withColumn("fp", F.when(F.col("plain"), fingerprint("h", "n"))).withColumn("pass", F.pmod(F.xxhash64("h"), F.lit(passes)))
 
 
@@ -107,14 +108,15 @@ def one_pass(docs: DataFrame, items: DataFrame, similarity: float, radius: int)
     inside = ",".join(f"{x}L" for x in every if x != -(1 << 63))
     anchor = f"x -> x IN ({inside})"
     found = docs.select("doc_id", shingles(F.col("text")).alias("h")).filter(F.expr(f"exists(h, {anchor})"))
+    found = found.withColumn("once", F.expr("size(array_distinct(h)) = size(h)"))
     found = materialize(found.withColumn("_row", F.monotonically_increasing_id()), "anchored")
-    places = found.select("_row", F.size("h").alias("m"), F.posexplode("h").alias("at", "x"))
+    places = found.select("_row", "once", F.size("h").alias("m"), F.posexplode("h").alias("at", "x"))
     keys = items.select("_item", "item_id", "n", "plain", F.explode("h").alias("x")).groupBy("_item", "item_id", "n", "plain", "x").agg(F.count(F.lit(1)).cast("int").alias("c"))
-    hits = places.join(F.broadcast(keys), "x").groupBy("_row", "m", "_item", "item_id", "n", "plain").agg(F.sort_array(F.collect_list(F.struct("x", "at", "c"))).alias("e"))
+    hits = places.join(F.broadcast(keys), "x").groupBy("_row", "once", "m", "_item", "item_id", "n", "plain").agg(F.sort_array(F.collect_list(F.struct("x", "at", "c"))).alias("e"))
     hits = hits.withColumn("w", F.least("n", "m"))  # a window's length
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("w")) - F.lit(1e-9)).cast("int")
     hits = materialize(hits.withColumn("need", F.greatest(need, F.lit(1))).filter("size(e) >= need"), "hits")
-    exact = "m < n OR NOT plain"
+    exact = "m < n OR NOT plain OR NOT once"
     score = F.col("best") / (F.col("n") + F.col("w") - F.col("best"))
     whole = swept(hits.filter(exact)).withColumn("similarity", score).filter(F.col("similarity") >= similarity)
     whole = whole.join(found.select("_row", "doc_id"), "_row").select("_row", "doc_id", "item_id", "n", "w", "start", "similarity")

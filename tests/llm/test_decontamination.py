@@ -140,3 +140,11 @@ def test_items_beyond_a_counter(spark, docs):
     got = found(spark, docs, rows, [(1, " ".join(w))])
     n = 33_000 - 4
     assert got == Counter({(1, 1, 1.0, n + 4): 1, (2, 1, round((n - 10) / (n + 10), 9), n + 4): 1, (3, 1, round(31_996 / n, 9), 32_000): 1})
+
+
+def test_repeated_shingles(spark, docs):
+    item = lambda k: " ".join(f"i{k}w{j}" for j in range(116))
+    items = [(k, item(k) + " _" * 14) for k in range(12)] + [(k, item(k)) for k in range(12, 16)]
+    rows = [(k, "before it " + item(k) + " ." * 14) for k in range(12)] + [(k, item(k)[: -len(f" i{k}w115") * 10] + " -" * 12) for k in range(12, 16)]
+    got = found(spark, docs, rows, items)
+    assert got == brute_cut(rows, items) and {i for i, *_ in got} >= set(range(12))
