@@ -152,7 +152,11 @@ def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def evidence_block(hits: DataFrame, limit: int = 4000) -> DataFrame:
     """(query_id, block): hits (rank, text, source) wrapped with their source, sentinels defused, cut at ``limit``."""
     safe = F.replace(F.replace("text", F.lit("<<<"), F.lit("< <<")), F.lit(">>>"), F.lit("> >>"))
-    parts = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("<<<"), "source", F.lit("\n"), safe, F.lit("\n>>>")).alias("t")))).alias("p"))
+    wrapped = hits.select("query_id", "rank", F.concat(F.lit("<<<"), "source", F.lit("\n"), safe, F.lit("\n>>>")).alias("t"))
+    # a hit takes 9 characters or more, its line feed included, and none if its text is null: only the first can fit
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("t").isNull(), "rank", "t"))
+    wrapped = wrapped.withColumn("place", place).filter(F.col("place") <= limit // 9 + 1)
+    parts = wrapped.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("p"))
     return parts.select("query_id", F.left(F.array_join(F.transform("p", lambda x: x["t"]), "\n"), F.lit(limit)).alias("block"))
 
 
