@@ -67,19 +67,30 @@ def slots(codes: np.ndarray) -> Iterator[np.ndarray]:
 @dataclass
 class Filters:
     languages: list[str]
-    table: np.ndarray  # a bitmask of languages for each slot
+    tables: list[np.ndarray]  # a bitmask of languages for each slot, in as many words as there are languages for
     rates: np.ndarray  # false-positive rate of each language
 
+    @property
+    def table(self) -> np.ndarray:
+        return self.tables[0]
+
     def score(self, text: str | None) -> tuple[str, float]:
         codes = grams(text) if text else np.zeros(0, np.uint64)
         if not len(codes) or not self.languages:
             return "und", 0.0
-        masks = None
-        for at in slots(codes):
-            masks = self.table[at] if masks is None else masks & self.table[at]
-        kinds = np.bincount(masks, minlength=1)  # how many n-grams have each set of languages
-        sets = np.nonzero(kinds)[0]
-        n = np.array([kinds[sets[(sets >> i) & 1 == 1]].sum() for i in range(len(self.languages))]) / len(codes)
+        found, places = [], list(slots(codes))
+        for table in self.tables:
+            masks = table[places[0]]
+            for at in places[1:]:
+                masks = masks & table[at]
+            if masks.dtype == np.uint16:
+                kinds = np.bincount(masks, minlength=1)  # how many n-grams have each set of languages
+                sets = np.nonzero(kinds)[0]
+                kinds = kinds[sets]
+            else:
+                sets, kinds = np.unique(masks, return_counts=True)
+            found += [kinds[(sets >> i) & 1 == 1].sum() for i in range(min(8 * masks.itemsize, len(self.languages) - len(found)))]
+        n = np.array(found) / len(codes)
         share = np.clip((n - self.rates) / (1 - self.rates), 0, None)
         best = int(share.argmax())
         rest = np.delete(share, best)
@@ -89,39 +100,41 @@ class Filters:
 
 
 def train(rows: list[tuple[str, str]]) -> Filters:
-    """Filters from (language, text); at most 16 languages, the most frequent ones, as bits of a slot."""
-    count: dict[str, int] = {}
-    for lang, _ in rows:
-        count[lang] = count.get(lang, 0) + 1
-    languages = sorted(sorted(count, key=lambda x: (-count[x], x))[:16])
-    table = np.zeros(SLOTS, np.uint16)
+    """Filters from (language, text): a bit of a slot for each language, in words of 16 bits if that is enough, else 64."""
+    texts: dict[str, list[str]] = {}
+    for lang, text in rows:
+        texts.setdefault(lang, []).append(text)
+    languages = sorted(texts)
+    word = np.uint16 if len(languages) <= 16 else np.uint64
+    bits = 8 * word().itemsize
+    tables = [np.zeros(SLOTS, word) for _ in range(max(1, -(-len(languages) // bits)))]
     for i, lang in enumerate(languages):
-        seen = [np.unique(grams(t[:CHARS])) for x, t in rows if x == lang]
+        seen = [np.unique(grams(t[:CHARS])) for t in texts[lang]]
         codes, n = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_counts=True)
         for at in slots(codes[n >= max(1, SHARE * len(seen))]):
-            table[at] |= np.uint16(1 << i)
-    rates = np.array([(((table >> i) & 1).mean()) ** HASHES for i in range(len(languages))])
-    return Filters(languages, table, rates)
+            tables[i // bits][at] |= word(1 << i % bits)
+    rates = np.array([(((tables[i // bits] >> i % bits) & 1).mean()) ** HASHES for i in range(len(languages))])
+    return Filters(languages, tables, rates)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
-    """Filters from a bounded sample of labelled rows: about SAMPLE documents of each of the 16 most frequent languages."""
+    """Filters from a bounded sample of labelled rows: about SAMPLE documents of each language."""
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) / float(1 << 20)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(16).collect()
+    langs = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("first")).collect()
     if not langs:
         return train([])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    wanted = F.lit(False)
-    for lang, n in langs:
-        wanted = wanted | ((F.col(lang_col) == lang) & (draw < SAMPLE / n))
-    picked = known.filter(wanted).select(F.col(lang_col).alias("l"), F.left(F.col(text_col), F.lit(CHARS)).alias("t"))
+    # the first draw of a language always goes in, so none is without a document
+    shares = docs.sparkSession.createDataFrame([(x, max(SAMPLE / n, first + 0.5 / (1 << 20))) for x, n, first in langs], "l string, share double")
+    drawn = known.select(F.col(lang_col).alias("l"), F.left(F.col(text_col), F.lit(CHARS)).alias("t"), draw.alias("draw"))
+    picked = drawn.join(F.broadcast(shares), "l").filter("draw < share").select("l", "t")  # a row for each language
     return train([(r.l, r.t) for r in picked.limit(2 * SAMPLE * len(langs)).collect()])
 
 
 def identify(docs: DataFrame, model: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row; whole texts. ``und`` and 0 for null text and text without letters."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB up to 16 languages, then 8 MB for every 64
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -39,3 +39,25 @@ def test_filter_returns_every_language_of_a_gram():
     for at in slots(codes):
         masks = m.table[at] if masks is None else masks & m.table[at]
     assert 3 in masks.tolist()  # "bcd" stands in both
+
+
+def many(r, n):
+    """Texts of n made-up languages, each of its own letters."""
+    return [(f"l{k:03}", " ".join("".join(chr(0x4E00 + 30 * k + r.randrange(30)) for _ in range(4)) for _ in range(300))) for k in range(n)]
+
+
+def test_more_languages_than_bits_of_a_word():
+    r = random.Random(3)
+    for n in (1, 16, 17, 64, 65, 130):
+        m = train(many(r, n) * 2)
+        assert len(m.languages) == n
+        rows = many(random.Random(4), n)
+        model = train(rows)
+        assert [model.score(t)[0] for _, t in rows] == [lang for lang, _ in rows]
+
+
+def test_every_language_is_learnt(docs):
+    rows = many(random.Random(5), 20)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:60]
+    got = language_id(docs([(i, rows[k % 20][1], rows[k % 20][0]) for k, i in enumerate(ids)])).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: rows[k % 20][0] for k, i in enumerate(ids)}
