@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import lookup, materialize
 
-#: A line goes if it stands on more than RATIO of its host's pages and the host has PAGES pages or more.
-RATIO, PAGES = 0.3, 5
+#: A line goes if it stands on more than RATIO of its host's pages and on SEEN of them or more. PAGES is the oracle's only.
+RATIO, SEEN, PAGES = 0.3, 2, 5
 #: What ends a line of a page, and what holds no text.
 BREAKS = r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|nav|article|section|header|footer|title|table|tr|td|th|body|head|html|main|aside|form|blockquote|pre)\b[^>]*|br[^>]*)>"
 SILENT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
@@ -27,12 +27,12 @@ def host(url: Column) -> Column:
 
 
 def drop_boilerplate(
-    pages: DataFrame, ratio: float = RATIO, least: int = PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+    pages: DataFrame, ratio: float = RATIO, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) of every row: the lines left, joined by line feeds.
 
     Pages are grouped by host; a line's frequency is the number of the host's pages that contain it, once or more
-    often, over the host's pages. Null html has no lines; a url without a host belongs to no site and loses nothing;
+    often, over the host's pages; hosts of any size, but a line of one page only stays. Null html has no lines; a url without a host belongs to no site and loses nothing;
     repeated rows count as pages; null ids are kept; an empty table gives no rows; other columns are not looked at.
 
     Lines are counted as hashes by partial sums, so a hot host or line never gathers. A host has at most (its mean
@@ -42,10 +42,10 @@ def drop_boilerplate(
     rows = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), lines(F.col(html_col)).alias("lines"))
     rows = materialize(rows, "lines")
     each = rows.filter("host <> ''").select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
-    often = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > F.lit(ratio * least))
+    often = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN)
     totals = materialize(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "hosts")
-    sites = totals.filter((F.col("pages") >= least) & (F.col("host") != ""))
-    # a host with p pages has at most (its lines) / (ratio * least) such rows: weigh it by them, so a hot host is joined in place
+    sites = totals.filter("host <> ''")
+    # a host has at most (its lines) / SEEN such rows: weigh it by them, so a hot host is joined in place
     often = materialize(often, "often")
     weighed = often.groupBy("host").agg(F.count(F.lit(1)).alias("w")).join(sites, "host")
     boiler = lookup(often, weighed, "host", "w").filter(F.col("n") > F.col("pages") * ratio)

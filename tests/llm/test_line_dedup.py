@@ -44,3 +44,9 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert drop_boilerplate(make(spark, [(1, "u", "h")]).filter("false")).collect() == []
+
+
+def test_small_hosts(spark):
+    rows = [(10 * n + i, f"http://h{n}.org/{i}", page("menu", f"own {n} {i}", "both" if i < 2 else "z")) for n in range(1, 5) for i in range(n)]
+    got = {r.page_id: r.text for r in drop_boilerplate(make(spark, rows)).collect()}
+    assert got == {10: "t\nmenu\nown 1 0\nboth"} | {10 * n + i: f"own {n} {i}" + ("\nz" if n == 3 and i == 2 else "") for n in (2, 3, 4) for i in range(n)}
