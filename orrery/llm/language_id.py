@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 #: n of the n-grams, hash functions and slots (a power of two) of the filter, and the least share of a language's
-#: training documents that must contain an n-gram; about SAMPLE documents of a language (by hash of id, from
-#: all partitions; never over twice as many in all) and CHARS characters of each train it.
-GRAM, HASHES, SLOTS, SHARE, SAMPLE, CHARS = 3, 3, 1 << 20, 0.02, 1000, 4000
+#: training documents that must contain an n-gram; about SAMPLE documents of a language (by hash of id and text, from
+#: all partitions) train it, each with its whole text.
+GRAM, HASHES, SLOTS, SHARE, SAMPLE = 3, 3, 1 << 20, 0.02, 1000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -100,35 +100,62 @@ class Filters:
 
 
 def train(rows: list[tuple[str, str]]) -> Filters:
-    """Filters from (language, text): a bit of a slot for each language, in words of 16 bits if that is enough, else 64."""
+    """Filters from (language, text), in memory."""
     texts: dict[str, list[str]] = {}
     for lang, text in rows:
         texts.setdefault(lang, []).append(text)
-    languages = sorted(texts)
+    kept = {}
+    for lang, of in texts.items():
+        codes, n = np.unique(np.concatenate([np.unique(grams(t)) for t in of]), return_counts=True)
+        kept[lang] = codes[n >= max(1, SHARE * len(of))]
+    return filters(kept)
+
+
+def filters(kept: dict[str, np.ndarray]) -> Filters:
+    """Filters from each language's frequent n-grams: a bit of a slot for each language, in words of 16 bits if that is enough, else 64."""
+    languages = sorted(kept)
     word = np.uint16 if len(languages) <= 16 else np.uint64
     bits = 8 * word().itemsize
     tables = [np.zeros(SLOTS, word) for _ in range(max(1, -(-len(languages) // bits)))]
     for i, lang in enumerate(languages):
-        seen = [np.unique(grams(t[:CHARS])) for t in texts[lang]]
-        codes, n = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_counts=True)
-        for at in slots(codes[n >= max(1, SHARE * len(seen))]):
+        for at in slots(kept[lang]):
             tables[i // bits][at] |= word(1 << i % bits)
     rates = np.array([(((tables[i // bits] >> i % bits) & 1).mean()) ** HASHES for i in range(len(languages))])
     return Filters(languages, tables, rates)
 
 
+def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(l, code, n): in how many texts of a batch (l, t) of a language each n-gram stands; code -1 counts the texts."""
+    for b in batches:
+        for lang, texts in b.groupby("l")["t"]:
+            codes, n = np.unique(np.concatenate([np.unique(grams(t)) for t in texts]), return_counts=True)
+            yield pd.DataFrame({"l": lang, "code": np.append(codes.astype(np.int64), -1), "n": np.append(n, len(texts))})
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
-    """Filters from a bounded sample of labelled rows: about SAMPLE documents of each language."""
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) / float(1 << 20)
+    """Filters from a bounded sample of labelled rows: about SAMPLE documents of each language, read whole by the executors.
+
+    A row is drawn by the hash of its id and text, and rows that repeat both count once. The driver gets a language's
+    frequent n-grams only: at most the mean number of a document's n-grams over SHARE.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("first")).collect()
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    known = known.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), h.alias("h"), (F.pmod(h, F.lit(1 << 20)) / float(1 << 20)).alias("draw"))
+    langs = known.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first")).collect()  # a row for each language
     if not langs:
-        return train([])
+        return filters({})
     # the first draw of a language always goes in, so none is without a document
     shares = docs.sparkSession.createDataFrame([(x, max(SAMPLE / n, first + 0.5 / (1 << 20))) for x, n, first in langs], "l string, share double")
-    drawn = known.select(F.col(lang_col).alias("l"), F.left(F.col(text_col), F.lit(CHARS)).alias("t"), draw.alias("draw"))
-    picked = drawn.join(F.broadcast(shares), "l").filter("draw < share").select("l", "t")  # a row for each language
-    return train([(r.l, r.t) for r in picked.limit(2 * SAMPLE * len(langs)).collect()])
+    picked = known.join(F.broadcast(shares), "l").filter("draw < share").dropDuplicates(["l", "h"]).select("l", "t")
+    small_batches(docs.sparkSession)
+    grouped = picked.mapInPandas(counted, "l string, code long, n long").groupBy("l", "code").agg(F.sum("n").alias("n"))
+    grouped = materialize(grouped, "grams")
+    texts = grouped.filter("code = -1").select("l", F.col("n").alias("texts"))
+    often = grouped.filter("code >= 0").join(F.broadcast(texts), "l").filter(F.col("n") >= F.greatest(F.lit(1.0), F.col("texts") * SHARE))
+    kept = {x.l: np.zeros(0, np.uint64) for x in langs}
+    for lang, codes in often.select("l", "code").toPandas().groupby("l")["code"]:
+        kept[lang] = codes.to_numpy().astype(np.uint64)
+    return filters(kept)
 
 
 def identify(docs: DataFrame, model: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,6 +181,5 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"))
     model = fit(base.filter("NOT held_out"), "doc_id", "text", "lang")
-    small_batches(docs.sparkSession)
     out = identify(base.withColumn("_row", F.struct("doc_id", "held_out")), model, "_row", "text")
     return out.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")

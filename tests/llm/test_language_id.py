@@ -61,3 +61,45 @@ def test_every_language_is_learnt(docs):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:60]
     got = language_id(docs([(i, rows[k % 20][1], rows[k % 20][0]) for k, i in enumerate(ids)])).collect()
     assert {r.doc_id: r.lang_pred for r in got} == {i: rows[k % 20][0] for k, i in enumerate(ids)}
+
+
+def plain_score(kept, text):
+    """Prediction from sets of n-grams, in place of the filter."""
+    t = "".join(c if c.isalpha() else " " for c in text.lower())
+    t = " " + " ".join(t.split()) + " "
+    own = [t[i : i + 3] for i in range(len(t) - 2)]
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    share = sorted(((sum(g in kept[lang] for g in own) / len(own), -k, lang) for k, lang in enumerate(sorted(kept))), reverse=True)
+    top, other = share[0][0], share[1][0]
+    return share[0][2], top * top / (top * top + other * other) if top else 0.0
+
+
+def test_against_sets_of_ngrams(docs):
+    """The whole operator without a filter: n-grams of 2 % of a language's training texts, whole texts, sets."""
+    r = random.Random(21)
+    rows = [(i, text(r, lang := r.choice(list(PARTS)), r.choice([1, 5, 40, 3000])) + " x1y, Z!", lang) for i in range(150)]
+    learnt = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    kept = {}
+    for lang in PARTS:
+        of = [x for x in learnt if x[2] == lang]
+        seen = {}
+        for _, t, _ in of:
+            t = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+            for g in {t[i : i + 3] for i in range(len(t) - 2)}:
+                seen[g] = seen.get(g, 0) + 1
+        kept[lang] = {g for g, n in seen.items() if n >= max(1, 0.02 * len(of))}
+    got = {x.doc_id: x for x in language_id(docs(rows)).collect()}
+    for i, t, _ in rows:
+        lang, score = plain_score(kept, t)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 0.01
+
+
+def test_whole_texts_and_repeated_rows_train(docs):
+    """What tells two languages apart stands after 5,000 characters; rows of no id and a repeated row don't push it out."""
+    same = "lorem ipsum " * 500
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:40]
+    rows = [(i, same + ("tha ing " if k % 2 else "sch ung ") * 60, "xx" if k % 2 else "zz") for k, i in enumerate(ids)]
+    rows += [(None, "lorem ipsum", "xx")] * 300 + [(900, same + "tha ing " * 60, None), (901, same + "sch ung " * 60, None)]
+    by = {x.doc_id: x.lang_pred for x in language_id(docs(rows)).collect()}
+    assert by[900] == "xx" and by[901] == "zz"
