@@ -68,3 +68,60 @@ def test_without_labels(spark, docs):
     assert [r.predicted for r in toxicity(docs([(1, "vilwort")]), none).collect()] == [0]
     assert toxicity(docs([]).filter("false"), none).collect() == []
     assert Model(-30.0, {}).score("a b. c")[1] == []
+
+
+def test_score_against_a_plain_loop():
+    import math
+    import re
+
+    from orrery.llm.toxicity import features
+
+    r = random.Random(4)
+    m = Model(-2.0, {f: r.uniform(-2, 3) for w in ("vil", "wort", "mora", "nesula") for f in features(w)})
+    for _ in range(60):
+        text = "".join(r.choice(["Vil", "wort", "mora", " ", " ", ". ", "!", "\n", "NESULA", "İ", "ß", "9_"]) for _ in range(r.randint(0, 60)))
+        clean, bad = 1.0, []
+        for s in re.finditer(r"[^.!?\n]+", text):
+            words = set(re.findall(r"\w+", "".join(c.lower() if len(c.lower()) == 1 else c for c in s[0])))
+            if words:
+                p = 1 / (1 + math.exp(-(m.bias + sum(m.weights.get(f, 0.0) for w in words for f in features(w)))))
+                clean *= 1 - p
+                if p >= 0.5:
+                    bad.append(s.span())
+        score, _, spans = m.score(text)
+        assert abs(score - (1 - clean)) < 1e-9 and spans == bad
+
+
+def test_gradient_against_differences():
+    import numpy as np
+
+    from orrery.llm.toxicity import bags_of, loss
+
+    r = np.random.default_rng(2)
+    b = bags_of([("aa bb. cc aa", 1), ("bb. bb cc! dd", 0), ("dd dd ee", 1), ("... !", 1), ("aa", 0)])
+    assert b.label.tolist() == [1, 0, 1, 0] and len(b.bag) == 7
+    w = r.normal(size=len(b.words) + 1)
+    value, grad = loss(w, b, b.inst, b.word, 0.01)
+    for i in range(len(w)):
+        step = np.zeros_like(w)
+        step[i] = 1e-6
+        slope = (loss(w + step, b, b.inst, b.word, 0.01)[0] - loss(w - step, b, b.inst, b.word, 0.01)[0]) / 2e-6
+        assert abs(slope - grad[i]) < 1e-6
+
+
+def test_words_behind_many_clean_ones_are_learnt(spark, docs):
+    """The sentence that earns the label stands after 25,000 characters of each toxic text."""
+    r = random.Random(9)
+    clean = lambda: ". ".join(" ".join(r.choice(["la", "mo", "ne", "ti", "su", "ra"]) + r.choice(["la", "mo", "ne"]) for _ in range(8)) for _ in range(900))
+    rows = [(i, clean() + (". you vilwort" if i % 2 else ". you mora")) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity(docs(rows), labels).collect()}
+    assert sum(got[i].predicted == i % 2 for i in range(60)) > 55
+    assert all(rows[i][1][a:b] == " you vilwort" for i in range(1, 60, 2) for a, b in got[i].spans)
+
+
+def test_reject_odd_rows(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = [(1, None), (2, ""), (None, "a b"), (3, "x"), (3, "x"), (4, "w " * 30_000)]
+    assert sorted(map(str, (x.doc_id for x in reject_toxic(docs(rows), none).collect()))) == sorted(map(str, (i for i, _ in rows)))
+    assert reject_toxic(docs([]).filter("false"), none).collect() == []
