@@ -71,6 +71,15 @@ class Index:
         return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their greatest component to 0.5 up to 1: cosines stay, squares can't overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def matrix(vecs) -> np.ndarray:
+    return scaled(np.array([np.asarray(v, np.float64) for v in vecs]))
+
+
 def units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -109,9 +118,11 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     """(query_id, rank, vec_id, score): for each row of ``queries`` its k nearest of ``rows`` other than its own id.
 
     Score is the cosine in double precision on the original vectors; ties go to the smaller id. Vectors that are null,
-    zero, of another length than most, or hold null or non-finite components take no part, as query or candidate; nor
-    do null ids. Repeated rows count once. Copies of a vector are indexed once, with its k + 1 smallest ids, which are
-    all that any query can return of them. Fewer candidates than k give fewer rows; empty tables give none.
+    empty, zero, or hold null or non-finite components take no part, as query or candidate; nor do null ids. Cosines
+    are of vectors of one length, so each length has an index of its own. An id is returned once, with the greatest
+    score, though it stand there several times or with several vectors; a query with several vectors gets the nearest
+    of any of them. Copies of a vector are indexed once, with its k + 1 smallest ids, which are all that any query can
+    return of them. Fewer candidates than k give fewer rows; empty tables give none. Other columns are not looked at.
     """
     spark = rows.sparkSession
     schema = f"query_id {dict(queries.dtypes)[id_col]}, rank int, vec_id {dict(rows.dtypes)[id_col]}, score double"
@@ -124,25 +135,37 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     own = Window.partitionBy("vec").orderBy("id")  # a group limit before the shuffle leaves k + 1 rows a task
     smallest = proper(rows).distinct().withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= k + 1)
     vectors = materialize(smallest.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    sizes = vectors.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
+    asked = materialize(proper(queries).distinct(), "asked")
+    sizes = vectors.groupBy(F.size("vec").alias("d")).count().collect()  # a row for each length
+    wanted = {r[0] for r in asked.select(F.size("vec")).distinct().collect()}
+    found = None
+    for dim, n in sorted(tuple(r) for r in sizes if r["d"] in wanted):
+        one = indexed(vectors.filter(F.size("vec") == dim), asked.filter(F.size("vec") == dim), n, k)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
         return spark.createDataFrame([], schema)
-    dim, n = sizes
-    vectors = vectors.filter(F.size("vec") == dim)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def indexed(vectors: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the nearest of ``vectors`` (vec, ids), n of one length, in each visited list."""
+    spark = vectors.sparkSession
     lists = max(1, min(LISTS, round(math.sqrt(n))))
     sample = vectors.select("vec", F.xxhash64(F.col("ids")[0]).alias("h")).orderBy("h").limit(lists * PER_LIST).toPandas()
-    index = fit(np.array([np.asarray(v, np.float64) for v in sample.vec]), k, lists)
+    index = fit(matrix(sample.vec), k, lists)
     shared = spark.sparkContext.broadcast(index)  # LISTS centroids and 256 codewords a slice at most
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                at, codes = shared.value.encode(units(np.array([np.asarray(v, np.float64) for v in b.vec])))
+                at, codes = shared.value.encode(units(matrix(b.vec)))
                 yield b.assign(list=at.astype(np.int32), code=[c.tobytes() for c in codes])
 
     fields = f"vec {dict(vectors.dtypes)['vec']}, ids {dict(vectors.dtypes)['ids']}"
     coded = materialize(vectors.mapInPandas(assign, f"{fields}, list int, code binary"), "coded")
-    asked = materialize(proper(queries).filter(F.size("vec") == dim).distinct(), "asked")
     counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row for each list
     chunks = max(1, math.ceil(asked.count() * index.probes / len(index.centroids) / CHUNK))
     splits = [max(1, math.ceil(counts.get(i, 0) / BLOCK)) for i in range(len(index.centroids))]
@@ -153,7 +176,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         for b in batches:
             for i in range(0, len(b), 64):
                 part = b.iloc[i : i + 64]
-                order = nearest(units(np.array([np.asarray(v, np.float64) for v in part.vec])), x.centroids, x.probes)
+                order = nearest(units(matrix(part.vec)), x.centroids, x.probes)
                 out = [(j, c, s) for j in range(len(part)) for c in order[j] if filled[c] for s in range(splits[c])]
                 if out:
                     j, c, s = map(list, zip(*out, strict=True))
@@ -169,13 +192,13 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         if not len(members) or not len(queries):
             return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
         x = shared.value
-        vecs = np.array([np.asarray(v, np.float64) for v in members.vec])
+        vecs = matrix(members.vec)
         codes = np.frombuffer(b"".join(members.code), np.uint8).reshape(len(members), -1)
         norms, ids = np.sqrt((vecs * vecs).sum(1)), members.ids.tolist()
         centroid = x.centroids[members.list.iloc[0]]
         for i in range(0, len(queries), 256):
             part = queries.iloc[i : i + 256]
-            q = np.array([np.asarray(v, np.float64) for v in part.vec])
+            q = matrix(part.vec)
             u = units(q)
             guess = x.estimate(u, u @ centroid, codes)
             if len(members) > k + 1:
@@ -190,11 +213,18 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 value = dict(zip(near.tolist(), score.tolist(), strict=True))
                 limit = value[int(best[min(k, len(best) - 1)])]
                 found = [(-value[int(a)], other) for a in best if value[int(a)] >= limit for other in ids[a] if other != me]
-                out += [(me, other, -s) for s, other in sorted(found)[:k]]
+                if len({other for _, other in found}) < k:  # some ids stand with several vectors: look at all of the list
+                    score = (vecs * q[j]).sum(1) / (norms * np.sqrt((q[j] * q[j]).sum()))
+                    found = [(-s, other) for s, of in zip(score.tolist(), ids, strict=True) for other in of if other != me]
+                first: dict = {}
+                for s, other in sorted(found):
+                    if other not in first:
+                        first[other] = -s
+                        if len(first) == k:
+                            break
+                out += [(me, other, s) for other, s in first.items()]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     keys = ["list", "split", "chunk"]
-    found = blocks.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(compare, f"query_id {dict(asked.dtypes)['id']}, vec_id {dict(rows.dtypes)[id_col]}, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    kinds = dict(vectors.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    return blocks.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(compare, f"query_id {dict(asked.dtypes)['id']}, vec_id {kinds}, score double")

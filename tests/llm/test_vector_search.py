@@ -60,3 +60,30 @@ def test_few_rows(spark):
     assert [(r.vec_id, round(r.score, 6)) for r in got] == [(1, round(0.5**0.5, 6)), (2, 0.0)]
     assert neighbours(frame.filter("false"), frame).collect() == []
     assert neighbours(frame, frame.filter("false")).collect() == []
+
+
+def test_components_whose_squares_leave_the_doubles(spark):
+    r = np.random.default_rng(8)
+    v = r.normal(size=(120, 6))
+    sizes = [1e200, 1e-200, 1e307, 1.0]
+    rows = [(i, (v[i] * sizes[i % 4]).tolist()) for i in range(120)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours(frame, frame.filter("vec_id % 10 = 0")).collect()
+    check(got, brute([(i, v[i].tolist()) for i in range(120)], set(range(0, 120, 10))), 0.95)
+
+
+def test_lengths_and_ids_with_several_vectors(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=6).tolist()) for i in range(60)] + [(i, r.normal(size=4).tolist()) for i in range(100, 130)]
+    rows += [(7, r.normal(size=6).tolist()), (7, [0.5, 0.5, 0.5, 0.5, 0.5, 0.4]), (7, [0.5, 0.5, 0.5, 0.5, 0.4, 0.5]), (50, [0.5] * 6), (0, r.normal(size=6).tolist())]
+    frame = table(spark, rows)
+    got = neighbours(frame, frame.filter("vec_id % 50 = 0")).collect()
+    for q in (0, 50, 100):
+        best = {}
+        for i, x in rows:
+            for j, y in rows:
+                if i == q != j and len(x) == len(y):
+                    x, y = np.array(x, np.float32).astype(float), np.array(y, np.float32).astype(float)
+                    best[j] = max(best.get(j, -2), round(float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)), 9))
+        mine = [(x.vec_id, round(x.score, 9)) for x in sorted(got, key=lambda x: x.rank) if x.query_id == q]
+        assert mine == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
