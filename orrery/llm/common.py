@@ -55,13 +55,15 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 HOT = 128
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
-    """Inner join on ``key``, unique in ``right``, whose ``weight`` is the number of ``left`` rows with that key.
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
+    """Inner join on ``key``, unique in ``right``, whose ``weight`` is the number of ``left`` rows with that key
+    (``total`` of them, if that is known already).
 
     Keys owning over 1/HOT of the rows (fewer than HOT of them, hence a bounded broadcast) never meet in one task:
     their ``left`` rows stay where they are. All other keys are shuffled.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(weight)).first()[0] or 0
     limit = max(total // HOT, 1000)
     hot = right.filter(F.col(weight) > limit).drop(weight)
     cold = right.filter(F.col(weight) <= limit).drop(weight)
@@ -72,6 +74,10 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFram
     return near.unionByName(far)
 
 
+#: Rows of a partition of ``prefix_sums``, about, where spark.sql.shuffle.partitions of them would be larger.
+DEALT = 4_000_000
+
+
 def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], group: str | None = None) -> DataFrame:
     """Exclusive running sums in the order of ``order``, without gathering rows in one task.
 
@@ -81,7 +87,7 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], group: st
     partition starts in the middle of needs an offset, so no more offsets than partitions are broadcast.
     Rows that tie in ``order`` are put in an arbitrary order, which holds throughout the result.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // DEALT))
     order = [*order, "_tie"]
     dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
     dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "dealt")

@@ -172,7 +172,12 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item; columns as they are."""
+    """The rows of ``docs`` whose text holds no benchmark item; columns as they are, whatever their names.
+
+    Rows are judged by their texts, read whole: null and empty ones and those of fewer than five words stay, repeated
+    rows stay or go together, null ids are judged like others. Without benchmark items all rows stay; an empty table
+    gives none.
+    """
     key = spare(docs, "_key")
     texts = docs.select(row_key().alias("doc_id"), "text")
     bad = materialize(contaminated(texts, benchmark, similarity, radius).select(F.col("doc_id").alias(key)).distinct(), "contaminated")

@@ -67,9 +67,12 @@ def mix(
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken; columns as they are.
+    """The mix itself: rows of ``docs``, each as often as it is taken; columns as they are, whatever their names.
 
-    Of rows that repeat in id and text one stands for all, with the copies of all.
+    Of rows that repeat in id and text one stands for all, with the copies of all. Documents without words (null and
+    empty texts among them) are drawn like others and add nothing to the size; a source of such documents only is
+    left out. Null sources are one source, null ids are drawn like others, very long texts count whole, ties in size
+    are laid out by id. An empty table gives no rows.
     """
     key, n = spare(docs, "_key"), spare(docs, "_copies")
     taken = mix(docs.select(row_key().alias("doc_id"), "text", "source"), weights, share, cap, seed)

@@ -179,7 +179,8 @@ def stars(edges: DataFrame) -> DataFrame:
     """(u, v): every node that has links, other than its component's smallest, with that smallest node.
 
     Alternating large-star and small-star rounds: neighbours move to the smallest neighbour until nothing changes.
-    Each round is written to the shared folder; rows never exceed the links given.
+    Each round is written to the shared folder; rows never exceed the links given. The links of a large star share
+    their lower end, so that end is looked up where they lie.
     """
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     now, state = materialize(ends, "links"), None
@@ -188,14 +189,17 @@ def stars(edges: DataFrame) -> DataFrame:
         if seen == state or not seen[0]:
             return now
         state = seen
-        around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = now.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))  # from the lower end
+        above = F.lit(1).cast("long").alias("w")
+        around = now.select("u", "v", F.lit(0).cast("long").alias("w")).unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), above))
+        least = materialize(around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.sum("w").alias("w")), "least")
+        lower = least.filter("w > 0").select(F.col("u").alias("v"), "m", "w")
+        large = lookup(now, lower, "v", "w", seen[0]).select("u", F.col("m").alias("v"))  # from the lower end
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
         discard(now)
+        discard(least)
         now = after
 
 
@@ -245,7 +249,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One row of ``docs`` for each component, that of the smallest id (null ids last); columns as they are."""
+    """One row of ``docs`` for each component, that of the smallest id (null ids last); columns as they are.
+
+    Of rows that repeat id and text one stays, as does one of an id's different texts if they are linked. Null and empty
+    texts have no words: they are copies of each other, and one of them stays. Very long texts are read whole. Without
+    links all rows stay; an empty table gives none. Extra columns go along, whatever their names.
+    """
     key = spare(docs, "_key")
     texts = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
     groups = materialize(near_duplicates(texts, shingle=shingle, radius=radius), "groups")

@@ -47,3 +47,68 @@ def test_run(spark, folder):
     at, _ = folder
     got = p.run(spark, at).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in spark.read.parquet(f"{at}/sharding").collect())
+
+
+def plain(spark, at, rows):
+    """run() in plain Python, with the trained model: (doc_id, shard) of every row."""
+    import hashlib
+
+    from orrery.llm.simhash_dedup import fingerprint
+    from orrery.llm.toxicity import fit
+
+    from test_decontamination import brute_cut
+    from test_mixing import targets, words
+
+    read = lambda t: spark.read.parquet(f"{at}/{t}.parquet")
+    model = fit(read("documents"), read("labels"))
+    rows = [r for r in rows if model.score(r[1])[0] < 0.7]
+    fps = [fingerprint(None if t is None else t.encode()) for _, t, *_ in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if ((fps[i] ^ fps[j]) & ((1 << 64) - 1)).bit_count() <= 3:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, r in enumerate(rows):
+        key = (r[0] is None, r[0] or 0)
+        if root(i) not in least or key < least[root(i)][0]:
+            least[root(i)] = (key, r)
+    rows = [r for _, r in least.values()]
+    items = [(r.item_id, r.text) for r in read("benchmark").collect()]
+    bad = {i for i, *_ in brute_cut([(k, r[1]) for k, r in enumerate(rows)], items)}
+    rows = [r for k, r in enumerate(rows) if k not in bad]
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += words(t)
+    target, out = targets(sizes), []
+    for s in sizes:
+        start = int(hashlib.md5(f"mix|{s or ''}".encode()).hexdigest()[:6], 16)
+        step = int(target[s] / sizes[s] * (1 << 24)) if sizes[s] else 0
+        of = sorted((r for r in rows if r[3] == s), key=lambda r: (words(r[1]), r[0] is not None, r[0] or 0))
+        for i, r in enumerate(of):
+            out += [r] * ((start + (i + 1) * step) // (1 << 24) - (start + i * step) // (1 << 24))
+    out.sort(key=lambda r: ("" if r[1] is None else hashlib.md5(r[1].encode()).hexdigest(), r[0] is not None, r[0] or 0))
+    size = lambda r: len((r[1] or "").encode()) + 8
+    total, before, got = sum(map(size, out)), 0, Counter()
+    for r in out:
+        got[r[0], min(23, (2 * before + size(r)) * 24 // (2 * total))] += 1
+        before += size(r)
+    return got
+
+
+def test_run_against_plain_python(spark, folder):
+    at, rows = folder
+    assert Counter((r.doc_id, r.shard) for r in p.run(spark, at).collect()) == plain(spark, at, rows)
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    at, _ = folder
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{at}/{t}.parquet").filter("false").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert p.run(spark, str(tmp_path)).collect() == []
