@@ -14,22 +14,27 @@ from orrery.llm.toxicity import reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted toxic, by a model of ``labels``; null and empty texts stay, repeated rows alike (``reject_toxic``)."""
     return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, of repeated rows and of texts without words (``keep_one``)."""
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``; null, empty and short texts stay (``decontaminate``)."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, up to twice; null sources are one source (``mixed``)."""
     return mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ..., shard, slot) of every row, null texts first (``shard``)."""
     return shard(docs)
 
 
@@ -41,12 +46,13 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: A trained classifier has no SQL; tests hold run() against plain Python.
+#: A trained classifier has no SQL. Tests hold run() against its stages one by one, and the stages' decisions against
+#: plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each result written and read again."""
+    """The stages applied to documents, each result written and read again. Any stage may leave no rows: the rest run on none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES[:-1]:
