@@ -160,17 +160,6 @@ def evidence_block(hits: DataFrame, limit: int = 4000) -> DataFrame:
     return parts.select("query_id", F.left(F.array_join(F.transform("p", lambda x: x["t"]), "\n"), F.lit(limit)).alias("block"))
 
 
-#: How entities are recognised without a model.
-ERROR_CODE, SIGNATURE = r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b|\bE\d{3,5}\b", r"\b([A-Za-z_][\w.]*)\(([^()]*)\)"
-
-
-def entities(sections: DataFrame) -> DataFrame:
-    """(id, kind, name) of error codes and call signatures, once for each section (id, text)."""
-    codes = sections.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ERROR_CODE), F.lit(0)))).alias("name")).withColumn("kind", F.lit("error-code"))
-    calls = sections.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(SIGNATURE), F.lit(1)))).alias("name")).withColumn("kind", F.lit("api")).filter(~F.lower("name").isin("if", "for", "while", "switch", "return", "function"))
-    return codes.unionByName(calls).select("id", "kind", "name")
-
-
 def resolve_version(candidates: DataFrame) -> DataFrame:
     """(project, version, verdict) from (project, origin, version), origin explicit, lockfile or range."""
     of = lambda o: F.col("origin") == o

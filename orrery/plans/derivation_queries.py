@@ -149,13 +149,6 @@ def section_path(spark, d):
     return v.sections(docs, "doc_id", "text").filter("text <> '# code'").select("id", "path", "text")
 
 
-@query(r"""SELECT DISTINCT doc_id AS id, 'api' AS kind, unnest(regexp_extract_all(text, '\b([A-Za-z_][\w.]*)\(([^()]*)\)', 1)) AS name FROM documents UNION
-SELECT DISTINCT doc_id, 'error-code', unnest(regexp_extract_all(text, '\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b|\bE\d{3,5}\b')) FROM documents UNION SELECT doc_id, 'error-code', 'E' || 1000 + doc_id % 7 FROM documents UNION SELECT doc_id, 'api', 'call.me' FROM documents""")
-def heuristic_entities(spark, d):
-    text = F.concat("text", F.lit(" E"), (F.lit(1000) + F.col("doc_id") % 7).cast("string"), F.lit(" call.me(x) if(y)"))
-    return v.entities(table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))).distinct()
-
-
 @query("""WITH c AS (SELECT l_suppkey AS project, CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 1 THEN 'explicit' WHEN l_linenumber <= l_suppkey % 3 THEN 'lockfile' ELSE 'range' END AS origin, 'v' || CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE l_linenumber END AS version FROM lineitem)
 SELECT project, CASE WHEN max(CASE WHEN origin = 'explicit' THEN version END) IS NOT NULL THEN max(CASE WHEN origin = 'explicit' THEN version END) WHEN count(DISTINCT CASE WHEN origin = 'lockfile' THEN version END) = 1 THEN max(CASE WHEN origin = 'lockfile' THEN version END) END AS version,
 CASE WHEN max(CASE WHEN origin = 'explicit' THEN version END) IS NOT NULL THEN 'explicit' WHEN count(DISTINCT CASE WHEN origin = 'lockfile' THEN version END) > 1 THEN 'ambiguous' WHEN count(DISTINCT CASE WHEN origin = 'lockfile' THEN version END) = 1 THEN 'lockfile'
