@@ -18,11 +18,14 @@ DIRECTIONAL = ("calls", "depends-on", "cross-module", "contains")
 
 
 def upsert_edges(edges: DataFrame, directed: bool = True) -> DataFrame:
-    """One edge for each (source, target, relation), the one of the greatest score; undirected graphs take A-B as B-A."""
+    """One edge for each (source, target, relation), the one of the greatest score with all its columns; of equal scores the
+    one whose other columns come last. Undirected graphs take A-B as B-A, with the winner's own direction as
+    ``original_direction`` (source->target)."""
     a, b = (F.col("source"), F.col("target")) if directed else (F.least("source", "target"), F.greatest("source", "target"))
-    keyed = edges.withColumn("_a", a).withColumn("_b", b)
-    best = keyed.groupBy(F.col("_a").alias("source"), F.col("_b").alias("target"), "relation").agg(F.max("score").alias("score"))
-    return best
+    rest = [c for c in edges.columns if c not in ("source", "target", "relation", "score")]
+    more = [] if directed else [F.concat("source", F.lit("->"), "target").alias("original_direction")]
+    best = F.max(F.struct("score", *rest, *more)).alias("_e")
+    return edges.groupBy(a.alias("source"), b.alias("target"), "relation").agg(best).select("source", "target", "relation", "_e.*")
 
 
 def upsert_nodes(batches: DataFrame) -> DataFrame:

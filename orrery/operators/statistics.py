@@ -34,14 +34,17 @@ def precision_recall(found: DataFrame, truth: DataFrame, keys: list[str]) -> Dat
 
 
 def bootstrap_median(values: DataFrame, column: str, rounds: int = 200, seed: int = 7, alpha: float = 0.05) -> DataFrame:
-    """(low, high): percentile interval of the median over Poisson resamples: every row draws its weight in each round
-    from a hash of row and round, so rounds are one aggregation and nothing is collected."""
-    drawn = values.select(F.col(column).alias("v"), F.xxhash64(*values.columns).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    """(low, high): percentile interval of the median over Poisson resamples, null for fewer than three rows: every row draws
+    its weight in each round from a hash of row and round, so rounds are one aggregation and nothing is collected.
+    Equal rows are counted first and told apart by their number, so each draws for itself."""
+    counted = values.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("_n"))
+    each = counted.select(F.col(column).alias("v"), F.xxhash64(*values.columns).alias("_h"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k"))
+    drawn = each.select("v", F.xxhash64("_h", "_k").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
     u = F.pmod(F.xxhash64("h", "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
     weight = sum(F.when(u >= s, 1).otherwise(0) for s in steps)
     medians = drawn.withColumn("w", weight).filter("w > 0").groupBy("round").agg(F.expr("percentile(v, 0.5, w)").alias("m"))
-    return medians.agg(F.expr(f"percentile(m, {alpha / 2})").alias("low"), F.expr(f"percentile(m, {1 - alpha / 2})").alias("high"), F.count(F.lit(1)).alias("rounds"))
+    return medians.agg(F.expr(f"percentile(m, {alpha / 2})").alias("low"), F.expr(f"percentile(m, {1 - alpha / 2})").alias("high"), F.count(F.lit(1)).alias("rounds")) if values.limit(3).count() >= 3 else values.sparkSession.createDataFrame([(None, None, 0)], "low double, high double, rounds long")
 
 
 def latest(rows: DataFrame, keys: list[str], time: str, seq: str) -> DataFrame:

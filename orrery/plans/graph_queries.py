@@ -50,7 +50,7 @@ def edge_upsert_max_conf(spark, d):
 
 @query(f"{NOISY} SELECT least(source, target) AS source, greatest(source, target) AS target, relation, max(score) AS score FROM noisy GROUP BY ALL")
 def edge_upsert_undirected(spark, d):
-    return g.upsert_edges(noisy(spark, d), directed=False)
+    return g.upsert_edges(noisy(spark, d), directed=False).drop("original_direction")
 
 
 @query("""SELECT 'nation:' || n_nationkey AS id, coalesce(n_name, '') || ' of ' || r_name AS label, 'module' AS kind,
