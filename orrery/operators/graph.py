@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.durable import cut
+from orrery.functions.durable import cut, file_system
 from orrery.functions.expressions import case
 
 DIRECTIONAL = ("calls", "depends-on", "cross-module", "contains")
@@ -111,57 +111,175 @@ def top_in_group(rows: DataFrame, group: str, by: list[Column], n: int) -> DataF
 # --- traversal ----------------------------------------------------------------------------------------------------
 
 
-def adjacency(edges: DataFrame, direction: str) -> DataFrame:
-    """(at, next, score): upstream goes from a target to its sources."""
-    down = edges.select(F.col("source").alias("at"), F.col("target").alias("next"), "score")
-    up = edges.select(F.col("target").alias("at"), F.col("source").alias("next"), "score")
+def adjacency(edges: DataFrame, direction: str, *more: str) -> DataFrame:
+    """(at, next, score, ...): upstream goes from a target to its sources."""
+    down = edges.select(F.col("source").alias("at"), F.col("target").alias("next"), "score", *more)
+    up = edges.select(F.col("target").alias("at"), F.col("source").alias("next"), "score", *more)
     return {"downstream": down, "upstream": up, "both": down.unionByName(up)}[direction]
 
 
-def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "upstream", budget: int | None = None) -> DataFrame:
-    """(id, depth, score, parent) of nodes reached from ``starts`` (id) in 1..depth hops, each at its least depth.
+def bucket(node: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
 
-    Score and parent are those of the best edge into the node at that depth (greatest score, then smallest parent).
-    A visited set is kept, so cycles end; starts are not reached again. A budget stops before the hop after which at
-    least that many nodes are reached. Every hop is one shuffle join of the frontier and one anti-join, checkpointed.
+
+def store_adjacency(edges: DataFrame, path: str, buckets: int = 16) -> None:
+    """Write ``edges`` twice, by source and by target: a folder for each relation and bucket of the node they start from.
+
+    A hop reads the buckets of its frontier, so a large graph wants as many as leave some hundred megabytes in each.
     """
-    hops = adjacency(edges, direction)
-    frontier = starts.select("id").distinct()
-    visited = cut(frontier)
+    for direction in ("downstream", "upstream"):
+        rows = adjacency(edges, direction, "relation").withColumn("bucket", bucket(F.col("at"), buckets))
+        rows.repartition("relation", "bucket").sortWithinPartitions("relation", "bucket", "at").write.partitionBy("relation", "bucket").parquet(f"{path}/{direction}-{buckets}")
+
+
+def stored_hops(spark: SparkSession, path: str, direction: str, relations: list[str] | None = None, least: float | None = None) -> Callable[[DataFrame], DataFrame]:
+    """One hop over a stored adjacency: reads the frontier's buckets only, whose numbers are all that the driver sees."""
+    fs, at = file_system(spark, path)
+    folders = {s.getPath().getName().rpartition("-")[0]: s.getPath().getName() for s in fs.listStatus(at)}
+
+    def hop(frontier: DataFrame) -> DataFrame:
+        sides = []
+        for d in ("downstream", "upstream") if direction == "both" else (direction,):
+            buckets = int(folders[d].rpartition("-")[2])
+            wanted = [r[0] for r in frontier.select(bucket(F.col("id"), buckets)).distinct().collect()]
+            kind = dict(frontier.dtypes)["id"]
+            rows = spark.read.schema(f"at {kind}, next {kind}, score double, relation string, bucket int").parquet(f"{path}/{folders[d]}").filter(F.col("bucket").isin(wanted))
+            rows = rows.filter(F.col("relation").isin(relations)) if relations else rows
+            sides.append(rows.filter(F.col("score") >= least) if least is not None else rows)
+        every = sides[0].unionByName(sides[1]) if len(sides) > 1 else sides[0]
+        return frontier.join(every.select("at", "next", "score", "relation"), F.col("id") == F.col("at"))
+
+    return hop
+
+
+def bfs(edges: DataFrame | Callable[[DataFrame], DataFrame], starts: DataFrame, depth: int, direction: str = "upstream", budget: int | None = None, visited: DataFrame | None = None) -> DataFrame:
+    """(id, depth, score, parent, path) of nodes reached from ``starts`` (id) in 1..depth hops, each at its least depth.
+
+    ``edges`` are edges, or a hop over stored ones. Score and parent are those of the best edge into the node at that depth
+    (greatest score, then smallest parent); the path leads from the start to the node. A visited set is kept, so cycles
+    end, and neither starts nor nodes ``visited`` (id) before are reached. A budget stops before the hop after which at
+    least that many nodes are reached. Every hop is one join of the frontier and one anti-join, checkpointed.
+    """
+    hop = edges if callable(edges) else (lambda hops: lambda f: f.join(hops, F.col("id") == F.col("at")))(adjacency(edges, direction))
+    frontier = cut(starts.select("id").distinct().withColumn("path", F.array("id")))
+    seen = frontier.select("id") if visited is None else frontier.select("id").unionByName(visited.select("id"))
     found = None
-    for hop in range(1, min(depth, 5) + 1):
-        step = frontier.join(hops, F.col("id") == F.col("at")).select(F.col("next").alias("id"), "score", F.col("at").alias("parent"))
-        step = step.join(visited, "id", "left_anti").groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "parent")).alias("b"))
-        step = cut(step.select("id", F.lit(hop).alias("depth"), (-F.col("b.s")).alias("score"), F.col("b.parent").alias("parent")))
+    for n in range(1, depth + 1):
+        step = hop(frontier).select(F.col("next").alias("id"), "score", F.col("at").alias("parent"), "path")
+        step = step.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "parent", "path")).alias("b"))
+        step = cut(step.select("id", F.lit(n).alias("depth"), (-F.col("b.s")).alias("score"), F.col("b.parent").alias("parent"), F.concat("b.path", F.array("id")).alias("path")))
         if step.isEmpty():
             break
         found = step if found is None else found.unionByName(step)
-        frontier = step.select("id")
-        visited = visited.unionByName(frontier)
+        frontier = step.select("id", "path")
+        seen = seen.unionByName(step.select("id"))
         if budget and found.count() >= budget:
             break
     if found is None:
-        return starts.limit(0).select("id", F.lit(0).alias("depth"), F.lit(0.0).alias("score"), F.col("id").alias("parent"))
+        return starts.limit(0).select("id", F.lit(0).alias("depth"), F.lit(0.0).alias("score"), F.col("id").alias("parent"), F.array("id").alias("path"))
     return found
 
 
+#: The greatest depth of a traversal for callers, its default score and numbers of nodes.
+DEEPEST, LEAST, NODES, MOST = 5, 0.65, 200, 1000
+
+
+def traverse(
+    edges: DataFrame, starts: DataFrame, depth: int = 2, direction: str = "upstream", least: float = LEAST, budget: int = NODES, relations: tuple[str, ...] = ("calls",), visited: DataFrame | None = None
+) -> tuple[DataFrame, list[str]]:
+    """((id, depth, score, reason, path), warnings): who is reached, why and on which way.
+
+    Warnings: depth-clamped beyond DEEPEST, budget-truncated where nodes are left out (the nearest and best scored stay),
+    missing-confidence-score where edges have no score (they are not followed), confidence-filtered-all where no edge at
+    the starts has the score asked for.
+    """
+    of = edges.filter(F.col("relation").isin(list(relations)))
+    kept, budget = of.filter(F.col("score") >= least), max(1, min(budget, MOST))
+    reached = bfs(kept, starts, min(depth, DEEPEST), direction, budget, visited)
+    warnings = []
+    if depth > DEEPEST:
+        warnings.append("depth-clamped")
+    near = adjacency(of, direction).join(starts.select(F.col("id").alias("at")).distinct(), "at", "left_semi")
+    first = near.agg(F.count(F.lit(1)), F.count("score"), F.count(F.when(F.col("score") >= least, 1))).first()
+    if first[0] > first[1]:
+        warnings.append("missing-confidence-score")
+    if depth > 0 and first[1] and not first[2]:
+        warnings.append("confidence-filtered-all")
+    rows = reached.withColumn("reason", F.concat(F.lit("called via "), "parent", F.lit(" -> "), "id")).select("id", "depth", "score", "reason", "path")
+    if reached.limit(budget + 1).count() > budget:
+        warnings.append("budget-truncated")
+        rows = rows.orderBy("depth", F.desc("score"), "id").limit(budget)
+    elif reached.limit(budget).count() == budget and not bfs(kept, reached.filter(F.col("depth") < min(depth, DEEPEST)).select("id"), 1, direction, visited=reached.select("id").unionByName(starts.select("id"))).isEmpty():
+        warnings.append("budget-truncated")
+    return rows, warnings
+
+
 def risk(direct: Column, transitive: Column) -> Column:
     return F.when((direct >= 10) | (transitive >= 50), "high").when((direct >= 3) | (transitive >= 15), "medium").otherwise("low")
 
 
-def impact(edges: DataFrame, starts: DataFrame, depth: int = 2, least: float = 0.65, direction: str = "upstream") -> DataFrame:
-    """Affected nodes with score 1 / depth, and on each row the totals and risk tier of the whole."""
-    reached = bfs(passing(edges, ["calls"], least), starts, depth, direction)
+def impact(edges: DataFrame | Callable[[DataFrame], DataFrame], starts: DataFrame, depth: int = 2, least: float = LEAST, direction: str = "upstream") -> DataFrame:
+    """Affected nodes with score 1 / depth, and on each row the totals and risk tier of the whole; DEEPEST hops at most.
+    A hop over stored edges has been given its relations and least score already."""
+    hops = edges if callable(edges) else passing(edges, ["calls"], least)
+    reached = bfs(hops, starts, min(depth, DEEPEST), direction)
     totals = reached.agg(F.coalesce(F.sum(F.when(F.col("depth") == 1, 1).otherwise(0)), F.lit(0)).alias("direct"), F.count(F.lit(1)).alias("total"))
     out = reached.join(F.broadcast(totals))  # one row
     return out.select("id", "depth", "score", (F.lit(1.0) / F.col("depth")).alias("impact"), "direct", "total", risk(F.col("direct"), F.col("total") - F.col("direct")).alias("risk"))
 
 
 def path_lengths(edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
-    """(id, depth): unweighted distances along edges, starts at 0."""
+    """(id, depth): unweighted distances along edges up to ``depth``, however great that is; starts at 0."""
     return starts.select("id", F.lit(0).alias("depth")).unionByName(bfs(edges, starts, depth, "downstream").select("id", "depth"))
 
 
+def shortest_path(edges: DataFrame, source: str, target: str, most: int = 10_000) -> list[str] | None:
+    """The nodes of a shortest path along edges, of equal ones that of the best and smallest parents; None if there is none.
+
+    Ends when the target is reached or nothing new is; ``most`` hops bound a path that would not fit a list.
+    """
+    spark = edges.sparkSession
+    if source == target:
+        return [source]
+    hops, one = cut(adjacency(edges, "downstream")), spark.createDataFrame([(source,)], "id string")
+    frontier, seen = cut(one.withColumn("path", F.array("id"))), one
+    for _ in range(most):
+        step = frontier.join(hops, F.col("id") == F.col("at")).select(F.col("next").alias("id"), "score", F.col("at").alias("parent"), "path").join(seen, "id", "left_anti")
+        step = cut(step.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "parent", "path")).alias("b")).select("id", F.concat("b.path", F.array("id")).alias("path")))
+        hit = step.filter(F.col("id") == target).first()
+        if hit:
+            return list(hit.path)
+        if step.isEmpty():
+            return None
+        frontier, seen = step, seen.unionByName(step.select("id"))
+    return None
+
+
+def within_node_budget(nodes: DataFrame, budget: int = 50) -> DataFrame:
+    """At most ``budget`` of ``nodes`` (id, tier, weight), with ``total`` and ``truncated``: starts (tier 0) go before paths
+    (1), hubs (2) and others (3), then the heavier, then ids; a budget of 0 or less is 50."""
+    budget = budget if budget > 0 else 50
+    total = nodes.agg(F.count(F.lit(1)).alias("total"))  # one row
+    kept = nodes.orderBy("tier", F.desc("weight"), "id").limit(budget)
+    return kept.join(F.broadcast(total)).withColumn("truncated", F.col("total") > budget)
+
+
+def question_subgraph(nodes: DataFrame, edges: DataFrame, question: str, budget: int = 50, depth: int = 2) -> DataFrame:
+    """(id, depth, tier, weight, total, truncated) of nodes that the words of a question name, and of those around them; an
+    empty question finds nothing.
+
+    ``nodes``: id, label. A word in a label weighs 1, in an id 0.5; what is reached from there weighs its edge's score.
+    """
+    from orrery.operators.derivation import seeds
+    from orrery.operators.retrieval import graph_terms
+
+    spark = nodes.sparkSession
+    terms = spark.createDataFrame([(question,)], "q string").select(F.explode(graph_terms(F.col("q"))).alias("term"))
+    named = cut(seeds(nodes, terms).withColumn("depth", F.lit(0)).withColumn("tier", F.lit(0)))
+    around = bfs(edges, named, depth, "both").select("id", F.col("score").alias("weight"), "depth", F.lit(3).alias("tier"))
+    return within_node_budget(named.select("id", "weight", "depth", "tier").unionByName(around), budget)
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(a, b) for every path from a to b of one edge or more, by doubling: a round for each factor of two in length."""
     paths = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
@@ -225,12 +343,18 @@ def levels(components: DataFrame, edges: DataFrame) -> DataFrame:
 # --- analytics ----------------------------------------------------------------------------------------------------
 
 
+def sampled(nodes: DataFrame, n: int = 1000, seed: int = 7) -> DataFrame:
+    """At most ``n`` of ``nodes`` (id), by a seeded hash: the sources of a sampled betweenness."""
+    return nodes.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+
+
 def betweenness(pairs: DataFrame, sources: DataFrame, most: int = 200_000) -> DataFrame:
-    """(a, b, betweenness) of undirected edges from shortest paths of ``sources`` (id).
+    """(a, b, betweenness) of undirected edges from shortest paths of ``sources`` (id), all nodes or a sample of them.
 
-    Each task takes some sources and a copy of the adjacency, whose size is checked: beyond ``most`` edges, sources
-    have to be sampled on a contracted graph first, so the operator refuses.
+    Each task takes some sources and a copy of the adjacency, whose size is checked: beyond ``most`` edges the graph
+    has to be contracted first, so the operator refuses.
     """
+    pairs = cut(pairs)
     n = pairs.count()
     if n > most:
         raise ValueError(f"{n} edges don't fit in every task; the bound is {most}")
@@ -271,10 +395,11 @@ def betweenness(pairs: DataFrame, sources: DataFrame, most: int = 200_000) -> Da
 def surprising(edges: DataFrame, members: DataFrame, between: DataFrame, top: int = 10) -> DataFrame:
     """Edges across communities or not EXTRACTED: 3 if across + weight of the level + 2 * betweenness share, 2 places."""
     weight = case(F.col("confidence"), {"AMBIGUOUS": 3, "INFERRED": 2, "EXTRACTED": 1})
-    both = edges.filter("relation <> 'contains'").join(members.select(F.col("id").alias("source"), F.col("community").alias("cs")), "source").join(members.select(F.col("id").alias("target"), F.col("community").alias("ct")), "target")
+    a, b = members.select(F.col("id").alias("source"), F.col("community").alias("cs")), members.select(F.col("id").alias("target"), F.col("community").alias("ct"))
+    both = edges.filter("relation <> 'contains'").join(a, "source", "left").join(b, "target", "left")
     most = between.agg(F.greatest(F.max("betweenness"), F.lit(1.0)).alias("most"))
     scored = both.withColumn("a", F.least("source", "target")).withColumn("b", F.greatest("source", "target")).join(between, ["a", "b"], "left").join(F.broadcast(most))
-    across = F.col("cs") != F.col("ct")
+    across = F.coalesce(F.col("cs") != F.col("ct"), F.lit(False))  # a node without a community crosses nothing
     score = F.round(F.when(across, 3).otherwise(0) + weight + 2 * F.coalesce("betweenness", F.lit(0.0)) / F.col("most"), 2)
     out = scored.filter(across | (F.col("confidence") != "EXTRACTED")).select("source", "target", "relation", across.alias("across"), score.alias("surprise"))
     return out.orderBy(F.desc("surprise"), "source", "target").limit(top)
@@ -296,6 +421,82 @@ def communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
+def louvain(pairs: DataFrame, most: int = 200_000) -> DataFrame:
+    """(id, community): communities of undirected pairs (a, b) by modularity, numbered by size and then by smallest node.
+
+    Nodes are visited by id and ties go to the smallest community, so reruns agree. A community of more than a quarter of
+    the nodes, and more than ten, is split once more by itself. The graph fits one task, whose size is checked; beyond
+    ``most`` pairs communities are those of label propagation.
+    """
+    pairs = cut(pairs.select("a", "b").distinct())
+    if pairs.count() > most:
+        parts = communities(pairs)
+    else:
+
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            links: dict = {}
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                if a != b:
+                    links.setdefault(a, {})[b] = 1.0
+                    links.setdefault(b, {})[a] = 1.0
+            out, limit = {}, max(10, len(links) // 4)
+            for group in modules(links):
+                parts = [group]
+                if len(group) > limit:
+                    inside = set(group)
+                    parts = modules({v: {w: x for w, x in links[v].items() if w in inside} for v in group})
+                for part in parts:
+                    out |= dict.fromkeys(part, min(part))
+            return pd.DataFrame(sorted(out.items()), columns=["id", "community"])
+
+        parts = pairs.groupBy(F.lit(0).alias("g")).applyInPandas(run, "id string, community string")
+    sizes = parts.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "community")) - 1  # a row for each community
+    return parts.join(sizes.select("community", rank.alias("rank")), "community").select("id", F.col("rank").alias("community"))
+
+
+def modules(links: dict) -> list[list]:
+    """Groups of nodes of a weighted graph {node: {neighbour: weight}} that raise modularity by moving nodes, level by level."""
+    members = {v: [v] for v in links}
+    graph = {v: dict(ws) for v, ws in links.items()}
+    while True:
+        degree = {v: sum(ws.values()) for v, ws in graph.items()}  # a loop's weight counts both ends already
+        total = sum(degree.values())
+        if not total:
+            break
+        of, weight, moved_any = {v: v for v in graph}, dict(degree), False
+        while True:
+            moved = False
+            for v in sorted(graph):
+                near: dict = {}
+                for w, x in graph[v].items():
+                    if w != v:
+                        near[of[w]] = near.get(of[w], 0.0) + x
+                home = of[v]
+                weight[home] -= degree[v]
+                gain = lambda c: near.get(c, 0.0) - weight[c] * degree[v] / total  # noqa: B023, E731
+                best = min(near, key=lambda c: (-round(gain(c), 12), c), default=home)
+                if best != home and gain(best) > gain(home) + 1e-12:
+                    of[v], moved, moved_any = best, True, True
+                weight[of[v]] += degree[v]
+            if not moved:
+                break
+        if not moved_any:
+            break
+        smaller: dict = {}
+        for v in sorted(graph):
+            smaller.setdefault(of[v], []).append(v)
+        names = {c: min(min(members[v]) for v in vs) for c, vs in smaller.items()}
+        merged: dict = {names[c]: {} for c in smaller}
+        for v, ws in graph.items():
+            for w, x in ws.items():
+                a, b = names[of[v]], names[of[w]]
+                merged[a][b] = merged[a].get(b, 0.0) + x
+        members = {names[c]: sorted(u for v in vs for u in members[v]) for c, vs in smaller.items()}
+        graph = merged
+    return sorted(members.values())
+
+
 def direction_audit(edges: DataFrame) -> DataFrame:
     """``verdict`` of each edge, by the first rule that applies: semantic edges of documents are skipped, reversed ones incorrect."""
     semantic = F.col("relation").isin("references", "conceptually_related_to", "mentions")

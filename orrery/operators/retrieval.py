@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The ranking function's constants and its floor for terms that most chunks contain.
@@ -29,6 +29,23 @@ def kb_tokens(text: Column) -> Column:
     return F.flatten(F.transform(runs, of))
 
 
+def token_bag(text: Column, lower: bool = False) -> Column:
+    """The tokens of ``kb_tokens`` in another order, made by a few passes over the text: what is counted needs no order."""
+    ascii_only = F.regexp_replace(text, r"[^\x00-\x7f]+", " ")
+    plain = F.lower(ascii_only) if lower else ascii_only
+    joined = F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9]+(?:[._\-<>@()/]+[A-Za-z0-9]+)+"), F.lit(0))
+    whole = F.transform(joined, lambda r: F.regexp_replace(r, "[^A-Za-z0-9]+", ""))
+    none = F.array().cast("array<string>")
+
+    def han(run: Column) -> Column:
+        chars = F.filter(F.split(run, ""), lambda c: c != "")
+        pairs = F.transform(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), lambda c, i: F.concat(c, F.get(chars, i + 1)))
+        return F.concat(chars, pairs)
+
+    chinese = F.when(text.rlike(r"\p{IsHan}"), F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\p{IsHan}+"), F.lit(0)), han))).otherwise(none)
+    return F.concat(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9]+"), F.lit(0)), whole, chinese)
+
+
 def graph_terms(text: Column) -> Column:
     """Lower-cased distinct words of more than one character; PascalCase and acronyms are split."""
     split = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
@@ -37,10 +54,40 @@ def graph_terms(text: Column) -> Column:
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(term, chunk_id, tf, dl) of lower-cased tokens; dl is the chunk's number of tokens."""
-    tokens = F.transform(kb_tokens(F.col(text_col)), lambda t: F.lower(t))
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), tokens.alias("t"))
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), token_bag(F.col(text_col), lower=True).alias("t"))
     rows = rows.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return rows.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return rows.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "chunk_id", "tf", "dl")
+
+
+#: Buckets of a stored index: a question reads those of its terms.
+BUCKETS = 32
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def store_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text") -> None:
+    """Write the postings of ``chunks`` by bucket of the term, and beside them one row (n, avgdl) on all chunks, those without a token too."""
+    rows = postings(chunks, id_col, text_col).withColumn("bucket", bucket(F.col("term")))
+    rows.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    spark = chunks.sparkSession
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    tokens = spark.read.parquet(f"{path}/postings").agg(F.sum("tf").alias("tokens"))
+    n.join(F.broadcast(tokens)).select("n", (F.coalesce("tokens", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl")).write.parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
+    """The stored postings, of the buckets of ``terms`` (term) only if given: at most BUCKETS numbers come to the driver."""
+    rows = spark.read.parquet(f"{path}/postings")
+    if terms is not None:
+        rows = rows.filter(F.col("bucket").isin([r[0] for r in terms.select(bucket(F.lower("term"))).distinct().collect()]))
+    return rows.select("term", "chunk_id", "tf", "dl")
+
+
+def search(spark: SparkSession, path: str, queries: DataFrame, top: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) of ``queries`` (query_id, term) over a stored index."""
+    return bm25(read_index(spark, path, queries), spark.read.parquet(f"{path}/stats"), queries, top)
 
 
 def bm25(index: DataFrame, n_chunks: DataFrame, queries: DataFrame, top: int | None = None) -> DataFrame:
@@ -91,7 +138,7 @@ def cap_results(rows: DataFrame, each: int = 2000, total: int = 10_000) -> DataF
 
 def keywords(docs: DataFrame, id_col: str, text_col: str, top: int = 8) -> DataFrame:
     """(id, term, weight, rank): lower-cased tokens without stop words, single characters weighing 0.3."""
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(kb_tokens(F.col(text_col))).alias("t")).select("id", F.lower("t").alias("term")).filter(~F.col("term").isin(*STOP))
+    terms = docs.select(F.col(id_col).alias("id"), F.explode(token_bag(F.col(text_col), lower=True)).alias("term")).filter(~F.col("term").isin(*STOP))
     counts = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
     weight = F.col("n") * F.when(F.length("term") == 1, F.lit(3)).otherwise(F.lit(10))
     ranked = counts.withColumn("weight", weight / 10).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "term")))
@@ -150,18 +197,18 @@ REDACTIONS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
     ("token", r"(?:sk|ghp|xox[abp])[-_][A-Za-z0-9_-]{8,}", "<token>"),
     ("home-path", r"/(?:home|Users)/[^/\s]+", "<home>"),
-    ("high-entropy", r"[A-Za-z0-9+/_=-]{20,}", "<secret>"),
+    ("high-entropy", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*\d)[A-Za-z0-9+/_=-]{20,}", "<secret>"),
     ("digits", r"\d{8,}", "<number>"),
 )
 
 
 def redact(text: Column) -> tuple[Column, Column]:
-    """(redacted text, tags of the rules that applied)."""
+    """(redacted text, tags of the rules that applied): a milder form for texts, which leaves long plain words alone.
+    Questions are masked by ``knowledge.redact_queries`` before they are recorded."""
     tags, out = [], text
     for tag, pattern, mask in REDACTIONS:
-        applies = out.rlike(r"(?=[A-Za-z0-9+/_=-]*\d)[A-Za-z0-9+/_=-]{20,}") if tag == "high-entropy" else out.rlike(pattern)
-        tags.append(F.when(applies, tag))
-        out = F.when(applies, F.regexp_replace(out, pattern, mask)).otherwise(out)
+        tags.append(F.when(out.rlike(pattern), tag))
+        out = F.regexp_replace(out, pattern, mask)
     return out, F.array_compact(F.array(*tags))
 
 
@@ -225,31 +272,50 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (n == 0) | n.isNull(), 0.0).otherwise(dot / n)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, least: float, blocks: int = 8) -> DataFrame:
-    """(a, b, score) of all pairs of ``left`` and ``right`` (id, vec) with a cosine of ``least`` or more, a <> b.
+def similar_pairs(left: DataFrame, right: DataFrame, least: float, top: int | None = None, block: int = 4096) -> DataFrame:
+    """(a, b, score) of all pairs of ``left`` and ``right`` (id, vec) of one length with a cosine of ``least`` or more, a <> b.
 
-    Rows of either side are dealt to blocks, each pair of blocks is one task with a matrix product: no side is
-    broadcast and no pair below the threshold leaves a task.
+    With ``top`` only the best so many of each left row, ties to the smaller id. Vectors that are null, empty or hold
+    nulls take no part; a zero vector has cosine 0. Rows of either side are dealt to blocks of about ``block`` rows, each
+    pair of blocks is one task with matrix products of slices: no side is broadcast, a task's memory doesn't grow with
+    the tables, and no pair below the threshold, nor beyond the best ``top`` of a task, leaves it.
     """
     import numpy as np
 
-    x = left.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
+    fine = lambda df: df.filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).filter(~F.exists("vec", lambda x: x.isNull()))
+    left, right = fine(left.select("id", "vec")), fine(right.select("id", "vec"))
+    p, q = (max(1, -(-df.count() // block)) for df in (left, right))
+    x = left.select("id", "vec", F.size("vec").alias("d"), F.pmod(F.xxhash64("id"), F.lit(p)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("j"))
     right = right.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"))  # new columns, or both sides of one table would be mixed up
-    y = right.select("rid", "rvec", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"))
-    kind = dict(left.dtypes)["id"]
+    y = right.select("rid", "rvec", F.size("rvec").alias("d"), F.pmod(F.xxhash64("rid"), F.lit(q)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("i"))
+    kind, other = dict(left.dtypes)["id"], dict(right.dtypes)["rid"]
 
     def compare(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame({"a": [], "b": [], "score": []})
-        u, v = (np.array([np.asarray(t, np.float64) for t in s]) for s in (p.vec, q.rvec))
-        norm = np.sqrt((u * u).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            s = np.where(norm > 0, (u @ v.T) / norm, 0.0)
-        a, b = np.nonzero(s >= least)
-        keep = p.id.to_numpy()[a] != q.rid.to_numpy()[b]
-        return pd.DataFrame({"a": p.id.to_numpy()[a][keep], "b": q.rid.to_numpy()[b][keep], "score": s[a, b][keep]})
-
-    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(compare, f"a {kind}, b {kind}, score double")
+        out = []
+        if len(p) and len(q):
+            q = q.sort_values("rid", kind="stable")  # a stable sort by score then leaves ties by id
+            u, v = (np.array([np.asarray(t, np.float64) for t in s]) for s in (p.vec, q.rvec))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                u, v = (np.nan_to_num(m / np.sqrt((m * m).sum(1))[:, None], nan=0.0) for m in (u, v))
+            a_ids, b_ids = p.id.to_numpy(), q.rid.to_numpy()
+            for at in range(0, len(u), 256):
+                s = u[at : at + 256] @ v.T
+                keep = (s >= least) & (a_ids[at : at + 256, None] != b_ids[None, :])
+                if top is None or top >= s.shape[1]:
+                    a, b = np.nonzero(keep)
+                else:
+                    best = np.argsort(np.where(keep, -np.round(s, 9), np.inf), axis=1, kind="stable")[:, :top]
+                    a, b = np.repeat(np.arange(len(s)), top), best.ravel()
+                    a, b = a[keep[a, b]], b[keep[a, b]]
+                out.append(pd.DataFrame({"a": a_ids[at + a], "b": b_ids[b], "score": s[a, b]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "score": []})
+
+    keys = ["d", "i", "j"]
+    pairs = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(compare, f"a {kind}, b {other}, score double")
+    if top is None:
+        return pairs
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("score", 9)), "b"))
+    return pairs.withColumn("_r", rank).filter(F.col("_r") <= top).drop("_r")
 
 
 def semantic_edges(pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orrery.operators import graph as g
 
 from .catalog import query
-from .views import EDGES_SQL, FLOW_SQL, NODES_SQL, edges, flow, nodes, table
+from .views import EDGES_SQL, FLOW_SQL, NODES_SQL, adjacent, derived_edges, edges, flow, nodes, table
 
 GRAPH = f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}"
 FLOW = f"WITH RECURSIVE {NODES_SQL}, {FLOW_SQL}"
@@ -29,7 +29,7 @@ def graph_nodes(spark, d):
 
 @query(f"{GRAPH} SELECT * FROM edges")
 def graph_edges(spark, d):
-    return edges(spark, d)
+    return derived_edges(spark, d)
 
 
 def noisy(spark, d):
@@ -153,7 +153,7 @@ near AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id HAVING min(depth)
 best AS (SELECT near.id, near.depth, max(e.score) AS score FROM near JOIN edges e ON e.source = near.id AND relation = 'calls' AND score >= 0.65
 JOIN (SELECT id, min(depth) AS depth FROM walk GROUP BY id) p ON p.id = e.target AND p.depth = near.depth - 1 GROUP BY ALL) {IMPACT}""")
 def impact_upstream(spark, d):
-    return g.impact(edges(spark, d), one(spark, "supplier:1"))
+    return g.impact(g.stored_hops(spark, adjacent(spark, d), "upstream", ["calls"], g.LEAST), one(spark, "supplier:1"))
 
 
 @query(f"""{GRAPH}, best AS (SELECT target AS id, 1 AS depth, score FROM edges WHERE source = 'customer:1' AND relation = 'calls' AND score >= 0.65) {IMPACT}""")

@@ -130,9 +130,9 @@ FROM q JOIN embeddings e ON e.vec_id <> q.vec_id) SELECT query, chunk, round(sco
 def rag_rerank(spark, d):
     """Queries are the rows whose id is divisible by 100; chunks at or above the threshold, ten at most."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    pairs = r.similar_pairs(e.filter("id % 100 = 0"), e, 0.25)
+    pairs = r.similar_pairs(e.filter("id % 100 = 0"), e, 0.25, top=10)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("score", 9)), "b"))
-    return pairs.withColumn("rank", rank).filter("rank <= 10").select(F.col("a").alias("query"), F.col("b").alias("chunk"), F.round("score", 6).alias("score"), "rank")
+    return pairs.withColumn("rank", rank).select(F.col("a").alias("query"), F.col("b").alias("chunk"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("""SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY GROUP BY ALL""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orrery.functions.durable import stored
 from orrery.functions.expressions import estimated_tokens
 from orrery.operators import retrieval as r
 
@@ -28,13 +29,8 @@ def docs(spark, d):
 
 
 def index(spark, d):
-    return r.postings(docs(spark, d), "doc_id", "text")
-
-
-def stats(spark, d):
-    """One row: number of documents and mean length in tokens."""
-    sizes = docs(spark, d).select(F.size(r.kb_tokens(F.col("text"))).alias("dl"))
-    return sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    """The folder of the documents' stored index."""
+    return stored(spark, "index", [f"{d}/documents.parquet"], lambda at: r.store_index(docs(spark, d), at, "doc_id", "text"))
 
 
 def asked(spark, d):
@@ -42,17 +38,17 @@ def asked(spark, d):
 
 
 def hits(spark, d, top=None):
-    return r.bm25(index(spark, d), stats(spark, d), asked(spark, d), top)
+    return r.search(spark, index(spark, d), asked(spark, d), top)
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, count(*) AS n, count(DISTINCT token) AS distinct_n FROM tokens GROUP BY 1")
 def kb_tokens(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(r.kb_tokens(F.col("text"))).alias("t")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("distinct_n"))
+    return docs(spark, d).select("doc_id", F.explode(r.token_bag(F.col("text"))).alias("t")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("distinct_n"))
 
 
 @query(f"WITH {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM post GROUP BY term")
 def kb_postings(spark, d):
-    return index(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return r.read_index(spark, index(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(f"""WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id)::INT AS rank FROM sc) WHERE rank <= 5""")
@@ -199,15 +195,13 @@ def cosine_pairs(spark, d):
 
 
 @query(f"""SELECT a, b, round(score, 6) AS score, rank FROM (SELECT a.vec_id AS a, b.vec_id AS b, {COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 9) DESC, b.vec_id)::INT AS rank
-FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = 0 AND b.label <> 0) WHERE rank <= 10""")
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 10""")
 def similar_topk(spark, d):
     from pyspark.sql import Window
 
-    e = table(spark, d, "embeddings")
-    v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    pairs = r.similar_pairs(v.filter("label = 0"), v.filter("label <> 0"), -1.0)
+    v = vectors(spark, d)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("score", 9)), "b"))
-    return pairs.withColumn("rank", rank).filter("rank <= 10").select("a", "b", F.round("score", 6).alias("score"), "rank")
+    return r.similar_pairs(v, v, -1.0, top=10).withColumn("rank", rank).select("a", "b", F.round("score", 6).alias("score"), "rank")
 
 
 @query(r"""WITH n AS (SELECT p_partkey AS node, p_name AS name FROM part WHERE p_partkey < 50), c AS (SELECT doc_id AS chunk, text FROM documents)

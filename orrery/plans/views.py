@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.durable import stored
 from orrery.functions.expressions import evidence_level, level_score
+from orrery.operators.graph import store_adjacency
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,19 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges as they are stored once for all queries, a folder for each relation, so that filters on it prune."""
+    files = [f"{sf_dir}/{t}.parquet" for t in ("nation", "customer", "supplier", "orders", "lineitem")]
+    path = stored(spark, "edges", files, lambda at: derived_edges(spark, sf_dir).write.partitionBy("relation").parquet(at))
+    return spark.read.parquet(path).select("source", "target", "relation", "n", "confidence", "score")
+
+
+def adjacent(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the stored adjacency of ``edges``."""
+    files = [f"{sf_dir}/{t}.parquet" for t in ("nation", "customer", "supplier", "orders", "lineitem")]
+    return stored(spark, "adjacency", files, lambda at: store_adjacency(edges(spark, sf_dir), at))
+
+
+def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target, relation, n, confidence, score): containment, customers calling suppliers, suppliers' parts."""
     t = lambda name: table(spark, sf_dir, name)
     one = F.lit(3).cast("long").alias("n")
@@ -44,7 +59,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("confidence", evidence_level(F.col("n"))).withColumn("score", level_score(F.col("confidence")))
 
 
-def flow(spark: SparkSession, sf_dir: str, top: int = 3) -> DataFrame:
+def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow between nations as it is stored once for all queries."""
+    files = [f"{sf_dir}/{t}.parquet" for t in ("customer", "supplier", "orders", "lineitem")]
+    return spark.read.parquet(stored(spark, "flow", files, lambda at: derived_flow(spark, sf_dir).write.parquet(at)))
+
+
+def derived_flow(spark: SparkSession, sf_dir: str, top: int = 3) -> DataFrame:
     """(source, target, relation, revenue): each customer nation's ``top`` supplier nations by revenue in cents."""
     t = lambda name: table(spark, sf_dir, name)
     cents = F.floor(F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")) * 100).cast("long")

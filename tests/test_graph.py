@@ -116,3 +116,91 @@ def test_poisoned_graphs(spark, make):
     assert g.duplicate_ids(twice).first()["n"] == 2
     assert g.contains_coverage(nodes, make([("m", "a")], "contains"), F.lit(True)).first()["coverage"] == 0.5
     assert g.bag_difference(nodes, nodes.unionByName(nodes.limit(1)), ["id"]).first()["new_n"] == 2
+
+
+def test_paths_of_any_length(spark, make):
+    names = [chr(97 + i) for i in range(12)]
+    e = make(list(zip(names, names[1:], strict=False)))
+    assert {r.id: r.depth for r in g.path_lengths(e, ids(spark, "a"), depth=8).collect()} == {n: i for i, n in enumerate(names[:9])}
+    assert g.shortest_path(e, "a", "l") == names and g.shortest_path(e, "l", "a") is None and g.shortest_path(e, "a", "a") == ["a"]
+    assert g.impact(e, ids(spark, "a"), depth=8, direction="downstream").count() == 5
+
+
+def test_shortest_path_takes_the_smallest_parent(spark, make):
+    e = make([("s", "b"), ("s", "a"), ("a", "t"), ("b", "t"), ("t", "s")])
+    assert g.shortest_path(e, "s", "t") == ["s", "a", "t"]
+
+
+def test_traversal_and_its_warnings(spark, make):
+    callers = [("Linear", 0.95), ("ReLU", 0.95), ("fit", 0.65), ("plot", 0.65), ("guess", 0.25)]
+    e = spark.createDataFrame([(a, "Value", "calls", s) for a, s in callers] + [("Value", "X", "depends-on", 0.95), ("deep", "fit", "calls", 0.95)], "source string, target string, relation string, score double")
+    at = lambda *a, **k: (lambda r: (sorted(x.id for x in r[0].collect()), r[1]))(g.traverse(e, ids(spark, "Value"), *a, **k))
+    assert at(1) == (["Linear", "ReLU", "fit", "plot"], [])
+    assert at(2) == (["Linear", "ReLU", "deep", "fit", "plot"], [])
+    assert at(1, budget=3) == (["Linear", "ReLU", "fit"], ["budget-truncated"])
+    assert at(2, budget=4) == (["Linear", "ReLU", "fit", "plot"], ["budget-truncated"]) and at(1, budget=4)[1] == []
+    assert at(0) == ([], []) and at(1, least=0.99) == ([], ["confidence-filtered-all"]) and at(1, least=0.7) == (["Linear", "ReLU"], [])
+    assert at(9)[1] == ["depth-clamped"]
+    rows, _ = g.traverse(e, ids(spark, "Value"))
+    deep = {r.id: r for r in rows.collect()}["deep"]
+    assert deep.path == ["Value", "fit", "deep"] and deep.reason == "called via fit -> deep" and deep.depth == 2
+    assert g.traverse(e, ids(spark, "Value"), visited=rows.select("id"))[0].collect() == []
+    lost = spark.createDataFrame([("a", "b", "calls", None)], e.schema)
+    got, warnings = g.traverse(lost, ids(spark, "b"))
+    assert got.collect() == [] and warnings == ["missing-confidence-score"]
+
+
+def test_a_hop_reads_the_frontiers_buckets(spark, make, tmp_path):
+    e = make([(f"s{i}", f"t{i % 7}") for i in range(300)])
+    g.store_adjacency(e, str(tmp_path / "adj"))
+    hop = g.stored_hops(spark, str(tmp_path / "adj"), "upstream", ["calls"], 0.65)
+    one = hop(ids(spark, "t3"))
+    plan = one._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:200]
+    assert one.count() == 43
+    assert {r.id for r in g.bfs(hop, ids(spark, "t3"), 3).collect()} == {r.id for r in g.bfs(e, ids(spark, "t3"), 3).collect()} == {f"s{i}" for i in range(300) if i % 7 == 3}
+    both = g.stored_hops(spark, str(tmp_path / "adj"), "both")
+    assert {r.id for r in g.bfs(both, ids(spark, "s3"), 2, "both").collect()} == {"t3"} | {f"s{i}" for i in range(300) if i % 7 == 3} - {"s3"}
+    own = ids(spark, "t3").select(g.bucket(F.col("id"), 16)).first()[0]
+    for f in tmp_path.glob("adj/upstream-16/relation=calls/bucket=*/part-*"):  # what isn't needed may as well be broken
+        if f.parent.name != f"bucket={own}":
+            f.write_bytes(b"junk")
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert hop(ids(spark, "t3")).count() == 43
+
+
+def test_upserts_keep_the_winning_row(spark):
+    e = spark.createDataFrame([("a", "b", "calls", 0.65, "INFERRED", "one"), ("a", "b", "calls", 0.95, "EXTRACTED", "two"), ("b", "a", "calls", 0.25, "AMBIGUOUS", "back")], "source string, target string, relation string, score double, confidence string, evidence string")
+    assert sorted(tuple(r) for r in g.upsert_edges(e).collect()) == [("a", "b", "calls", 0.95, "EXTRACTED", "two"), ("b", "a", "calls", 0.25, "AMBIGUOUS", "back")]
+    assert [tuple(r) for r in g.upsert_edges(e.filter("score < 0.9 AND source = 'b'"), directed=False).collect()] == [("a", "b", "calls", 0.25, "AMBIGUOUS", "back", "b->a")]
+
+
+def test_communities_by_modularity(spark):
+    clique = lambda names: [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    pairs = spark.createDataFrame(clique("abcd") + clique("efghi") + [("d", "e")], "a string, b string")
+    got = {r.id: r.community for r in g.louvain(pairs).collect()}
+    assert got == dict.fromkeys("efghi", 0) | dict.fromkeys("abcd", 1)
+    many = [[f"{c}{i}" for i in range(4)] for c in "klmnopq"]
+    ring = [x for names in many for x in clique(names)] + [(many[i][0], many[i - 1][1]) for i in range(7)]
+    by = {}
+    for r in g.louvain(spark.createDataFrame(ring, "a string, b string")).collect():
+        by.setdefault(r.community, set()).add(r.id)
+    assert sorted(map(sorted, by.values())) == sorted(many)
+    assert g.louvain(pairs.limit(0)).collect() == [] and g.louvain(pairs, most=3).count() == 9
+
+
+def test_surprises_of_nodes_without_a_community(spark):
+    e = spark.createDataFrame([("a", "x", "calls", "INFERRED"), ("a", "b", "calls", "EXTRACTED"), ("x", "y", "calls", "EXTRACTED")], "source string, target string, relation string, confidence string")
+    members = spark.createDataFrame([("a", 1), ("b", 2)], "id string, community int")
+    between = spark.createDataFrame([], "a string, b string, betweenness double")
+    assert [(r.source, r.target, r.across, r.surprise) for r in g.surprising(e, members, between).collect()] == [("a", "b", True, 4.0), ("a", "x", False, 2.0)]
+
+
+def test_questions_find_what_they_name(spark, make):
+    nodes = spark.createDataFrame([("f::PriorityQueue", "PriorityQueue"), ("f::Heap", "Heap"), ("g::else", "else")], "id string, label string")
+    e = make([("f::PriorityQueue", "f::Heap"), ("g::else", "f::Heap")])
+    got = [(r.id, r.depth, r.weight, r.total, r.truncated) for r in g.question_subgraph(nodes, e, "How is the priority-queue built?", budget=2, depth=1).collect()]
+    assert got == [("f::PriorityQueue", 0, 3.0, 2, False), ("f::Heap", 1, 0.95, 2, False)]
+    assert g.question_subgraph(nodes, e, "").collect() == []
+    assert [r.truncated for r in g.question_subgraph(nodes, e, "queue", budget=1).collect()] == [True]
+    assert g.sampled(nodes, 2).count() == 2

@@ -81,3 +81,57 @@ def test_arbitration_needs_a_conflict(spark):
     rows = [("a", 1, "f(x)", 1.0, None, 0.9), ("a", 2, "f(y)", 0.5, 1.0, 0.5), ("b", 1, "g()", 1.0, 1.0, 1.0), ("b", 2, "g()", 0.0, 0.0, 0.0)]
     got = r.arbitrate(spark.createDataFrame(rows, "entity_id string, candidate long, signature string, version double, recency double, confidence double")).collect()
     assert {(c.entity_id, c.candidate, c.recommended) for c in got} == {("a", 1, True), ("a", 2, False)}
+
+
+def test_bags_are_the_tokens_in_another_order(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [("".join(rnd.choice(["a", "B", "7", ".", "-", "_", "@", "é", " ", "\n", "数", "据库", "/", "(", "Foo", "İ"]) for _ in range(rnd.randint(0, 40))),) for _ in range(300)] + [(None,)]
+    got = spark.createDataFrame(rows, "t string").select(F.array_sort(r.kb_tokens(F.col("t"))).alias("a"), F.array_sort(r.token_bag(F.col("t"))).alias("b"), F.array_sort(r.token_bag(F.col("t"), lower=True)).alias("c")).collect()
+    for x in got:
+        assert x.a == x.b and (x.c is None or x.c == sorted(t.lower() for t in x.a))
+
+
+def test_a_question_reads_its_terms_buckets(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"common w{i} w{i % 5}") for i in range(200)] + [(900, ""), (901, None)], "chunk_id long, text string")
+    r.store_index(docs, str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "w3"), (1, "COMMON")], "query_id long, term string")
+    index = r.read_index(spark, str(tmp_path / "i"), q)
+    plan = index._jdf.queryExecution().toString()
+    assert "regexp" not in plan.lower() and "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:200]
+    assert spark.read.parquet(f"{tmp_path}/i/stats").first()["n"] == 202
+    stats = spark.createDataFrame([(202, 600 / 202)], "n long, avgdl double")
+    direct = {(x.chunk_id, round(x.score, 9)) for x in r.bm25(r.postings(docs), stats, q).collect()}
+    assert direct == {(x.chunk_id, round(x.score, 9)) for x in r.search(spark, str(tmp_path / "i"), q).collect()}
+
+
+def test_stored_tables_follow_their_inputs(spark, tmp_path):
+    from orrery.functions.durable import stored
+
+    at, made = str(tmp_path / "t"), []
+
+    def build(path):
+        made.append(path)
+        spark.read.parquet(at).write.parquet(path)
+
+    spark.range(3).write.parquet(at)
+    one = stored(spark, "x", [at], build)
+    assert stored(spark, "x", [at], build) == one and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(at)
+    two = stored(spark, "x", [at], build)
+    assert two != one and spark.read.parquet(two).count() == 5 and not (tmp_path / one.removeprefix("file:")).exists()
+
+
+def test_pairs_of_odd_vectors_and_best_ones(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, []), (5, [None, 1.0]), (6, [0.0, 0.0]), (7, [1.0, 0.1]), (8, [1.0, 0.1]), (None, [1.0, 0.0]), (9, [2.0])], "id long, vec array<double>")
+    assert {(p.a, p.b) for p in r.similar_pairs(v, v, 0.75).collect()} == {(1, 7), (1, 8), (7, 1), (8, 1), (7, 8), (8, 7), (3, 9), (9, 3)}
+    best = {(p.a, p.b) for p in r.similar_pairs(v, v, 0.0, top=1, block=2).collect()}
+    assert best == {(1, 7), (7, 8), (8, 7), (3, 9), (9, 3), (6, 1)}
+    assert r.similar_pairs(v.limit(0), v, 0.1).collect() == []
+
+
+def test_long_plain_words_are_no_secrets(spark):
+    text, _ = r.redact(F.col("t"))
+    got = spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz and 12 x1",)], "t string").select(text).first()[0]
+    assert got == "abcdefghijklmnopqrstuvwxyz and 12 x1"
