@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.texts import nfkc
@@ -260,3 +260,22 @@ def build(docs: DataFrame, version: str) -> dict[str, DataFrame]:
         "entities": heuristic_entities(sections),
         "postings": postings(chunks),
     }
+
+
+def publish_base(base: dict[str, DataFrame], path: str) -> None:
+    """All tables of a base (``build``) at once, a reader finds the old base or the new one."""
+    from orrery.sources.sinks import publish
+
+    publish(base, path)
+
+
+def open_bases(spark: SparkSession, vendor: str | None, project: str | None) -> tuple[dict[str, DataFrame | None], list[str]]:
+    """(tables of both bases by name with their ``source_kind``, bases that aren't there): what is missing is no error."""
+    from orrery.sources.sinks import current
+
+    found = {kind: current(spark, path) if path else None for kind, path in (("vendor", vendor), ("project", project))}
+    tables: dict[str, DataFrame | None] = {}
+    for name in ("documents", "chunks", "meta", "references", "entities", "postings"):
+        sides = [spark.read.parquet(f"{at}/{name}").withColumn("source_kind", F.lit(kind)) for kind, at in found.items() if at]
+        tables[name] = sides[0].unionByName(sides[1]) if len(sides) == 2 else sides[0] if sides else None
+    return tables, [kind for kind, at in found.items() if at is None]

@@ -120,21 +120,23 @@ def cache_keys(groups: DataFrame) -> DataFrame:
 
 
 def load_snapshot(spark: SparkSession, path: str, schema: str, version: str = "3.0") -> tuple[DataFrame | None, str]:
-    """(rows, reason) of a snapshot, a table with a ``schema_version``: ok, not-found, format-stale or corrupt.
+    """(rows, reason) of a published snapshot, a table with a ``schema_version``: ok, not-found, format-stale or corrupt.
 
     The version is looked at before the rows are, so an old snapshot isn't taken for a broken one.
     """
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
-        return None, "not-found"
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
+    from orrery.sources.sinks import current
+
+    at = current(spark, path)
+    if at is None:
+        return None, "not-found"
     try:
-        seen = spark.read.schema("schema_version string").parquet(path).agg(F.min("schema_version"), F.max("schema_version"), F.count(F.lit(1))).first()
+        seen = spark.read.schema("schema_version string").parquet(f"{at}/snapshot").agg(F.min("schema_version"), F.max("schema_version"), F.count(F.lit(1))).first()
         if seen[2] and (seen[0] != version or seen[1] != version):
             return None, "format-stale"
-        rows = spark.read.schema(f"schema_version string, {schema}").parquet(path)
+        rows = spark.read.schema(f"schema_version string, {schema}").parquet(f"{at}/snapshot")
         rows.agg(*[F.count(c) for c in rows.columns]).collect()  # every column is read once: a broken file shows
         return rows.drop("schema_version"), "ok"
     except (PySparkException, Py4JJavaError):
@@ -144,7 +146,7 @@ def load_snapshot(spark: SparkSession, path: str, schema: str, version: str = "3
 def save_snapshot(rows: DataFrame, path: str, version: str = "3.0") -> None:
     from orrery.sources.sinks import publish
 
-    publish(rows.withColumn("schema_version", F.lit(version)), path)
+    publish({"snapshot": rows.withColumn("schema_version", F.lit(version))}, path)
 
 
 def merge_state(state: DataFrame, done: DataFrame) -> DataFrame:

@@ -137,7 +137,8 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def stale_format(nodes: DataFrame, root: str) -> DataFrame:
     """Absolute ids outside ``root`` that aren't flagged external; a fresh graph has none."""
-    return nodes.filter(F.col("id").startswith("/") & ~F.col("id").startswith(root)).filter(F.coalesce(F.col("metadata")["external"], F.lit("false")) != "true")
+    top = root.rstrip("/")
+    return nodes.filter(F.col("id").startswith("/") & ~F.col("id").startswith(top + "/") & (F.col("id") != top)).filter(F.coalesce(F.col("metadata")["external"], F.lit("false")) != "true")
 
 
 def config_entries(files: DataFrame) -> DataFrame:
@@ -182,12 +183,79 @@ def openapi_operations(files: DataFrame) -> DataFrame:
 
 
 def changed_files(diff: DataFrame) -> DataFrame:
-    """(path, status) of unified diffs (value: a line each): added, deleted or modified."""
-    head = diff.select(F.regexp_extract("value", r"^diff --git a/(.*) b/(.*)$", 2).alias("path")).filter("path <> ''")
-    return head.distinct().withColumn("status", F.lit("modified"))
+    """(path, status) of unified diffs (value: a whole diff each): added, deleted, renamed or modified, by the lines of each file's head."""
+    parts = diff.select(F.explode(F.split("value", r"(?m)^(?=diff --git )")).alias("d")).filter(F.col("d").startswith("diff --git "))
+    head = F.regexp_extract("d", r"(?s)^(.*?)(?=\n@@|\z)", 1)
+    path = F.regexp_extract("d", r"^diff --git a/.* b/(.*)", 1)
+    status = F.when(head.rlike(r"(?m)^new file mode"), "added").when(head.rlike(r"(?m)^deleted file mode"), "deleted").when(head.rlike(r"(?m)^rename to "), "renamed").otherwise("modified")
+    return parts.select(path.alias("path"), status.alias("status")).filter("path <> ''").distinct()
 
 
 def porcelain(status: DataFrame) -> DataFrame:
     """(status, path) of `git status --porcelain` lines; a rename gives its new path."""
     rows = status.filter(F.length("value") > 3).select(F.trim(F.substring("value", 1, 2)).alias("status"), F.substring("value", 4, 4096).alias("path"))
     return rows.withColumn("path", F.regexp_replace("path", r"^.* -> ", ""))
+
+
+def scan_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(language, files) of a tree, and with a null language the files of extensions that aren't supported."""
+    return scan_tree(spark, root).groupBy("language").agg(F.count(F.lit(1)).alias("files"))
+
+
+def llms_documents(index: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, title, url, text) of the pages (url, markdown, title) that an index (title, url) lists, once each: ids are the
+    urls' hosts and paths, titles those of the pages, else of the index."""
+    doc_id = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", ""), r"(\.md|\.html?|/)$", "")
+    first = index.groupBy("url").agg(F.min("title").alias("listed"))
+    rows = first.join(pages, "url").select(doc_id.alias("doc_id"), F.coalesce(F.nullif(F.trim("title"), F.lit("")), "listed").alias("title"), "url", F.col("markdown").alias("text"))
+    return rows.groupBy("doc_id").agg(F.min(F.struct("url", "title", "text")).alias("r")).select("doc_id", "r.title", "r.url", "r.text")
+
+
+def documents(spark: SparkSession, root: str | None = None, index: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, title, text, links) from a folder of Markdown or from an index with its pages; one of them is required."""
+    if (root is None) == (index is None):
+        raise ValueError("a folder or an index, and not both")
+    if root is not None:
+        return markdown_documents(spark, root).select("doc_id", "title", "text", "links")
+    links = F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)\s]+)"), F.lit(1))
+    return llms_documents(index, pages).select("doc_id", "title", "text", links.alias("links"))
+
+
+def markdown_artifacts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of Markdown files (path, text): a document and its headings, that it contains, and the files that it links to."""
+    nodes = files.select(F.col("path").alias("id"), F.lit("document").alias("kind"), F.coalesce(F.nullif(F.trim(F.regexp_extract("text", r"(?m)^# +(.+)$", 1)), F.lit("")), "path").alias("label"))
+    fenced = F.regexp_replace("text", r"(?ms)^(```|~~~).*?^\1[^\n]*$", "")
+    heads = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all(fenced, F.lit(r"(?m)^#{2,6} +(.+?) *$"), F.lit(1)))).alias("head"))
+    sections = heads.select(F.concat("path", F.lit("#"), F.regexp_replace(F.lower("head"), r"[^\p{L}\p{N}]+", "-")).alias("id"), F.lit("section").alias("kind"), F.col("head").alias("label"), "path").dropDuplicates(["id"])
+    links = files.select(F.col("path").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)\s#]+)"), F.lit(1)))).alias("target")).filter(~F.col("target").rlike("^[a-z]+:"))
+    edges = sections.select(F.col("path").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("relation")).unionByName(links.withColumn("relation", F.lit("references")))
+    return nodes.unionByName(sections.select("id", "kind", "label")), edges
+
+
+def openapi_artifacts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of OpenAPI files: the interface and its operations, that it contains."""
+    ops = openapi_operations(files)
+    node = F.concat("path", F.lit("::"), "method", F.lit(" "), "endpoint")
+    nodes = files.select(F.col("path").alias("id"), F.lit("api-schema").alias("kind"), F.coalesce(F.get_json_object("text", "$.info.title"), "path").alias("label"))
+    return nodes.unionByName(ops.select(node.alias("id"), F.lit("api-endpoint").alias("kind"), F.coalesce("operation_id", F.concat("method", F.lit(" "), "endpoint")).alias("label"))), ops.select(F.col("path").alias("source"), node.alias("target"), F.lit("contains").alias("relation"))
+
+
+def extract_artifacts(files: DataFrame, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, cache rows) of the files (path, text) that are documents or interfaces and whose content isn't in
+    ``cache`` (path, hash); a file that can't be read gives its own node at most."""
+    rows = files.withColumn("artifact", classify(F.col("path"))).filter("artifact IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.sha2("text", 256))
+    if cache is not None:
+        rows = rows.join(cache.select("path", "hash"), ["path", "hash"], "left_anti")
+    n1, e1 = markdown_artifacts(rows.filter("artifact = 'document'"))
+    n2, e2 = openapi_artifacts(rows.filter("artifact = 'api-spec'"))
+    return n1.unionByName(n2), e1.unionByName(e2), rows.select("path", "hash")
+
+
+def pnpm_lock_versions(files: DataFrame) -> DataFrame:
+    """(path, package, version) of pnpm and yarn lockfiles (path, text); lockfiles of other ecosystems have a null package."""
+    pnpm = files.filter(F.col("path").endswith("pnpm-lock.yaml")).select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^  ['\"]?/?(@?[^@\s'\"(]+@\d[^:'\"(\s]*)"), F.lit(1))).alias("e"))
+    pnpm = pnpm.select("path", F.regexp_extract("e", r"^(@?[^@]+)@", 1).alias("package"), F.regexp_extract("e", r"@([^@]+)$", 1).alias("version"))
+    yarn = files.filter(F.col("path").endswith("yarn.lock")).select("path", F.explode(F.regexp_extract_all("text", F.lit(r'(?m)^"?(@?[^@\s",]+@[^:\n]*:\n  version:? "?[^"\n]+)'), F.lit(1))).alias("e"))
+    yarn = yarn.select("path", F.regexp_extract("e", r"^(@?[^@]+)@", 1).alias("package"), F.regexp_extract("e", r'version:? "?([^"]+)$', 1).alias("version"))
+    other = files.filter(F.col("path").rlike(r"(^|/)(Cargo\.lock|poetry\.lock|go\.sum|Gemfile\.lock|composer\.lock)$")).select("path", F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("version"))
+    return pnpm.unionByName(yarn).distinct().unionByName(other)

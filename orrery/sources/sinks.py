@@ -1,4 +1,5 @@
-"""Writing graphs, indexes and reports. Tables appear whole or not at all: they are staged, then renamed."""
+"""Writing graphs, indexes and reports. A publication is a folder of its own and one small file says which is current, so a
+reader, and a crash at any time, finds a whole publication: the old one or the new one."""
 
 from __future__ import annotations
 
@@ -7,34 +8,71 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions.durable import file_system
 from orrery.functions.expressions import hue, opacity, radius
 
-
-def publish(df: DataFrame, path: str, sort: list[str] | None = None, partition_by: list[str] | None = None) -> None:
-    """Write ``df`` beside ``path`` and rename it into place; a reader sees the old or the new table."""
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    out = df.sortWithinPartitions(*sort) if sort else df
-    writer = out.write.partitionBy(*partition_by) if partition_by else out.write
-    writer.parquet(staged)
+#: Publications that stay beside the current one, for readers that have begun to read them.
+KEPT = 1
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current publication at ``path``; None if there is none."""
+    fs, at = file_system(spark, f"{path.rstrip('/')}/CURRENT")
+    if not fs.exists(at):
+        return None
+    return f"{path.rstrip('/')}/{spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(at), 'UTF-8').strip()}"
+
+
+def publish(tables: dict[str, DataFrame], path: str, sort: dict[str, list[str]] | None = None, partition_by: dict[str, list[str]] | None = None) -> str:
+    """Write ``tables`` as one publication at ``path`` and make it the current one; all of them change at once.
+
+    The tables may be made from the publication they replace. The change is one rename of a small file over another.
+    Publications older than the KEPT last ones are deleted, as are unfinished ones.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    path = path.rstrip("/")
+    before = current(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    for table, df in tables.items():
+        keys = (sort or {}).get(table)
+        out = df.sortWithinPartitions(*keys) if keys else df
+        writer = out.write.partitionBy(*partition_by[table]) if (partition_by or {}).get(table) else out.write
+        writer.parquet(f"{path}/{name}/{table}")
     jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    old = jvm.org.apache.hadoop.fs.Path(staged + ".old")
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+    fs, new = file_system(spark, f"{path}/CURRENT.{name}")
+    stream = fs.create(new, True)
+    stream.write(bytearray(name.encode()))
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(new), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")), options)
+    stay = {name, before.rpartition("/")[2] if before and KEPT else name}
+    for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
+        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in stay:
+            fs.delete(status.getPath(), True)
+    return f"{path}/{name}"
+
+
+def read_published(spark: SparkSession, path: str, table: str) -> DataFrame:
+    at = current(spark, path)
+    if at is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{at}/{table}")
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes by id and edges by (source, target, relation): range-partitioned, so the files in order are the total order."""
-    publish(nodes.repartitionByRange("id"), f"{path}/nodes", ["id"])
-    publish(edges.repartitionByRange("source", "target", "relation"), f"{path}/edges", ["source", "target", "relation"])
+    order = {"nodes": ["id"], "edges": ["source", "target", "relation"]}
+    publish({"nodes": nodes.repartitionByRange("id"), "edges": edges.repartitionByRange("source", "target", "relation")}, path, order)
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    """(nodes, edges) of one publication, even if another one is made in between."""
+    at = current(spark, path)
+    if at is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges")
 
 
 def content_hash(rows: DataFrame, volatile: tuple[str, ...] = ("generated_at",)) -> str:
@@ -46,11 +84,6 @@ def content_hash(rows: DataFrame, volatile: tuple[str, ...] = ("generated_at",))
     return got.select(F.substring(F.sha2(F.concat_ws("|", "a", "b", "n"), 256), 1, 16)).first()[0]
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = 32) -> None:
-    """Postings by hash of the term: a query reads the buckets of its terms."""
-    publish(postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket"), path, ["term"], ["bucket"])
-
-
 def mermaid(edges: DataFrame) -> DataFrame:
     """(line) of a diagram: one for each edge, ids without characters that the format gives a meaning."""
     safe = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_]", "_")
@@ -83,3 +116,30 @@ def report(rows: DataFrame, title: str, most: int = 50) -> str:
 def retained(log: DataFrame, today: Column, days: int = 30) -> DataFrame:
     """Records (date) of the last ``days`` days."""
     return log.filter(F.datediff(today, F.col("date")) <= days)
+
+
+def append_event(path: str, event: dict, on: bool = True) -> bool:
+    """Append an event as a JSON line to a log of this process, if telemetry is on; whether it was written. Never raises:
+    a log that can't be written must not stop the work that it is about."""
+    import json
+
+    if not on:
+        return False
+    try:
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(json.dumps(event, ensure_ascii=False, sort_keys=True) + "\n")
+    except (OSError, TypeError, ValueError):
+        return False
+    return True
+
+
+def write_formats(rows: DataFrame, path: str, formats: tuple[str, ...] = ("parquet", "json", "csv")) -> list[str]:
+    """The same rows in several formats, a folder for each; lists and maps are JSON text where a format has none."""
+    out = []
+    for name in formats:
+        df = rows
+        if name == "csv":
+            df = rows.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in rows.dtypes])
+        df.write.mode("overwrite").option("header", True).format(name).save(f"{path}/{name}")
+        out.append(f"{path}/{name}")
+    return out

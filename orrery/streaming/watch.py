@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orrery.operators.graph import merge_incremental
 from orrery.operators.statistics import sessions
-from orrery.sources.sinks import publish, read_graph
+from orrery.sources.sinks import read_graph, write_graph
 
 #: Changes below these are not reported.
 IGNORE = r"(^|/)(node_modules|\.git|dist|build|__pycache__)(/|$)|~$|\.swp$"
@@ -31,7 +31,7 @@ def debounced(changes: DataFrame, quiet: str = "3 seconds", late: str = "10 minu
 def keep_graph(changes: DataFrame, graph: str, derive: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str) -> StreamingQuery:
     """Each micro-batch: the changed files' nodes and edges are derived anew and merged into the graph at ``graph``.
 
-    A batch that is run again after a failure merges the same files again, with the same result.
+    Nodes and edges change at once. A batch that is run again after a failure merges the same files again, with the same result.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
@@ -39,12 +39,7 @@ def keep_graph(changes: DataFrame, graph: str, derive: Callable[[DataFrame], tup
         if changed.isEmpty():
             return
         nodes, edges = read_graph(batch.sparkSession, graph)
-        merged_nodes, merged_edges = merge_incremental(nodes, edges, *derive(changed), changed)
-        publish(merged_nodes, f"{graph}/nodes.new", ["id"])
-        publish(merged_edges, f"{graph}/edges.new", ["source", "target", "relation"])
-        spark = batch.sparkSession
-        publish(spark.read.parquet(f"{graph}/nodes.new"), f"{graph}/nodes", ["id"])
-        publish(spark.read.parquet(f"{graph}/edges.new"), f"{graph}/edges", ["source", "target", "relation"])
+        write_graph(*merge_incremental(nodes, edges, *derive(changed), changed), graph)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -92,8 +92,9 @@ def test_snapshots(spark, tmp_path):
     assert reason == "ok" and [tuple(r) for r in got.collect()] == [("a", 1)]
     p.save_snapshot(rows, at, "2.0")
     assert p.load_snapshot(spark, at, "id string, n int") == (None, "format-stale")
-    (tmp_path / "bad").mkdir()
-    (tmp_path / "bad" / "x.parquet").write_bytes(b"junk")
+    (tmp_path / "bad" / "v-1" / "snapshot").mkdir(parents=True)
+    (tmp_path / "bad" / "v-1" / "snapshot" / "x.parquet").write_bytes(b"junk")
+    (tmp_path / "bad" / "CURRENT").write_text("v-1")
     assert p.load_snapshot(spark, str(tmp_path / "bad"), "id string, n int") == (None, "corrupt")
 
 

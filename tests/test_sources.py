@@ -92,3 +92,75 @@ def test_graph_kept_by_micro_batches(spark, tmp_path):
     w.keep_graph(w.change_stream(spark, str(tmp_path / "in"), "path string, ts string"), at, derive, str(tmp_path / "cp")).awaitTermination()
     nodes, edges = k.read_graph(spark, at)
     assert {r.id for r in nodes.collect()} == {"a", "b2"} and [tuple(r) for r in edges.select("source", "target").collect()] == [("b2", "a")]
+
+
+def test_status_of_changed_files(spark):
+    diff = "diff --git a/new.py b/new.py\nnew file mode 100644\n--- /dev/null\n+++ b/new.py\n@@ -0,0 +1 @@\n+x\ndiff --git a/gone.py b/gone.py\ndeleted file mode 100644\n@@ -1 +0,0 @@\n-new file mode\ndiff --git a/m.py b/m.py\nindex 1..2\n@@ -1 +1 @@\n-a\n+new file mode 1\ndiff --git a/o.py b/p.py\nsimilarity index 100%\nrename from o.py\nrename to p.py\n"
+    got = {r.path: r.status for r in f.changed_files(spark.createDataFrame([(diff,)], "value string")).collect()}
+    assert got == {"new.py": "added", "gone.py": "deleted", "m.py": "modified", "p.py": "renamed"}
+
+
+def test_neighbouring_roots_are_outside(spark):
+    nodes = spark.createDataFrame([("/root/a", {}), ("/rootx/b", {}), ("/root", {}), ("c", {}), ("/other", {"external": "true"})], "id string, metadata map<string,string>")
+    assert [r.id for r in f.stale_format(nodes, "/root/").collect()] == ["/rootx/b"]
+
+
+def test_publications_change_at_once(spark, tmp_path):
+    at = str(tmp_path / "p")
+    rows = lambda n: spark.range(n).withColumnRenamed("id", "x")
+    assert k.current(spark, at) is None
+    k.publish({"a": rows(1), "b": rows(2)}, at)
+    old = k.read_published(spark, at, "a")
+    k.publish({"a": k.read_published(spark, at, "a").unionByName(rows(3)), "b": rows(5)}, at)
+    assert (k.read_published(spark, at, "a").count(), k.read_published(spark, at, "b").count(), old.count()) == (4, 5, 1)
+    (tmp_path / "p" / "v-dead" / "a").mkdir(parents=True)  # a writer that died before it named its publication
+    assert k.read_published(spark, at, "a").count() == 4
+    k.publish({"a": rows(7), "b": rows(7)}, at)
+    assert k.read_published(spark, at, "a").count() == 7 and len(list((tmp_path / "p").glob("v-*"))) == 2 and len(list((tmp_path / "p").glob("CURRENT*"))) == 1
+
+
+def test_bases_that_are_not_there(spark, tmp_path):
+    from orrery.operators import knowledge
+
+    docs = spark.createDataFrame([("a", "A", "## One\n" + "word f1(x) " * 30, ["b"])], "doc_id string, title string, text string, links array<string>")
+    knowledge.publish_base(knowledge.build(docs, "1"), str(tmp_path / "kb"))
+    tables, missing = knowledge.open_bases(spark, None, str(tmp_path / "kb"))
+    assert missing == ["vendor"] and {r.source_kind for r in tables["chunks"].collect()} == {"project"}
+    assert knowledge.open_bases(spark, None, None)[1] == ["vendor", "project"]
+
+
+def test_documents_of_an_index(spark, tmp_path):
+    index = f.llms_index(spark.createDataFrame([("# X\n- [One](https://h.org/a/one.md): x\n- [Two](https://h.org/two/)\n- [Again](https://h.org/a/one.md)\n- [Lost](https://h.org/lost)",)], "value string"))
+    pages = spark.createDataFrame([("https://h.org/a/one.md", "text [l](two)", " "), ("https://h.org/two/", "other", "Title")], "url string, markdown string, title string")
+    got = sorted(tuple(r) for r in f.documents(spark, index=index, pages=pages).collect())
+    assert got == [("h.org/a/one", "Again", "text [l](two)", ["two"]), ("h.org/two", "Title", "other", [])]
+    (tmp_path / "d.md").write_text("# D\ntext")
+    assert [r.doc_id for r in f.documents(spark, str(tmp_path)).collect()] == ["d.md"]
+    import pytest
+
+    with pytest.raises(ValueError, match="folder"):
+        f.documents(spark)
+
+
+def test_artifacts(spark):
+    files = spark.createDataFrame([("a.md", "# T\n## One\nsee [x](b.md) and [web](https://x)\n```\n## no\n```\n## One"), ("openapi.json", json.dumps({"info": {"title": "API"}, "paths": {"/x": {"get": {"operationId": "getX"}}}})), ("c.ts", "x"), ("openapi.yaml", "bad: ["), ("n.md", None)], "path string, text string")
+    nodes, edges, seen = f.extract_artifacts(files)
+    assert {(r.id, r.kind, r.label) for r in nodes.collect()} == {("a.md", "document", "T"), ("a.md#one", "section", "One"), ("openapi.json", "api-schema", "API"), ("openapi.json::GET /x", "api-endpoint", "getX"), ("openapi.yaml", "api-schema", "openapi.yaml")}
+    assert {tuple(r) for r in edges.collect()} == {("a.md", "a.md#one", "contains"), ("a.md", "b.md", "references"), ("openapi.json", "openapi.json::GET /x", "contains")}
+    assert f.extract_artifacts(files, seen)[0].collect() == [] and seen.count() == 3
+
+
+def test_counts_locks_and_logs(spark, tmp_path):
+    for name in ("a.py", "b.py", "c.ts", "d.xyz"):
+        (tmp_path / name).write_text("x")
+    assert {r.language: r.files for r in f.scan_counts(spark, str(tmp_path)).collect()} == {"python": 2, "typescript": 1, None: 1}
+    pnpm = "packages:\n\n  /left@1.2.3:\n    x: 1\n  '@s/p@2.0.0(react@1)':\n    y: 1\n"
+    yarn = '# c\n"@s/p@^2":\n  version "2.1.0"\n\nleft@1, left@^1.0:\n  version: 1.2.3\n'
+    got = {tuple(r)[1:] for r in f.pnpm_lock_versions(spark.createDataFrame([("pnpm-lock.yaml", pnpm), ("x/yarn.lock", yarn), ("Cargo.lock", "z")], "path string, text string")).collect()}
+    assert got == {("left", "1.2.3"), ("@s/p", "2.0.0"), ("@s/p", "2.1.0"), (None, None)}
+    log = tmp_path / "log.jsonl"
+    assert k.append_event(str(log), {"a": 1}) and k.append_event(str(log), {"b": "ü"}) and not k.append_event(str(log), {"c": 1}, on=False) and not k.append_event("/nowhere/x", {}) and not k.append_event(str(log), {"d": object()})
+    assert [json.loads(line) for line in log.read_text().splitlines()] == [{"a": 1}, {"b": "ü"}]
+    rows = spark.createDataFrame([(1, [1, 2])], "a int, b array<int>")
+    paths = k.write_formats(rows, str(tmp_path / "out"))
+    assert [spark.read.option("header", True).format(x.rpartition("/")[2]).load(x).count() for x in paths] == [1, 1, 1]
