@@ -131,7 +131,7 @@ def open_questions(paragraphs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, path, text) of Markdown paragraph lines with their heading path; fenced lines are no headings.
+    """(id, line, path, text) of Markdown paragraph lines with their heading path; fenced lines are as blank ones.
 
     One document's lines are one window, so a document is the largest unit of work."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\r?\n")).alias("line", "text"))
@@ -145,7 +145,7 @@ def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         lines = lines.withColumn(f"h{k}", F.last(F.when(F.col("level") == k, F.struct("line", F.regexp_extract("text", "^#{1,6} +(.*?) *$", 1).alias("t"))), ignorenulls=True).over(w))
         lines = lines.withColumn(f"c{k}", F.last(F.when(F.col("level") < k, F.col("line")), ignorenulls=True).over(w))
         path.append(F.when(F.col(f"h{k}.line") > F.coalesce(F.col(f"c{k}"), F.lit(-1)), F.col(f"h{k}.t")))
-    kept = lines.filter(F.col("level").isNull() & ~fence & (F.trim("text") != ""))
+    kept = lines.filter(F.col("level").isNull() & ~fence & ~F.col("open") & (F.trim("text") != ""))
     return kept.select("id", "line", F.array_compact(F.array(*path)).alias("path"), "text")
 
 

@@ -516,25 +516,29 @@ def canonical_symbol(symbol: Column) -> Column:
     return F.when((s == "") | s.rlike(r"[\x00-\x1f]") | F.exists(parts, lambda p: p == ""), None).otherwise(joined)
 
 
-def fuzzy(queries: DataFrame, nodes: DataFrame, limit: int = 5) -> DataFrame:
+def fuzzy(queries: DataFrame, nodes: DataFrame, limit: int = 5, spread: int = 16) -> DataFrame:
     """(query, id, layer, similarity, rank): the first layer with a hit of exact, path suffix, partial name and edit distance.
 
-    Exact and suffix layers are equi-joins on the name's parts; the edit layer compares a query only with names of
-    nearly its length (at most half of it apart), by buckets of length.
+    Exact and suffix layers are equi-joins on the name's parts; the edit layer compares a query only with distinct names of
+    nearly its length (at most half of it apart), by buckets of length that are spread over ``spread`` tasks each.
     """
     n = nodes.select("id", F.lower(F.element_at(F.split("id", "::|/|:"), -1)).alias("name")).distinct()
     q = queries.select("query").distinct()
     exact = q.join(n, F.col("query") == F.col("id")).select("query", "id", F.lit(1).alias("layer"), F.lit(1.0).alias("similarity"))
     suffix = q.filter(F.col("query").rlike("[/:]")).withColumn("name", F.lower(F.element_at(F.split("query", "::|/|:"), -1))).join(n, "name")
     suffix = suffix.filter(F.col("id").endswith(F.col("query")) & (F.col("id") != F.col("query"))).select("query", "id", F.lit(2).alias("layer"), F.lit(0.9).alias("similarity"))
-    partial = q.withColumn("name", F.lower(F.element_at(F.split("query", "::|/|:"), -1))).join(n, "name").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("query")))
+    partial = q.withColumn("name", F.lower(F.element_at(F.split("query", "::|/|:"), -1))).join(n, "name")
+    many = partial.groupBy("query").agg(F.count(F.lit(1)).alias("_n"))
     qualified = F.col("query").rlike("[./:]")
-    partial = partial.select("query", "id", F.lit(3).alias("layer"), F.when(F.col("_n") > 1, 0.7).when(qualified, 0.95).otherwise(0.9).alias("similarity"))
-    near = q.filter("length(query) <= 512").withColumn("len", F.explode(F.expr("sequence(cast(ceil(length(query) / 2) as int), length(query) + cast(floor(length(query) / 2) as int))")))
-    near = near.join(n.withColumn("len", F.length("name")), "len").withColumn("similarity", F.lit(1.0) - F.levenshtein(F.lower("query"), "name") / F.greatest(F.length("query"), "len"))
-    near = near.filter("similarity >= 0.5").select("query", "id", F.lit(4).alias("layer"), F.least("similarity", F.lit(0.75)).alias("similarity"))
-    every = exact.unionByName(suffix).unionByName(partial).unionByName(near).withColumn("_first", F.min("layer").over(Window.partitionBy("query")))
-    ranked = every.filter("layer = _first").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id")))
+    partial = partial.join(many, "query").select("query", "id", F.lit(3).alias("layer"), F.when(F.col("_n") > 1, 0.7).when(qualified, 0.95).otherwise(0.9).alias("similarity"))
+    lost = q.filter("length(query) <= 512").join(exact.select("query").unionByName(suffix.select("query")).unionByName(partial.select("query")), "query", "left_anti")
+    near = lost.withColumn("len", F.explode(F.expr("sequence(cast(ceil(length(query) / 2) as int), length(query) + cast(floor(length(query) / 2) as int))"))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    names = n.select("name").distinct().withColumn("len", F.length("name")).withColumn("_s", F.pmod(F.xxhash64("name"), F.lit(spread)).cast("int"))
+    near = near.join(names, ["len", "_s"]).withColumn("similarity", F.lit(1.0) - F.levenshtein(F.lower("query"), "name") / F.greatest(F.length("query"), "len")).filter("similarity >= 0.5")
+    near = near.join(n, "name").select("query", "id", F.lit(4).alias("layer"), F.least("similarity", F.lit(0.75)).alias("similarity"))
+    every = exact.unionByName(suffix).unionByName(partial).unionByName(near)
+    first = every.groupBy("query").agg(F.min("layer").alias("layer"))
+    ranked = every.join(first, ["query", "layer"]).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id")))
     return ranked.filter(F.col("rank") <= max(1, limit)).select("query", "id", "layer", "similarity", "rank")
 
 
@@ -560,6 +564,24 @@ def contains_coverage(nodes: DataFrame, edges: DataFrame, symbols: Column) -> Da
     return out.withColumn("coverage", F.when(F.col("symbols") > 0, F.col("covered") / F.col("symbols")))
 
 
+def orphans(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: symbols (id, entrypoint, pure_type, test_export), those without a coupling, the exempt ones among them by the
+    first reason that applies, the others' share, and whether it is 5 % or less; null share and a pass without symbols."""
+    lone = symbols.join(coupling_degree(edges).select("id", F.lit(True).alias("_c")), "id", "left").withColumn("_c", F.coalesce("_c", F.lit(False)))
+    reason = F.when(F.col("_c"), "coupled").when(F.col("entrypoint"), "entrypoint").when(F.col("pure_type"), "pure-type").when(F.col("test_export"), "test-export").otherwise("orphan")
+    n = lambda v: F.count(F.when(reason == v, 1))
+    row = lone.agg(F.count(F.lit(1)).alias("symbols"), F.count(F.when(~F.col("_c"), 1)).alias("lone"), n("entrypoint").alias("entrypoints"), n("pure-type").alias("pure_types"), n("test-export").alias("test_exports"), n("orphan").alias("orphans"))
+    ratio = F.when(F.col("symbols") > 0, F.col("orphans") / F.col("symbols"))
+    return row.withColumn("ratio", ratio).withColumn("passed", F.coalesce(ratio <= 0.05, F.lit(True)))
+
+
+def legacy_or_ignored(nodes: DataFrame, ignored: str) -> DataFrame:
+    """(id, reason) of nodes with a legacy id (file#symbol) or whose file, up to the first ::, matches the pattern ``ignored``."""
+    file = F.regexp_extract("id", r"^(.*?)(?=::|$)", 1)
+    reason = F.when(F.col("id").rlike("^[^#]+#[^#]+$") & ~F.col("id").contains("::"), "legacy").when(file.rlike(ignored), "ignored")
+    return nodes.select("id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def merge_incremental(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): old ones of changed files (file) go, with every edge that touches them; new ones come, new ids win."""
     gone = old_nodes.join(changed, "file", "left_semi").select("id")

@@ -46,12 +46,12 @@ def contains_edges(spark, d):
     return v.contains_edges(v.derive_nodes(skeletons(spark, d)))
 
 
-@query("""SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '[?#].*$', '') LIKE '/m.%' AS external FROM pages""")
+@query("""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '[?#].*$', '') AS path FROM pages) SELECT page_id, CASE WHEN path LIKE '/m.%' THEN path ELSE path[2:] END AS id, path LIKE '/m.%' AS external FROM p""")
 def relative_ids(spark, d):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", "/"), "[?#].*$", "")
-    inside = F.when(path.startswith("/m."), path).otherwise(F.concat(F.lit("/root"), path))
-    _, external = v.relative_id(inside, "/root")
-    return table(spark, d, "pages").select("page_id", external.alias("external"))
+    inside = F.when(path.startswith("/m."), path).otherwise(F.replace(F.concat(F.lit("/root"), path), F.lit("/"), F.when(F.col("page_id") % 2 == 0, "/").otherwise("\\")))
+    key, external = v.relative_id(F.when(path.startswith("/m."), inside).otherwise(F.regexp_replace(inside, r"^\\root", "/root")), "/root")
+    return table(spark, d, "pages").select("page_id", key.alias("id"), external.alias("external"))
 
 
 @query("""WITH f AS (SELECT 'nation:' || n_nationkey AS file, n_regionkey % 3 AS language FROM nation), """ + FLOW_SQL + """
@@ -98,12 +98,12 @@ def ingest_plan(spark, d):
 
 
 AUDIT = """au AS (SELECT unit, level, list_sort(list_filter([CASE WHEN specs = 0 THEN 'missing-doc' END, CASE WHEN specs > 0 AND links = 0 THEN 'missing-links' END, CASE WHEN specs > 0 AND confidence < 0.5 THEN 'low-confidence' END], lambda x: x IS NOT NULL)) AS issues FROM (
-SELECT n_nationkey AS unit, n_regionkey AS level, count(DISTINCT s_suppkey) AS specs, max(s_suppkey % 2) AS links, max(s_acctbal / 10000) AS confidence FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 = 0 GROUP BY ALL)),
+SELECT n_nationkey AS unit, n_regionkey AS level, count(DISTINCT s_suppkey) AS specs, max(s_suppkey % 2) AS links, max(s_acctbal / 10000) AS confidence FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL)),
 st AS (SELECT *, CASE WHEN list_contains(issues, 'missing-doc') THEN 'missing-doc' WHEN len(issues) > 0 THEN 'attention' ELSE 'documented' END AS status FROM au)"""
 
 
 def audit(spark, d):
-    n, s = table(spark, d, "nation"), table(spark, d, "supplier").filter("s_suppkey % 3 = 0")
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     units = n.select(F.col("n_nationkey").alias("unit"), F.array("n_nationkey").alias("files"))
     specs = s.select(F.col("s_suppkey").alias("spec"), F.array("s_nationkey").alias("files"), (F.col("s_suppkey") % 2).alias("links"), (F.col("s_acctbal") / 10000).alias("confidence"))
     return v.coverage_audit(units, specs)
@@ -120,33 +120,36 @@ def level_coverage(spark, d):
     return v.level_coverage(audit(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("level")), "unit"))
 
 
-@query(f"""{FLOW}, k AS (SELECT 'nation:' || n_nationkey AS doc_id FROM nation WHERE n_nationkey % 4 <> 1), e AS (SELECT DISTINCT source, target FROM flow WHERE source IN (FROM k) AND target IN (FROM k))
+@query(f"""{FLOW}, k AS (SELECT 'nation:' || n_nationkey AS doc_id FROM nation), e AS (SELECT DISTINCT source, target FROM flow)
 SELECT doc_id, coalesce((SELECT list(target ORDER BY target) FROM e WHERE source = doc_id), []) AS refers_to, coalesce((SELECT list(source ORDER BY source) FROM e WHERE target = doc_id), []) AS referred_by FROM k""")
 def document_references(spark, d):
-    docs = table(spark, d, "nation").filter("n_nationkey % 4 <> 1").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("doc_id"))
-    return v.references(flow(spark, d).select("source", "target"), docs)
-
-
-TAGGED = "SELECT doc_id, '# TODO(ann): a' || chr(10) || left(text, 40) || chr(10) || '// FIXME b' AS text FROM documents"
+    """Nations as documents; every one also has a link to what isn't a document."""
+    docs = table(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("doc_id"))
+    ghosts = docs.select(F.col("doc_id").alias("source"), F.lit("ghost").alias("target"))
+    return v.references(flow(spark, d).select("source", "target").unionByName(ghosts), docs)
 
 
 @query("""SELECT doc_id AS id, 0 AS line, 'TODO' AS tag, 'ann' AS owner, 'medium' AS severity, 'a' AS note FROM documents UNION ALL
-SELECT doc_id, 2 + length(left(text, 40)) - length(replace(left(text, 40), chr(10), '')), 'FIXME', NULL, 'high', 'b' FROM documents""")
+SELECT doc_id, 2 + length(text) - length(replace(text, chr(10), '')), 'FIXME', NULL, 'high', 'b' FROM documents""")
 def debt_comments(spark, d):
-    text = F.concat(F.lit("# TODO(ann): a\n"), F.left("text", F.lit(40)), F.lit("\n// FIXME b"))
+    """Every text between two comments; no text has one of its own."""
+    text = F.concat(F.lit("# TODO(ann): a\n"), "text", F.lit("\n// FIXME b"))
     return v.debt_comments(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'confirmed' ELSE 'candidate' END AS verdict FROM documents WHERE doc_id % 4 = 0 OR doc_id % 3 = 0""")
+@query(r"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN ' open question.' WHEN doc_id % 3 = 0 THEN ' why? ' ELSE ' so.' END AS text FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(tbd|open question|to be decided|unresolved|trade-?off)\b') THEN 'confirmed' ELSE 'candidate' END AS verdict, left(text, 400) AS snippet FROM t WHERE regexp_matches(text, '(?i)\b(tbd|open question|to be decided|unresolved|trade-?off)\b') OR ends_with(rtrim(text), '?')""")
 def open_questions(spark, d):
-    text = F.concat(F.left("text", F.lit(30)), F.when(F.col("doc_id") % 4 == 0, " open question.").when(F.col("doc_id") % 3 == 0, " why? ").otherwise(" so."))
-    return v.open_questions(table(spark, d, "documents").select("doc_id", text.alias("text"))).select("doc_id", "verdict")
+    text = F.concat("text", F.when(F.col("doc_id") % 4 == 0, " open question.").when(F.col("doc_id") % 3 == 0, " why? ").otherwise(" so."))
+    return v.open_questions(table(spark, d, "documents").select("doc_id", text.alias("text"))).select("doc_id", "verdict", "snippet")
 
 
-@query("""SELECT doc_id AS id, path, text FROM (SELECT doc_id, ['A'] AS path, 'one' AS text FROM documents UNION ALL SELECT doc_id, ['A', 'B'], 'two' FROM documents UNION ALL SELECT doc_id, ['C'], 'three' FROM documents)""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS o, length(text) - length(replace(text, chr(10), '')) AS n FROM documents)
+SELECT doc_id AS id, o AS line, ['A'] AS path, t AS text FROM l WHERE trim(t) <> '' UNION ALL SELECT DISTINCT doc_id, n + 6, ['A', 'B'], 'two' FROM l UNION ALL SELECT doc_id, n + 7 + o, ['C'], t FROM l WHERE trim(t) <> ''""")
 def section_path(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.lit("# A\none\n## B\ntwo\n```\n# code\n```\n# C\n\nthree").alias("text"))
-    return v.sections(docs, "doc_id", "text").filter("text <> '# code'").select("id", "path", "text")
+    """Every text as two sections, with a fenced heading between them; no text has headings or fences of its own."""
+    text = F.concat(F.lit("# A\n"), "text", F.lit("\n## B\n```\n# code\n```\ntwo\n# C\n"), "text")
+    return v.sections(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text").select("id", F.col("line").cast("long").alias("line"), "path", "text")
 
 
 @query("""WITH c AS (SELECT l_suppkey AS project, CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 1 THEN 'explicit' WHEN l_linenumber <= l_suppkey % 3 THEN 'lockfile' ELSE 'range' END AS origin, 'v' || CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE l_linenumber END AS version FROM lineitem)
@@ -173,9 +176,9 @@ def pattern_hints(spark, d):
     return v.pattern_hints(signals).select("subject", "pattern", F.round("score", 6).alias("score"), "rank", F.round("gap", 6).alias("gap"))
 
 
-@query("""SELECT p_brand AS directory, CASE WHEN max(p_size / 50.0) < 0.6 THEN 'source' ELSE max_by(p_type, (p_size, p_type)) END AS class FROM part WHERE p_partkey % 11 = 0 GROUP BY 1""")
+@query("""SELECT p_brand || '/' || split_part(p_name, ' ', 1) AS directory, CASE WHEN max(p_size / 50.0) < 0.6 THEN 'source' ELSE max_by(p_type, (p_size, p_type)) END AS class FROM part GROUP BY 1""")
 def directory_class(spark, d):
-    signals = table(spark, d, "part").filter("p_partkey % 11 = 0").select(F.col("p_brand").alias("directory"), (F.col("p_size") / 50.0).alias("weight"), F.col("p_type").alias("category"))
+    signals = table(spark, d, "part").select(F.concat("p_brand", F.lit("/"), F.split("p_name", " ")[0]).alias("directory"), (F.col("p_size") / 50.0).alias("weight"), F.col("p_type").alias("category"))
     return v.directory_class(signals)
 
 

@@ -137,9 +137,10 @@ def core_nodes_top3(spark, d):
     return g.top_in_group(degrees, "kind", [F.desc("degree"), F.col("id")], 3)
 
 
-@query(f"{GRAPH}, {ENDS} SELECT n.id, count(e.id) AS degree FROM nodes n LEFT JOIN ends e ON n.id = e.id GROUP BY n.id HAVING count(e.id) <= 1")
+@query(f"{GRAPH}, strong AS (SELECT source AS id FROM edges WHERE score >= 0.9 UNION ALL SELECT target FROM edges WHERE score >= 0.9) SELECT n.id, count(e.id) AS degree FROM nodes n LEFT JOIN strong e ON n.id = e.id GROUP BY n.id HAVING count(e.id) <= 1")
 def isolated_nodes(spark, d):
-    return g.degree_total(nodes(spark, d), edges(spark, d)).filter("degree <= 1")
+    """Nodes with one well-attested edge or none."""
+    return g.degree_total(nodes(spark, d), g.passing(edges(spark, d), least=0.9)).filter("degree <= 1")
 
 
 IMPACT = """SELECT id, depth, score, 1.0::DOUBLE / depth AS impact, (SELECT count(*) FROM best WHERE depth = 1) AS direct, (SELECT count(*) FROM best) AS total,
@@ -156,19 +157,58 @@ def impact_upstream(spark, d):
     return g.impact(g.stored_hops(spark, adjacent(spark, d), "upstream", ["calls"], g.LEAST), one(spark, "supplier:1"))
 
 
-@query(f"""{GRAPH}, best AS (SELECT target AS id, 1 AS depth, score FROM edges WHERE source = 'customer:1' AND relation = 'calls' AND score >= 0.65) {IMPACT}""")
+def walked(starts: str, direction: str) -> str:
+    """Recursive SQL of an impact from ``starts`` along calls, two hops at most."""
+    to, frm = ("source", "target") if direction == "upstream" else ("target", "source")
+    return f"""walk(id, depth) AS ({starts} UNION SELECT e.{to}, depth + 1 FROM walk JOIN edges e ON e.{frm} = walk.id WHERE relation = 'calls' AND score >= 0.65 AND depth < 2),
+least_depth AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id), best AS (SELECT n.id, n.depth, max(e.score) AS score FROM least_depth n JOIN edges e ON e.{to} = n.id AND relation = 'calls' AND score >= 0.65
+JOIN least_depth p ON p.id = e.{frm} AND p.depth = n.depth - 1 WHERE n.depth > 0 GROUP BY ALL) {IMPACT}"""
+
+
+@query(f"{GRAPH}, " + walked("SELECT 'customer:1', 0", "downstream"))
 def impact_downstream(spark, d):
-    return g.impact(edges(spark, d), one(spark, "customer:1"), direction="downstream")
+    return g.impact(g.stored_hops(spark, adjacent(spark, d), "downstream", ["calls"], g.LEAST), one(spark, "customer:1"), direction="downstream")
 
 
-@query(f"""{GRAPH}, owned AS (SELECT target AS id FROM edges WHERE relation = 'contains' AND source IN ('nation:1', 'nation:2')),
-best AS (SELECT e.source AS id, 1 AS depth, max(score) AS score FROM edges e WHERE relation = 'calls' AND score >= 0.65 AND target IN (SELECT id FROM owned)
-AND source NOT IN (SELECT id FROM owned) GROUP BY e.source) {IMPACT}""")
+@query(f"{GRAPH}, " + walked("SELECT target, 0 FROM edges WHERE relation = 'contains' AND source IN ('nation:1', 'nation:2')", "upstream"))
 def detect_changes(spark, d):
     """Two changed nations: the nodes they own, and who calls those."""
-    e = edges(spark, d)
-    owned = e.filter("relation = 'contains' AND source IN ('nation:1', 'nation:2')").select(F.col("target").alias("id"))
-    return g.impact(e, owned)
+    owned = edges(spark, d).filter("relation = 'contains' AND source IN ('nation:1', 'nation:2')").select(F.col("target").alias("id"))
+    return g.impact(g.stored_hops(spark, adjacent(spark, d), "upstream", ["calls"], g.LEAST), owned)
+
+
+@query(f"""{GRAPH}, walk(id, depth, path) AS (SELECT 'region:1', 0, ['region:1'] UNION ALL SELECT e.target, depth + 1, list_append(path, e.target) FROM walk JOIN edges e ON e.source = walk.id WHERE relation = 'contains' AND depth < 2)
+SELECT w.id, w.depth, e.score, 'called via ' || e.source || ' -> ' || w.id AS reason, path FROM walk w JOIN edges e ON e.target = w.id AND relation = 'contains' WHERE depth > 0""")
+def traversal(spark, d):
+    """What a region contains, with the ways: containment is a tree, so there is one way to each node."""
+    rows, warnings = g.traverse(edges(spark, d), one(spark, "region:1"), 2, "downstream", budget=g.MOST, relations=("contains",))
+    assert warnings in ([], ["budget-truncated"])
+    return rows
+
+
+@query(f"""{FLOW}, walk(id, path) AS (SELECT 'nation:0', ['nation:0'] UNION ALL SELECT f.target, list_append(path, f.target) FROM walk JOIN flow f ON f.source = walk.id WHERE NOT list_contains(path, f.target) AND len(path) < 8)
+SELECT 'nation:' || n_nationkey AS id, (SELECT min(len(path)) FROM walk WHERE walk.id = 'nation:' || n_nationkey)::INT AS nodes FROM nation WHERE n_nationkey % 6 = 5""")
+def shortest_paths(spark, d):
+    """Numbers of nodes of the paths from one nation to some others; none where there is no path."""
+    f = flow(spark, d).withColumn("score", F.lit(1.0))
+    names = [r.id for r in nation_nodes(spark, d).filter("cast(split(id, ':')[1] as int) % 6 = 5").select("id").collect()]  # nations: five of them
+    paths = [(n, g.shortest_path(f, "nation:0", n)) for n in names]
+    return spark.createDataFrame([(n, len(p) if p else None) for n, p in paths], "id string, nodes int")
+
+
+QUESTION = "Which NATION_1 or NATION_20 flows?"
+
+
+@query(f"""{FLOW}, terms AS (SELECT unnest(['which', 'nation', 'or', '20', 'flows?']) AS term), seeds AS (SELECT id, sum(CASE WHEN contains(lower(label), term) THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(id), term) THEN 0.5 ELSE 0 END)::DOUBLE AS weight
+FROM nodes, terms WHERE kind = 'module' AND (contains(lower(label), term) OR contains(lower(id), term)) GROUP BY id)
+SELECT id, 0 AS depth, 0 AS tier, weight, count(*) OVER () AS total, count(*) OVER () > 10 AS truncated FROM seeds ORDER BY weight DESC, id LIMIT 10""")
+def question_subgraph(spark, d):
+    return g.question_subgraph(nation_nodes(spark, d), flow(spark, d).withColumn("score", F.lit(1.0)), QUESTION, budget=10, depth=1)
+
+
+@query()
+def louvain_communities(spark, d):
+    return g.louvain(g.simple_undirected(flow(spark, d), nodes(spark, d)))
 
 
 @query(f"""{GRAPH} SELECT 'supplier:1' AS id, (SELECT label FROM nodes WHERE id = 'supplier:1') AS label, (SELECT count(*) FROM edges WHERE target = 'supplier:1' AND relation = 'calls') AS callers,
@@ -291,10 +331,21 @@ def communities(spark, d):
     return g.communities(g.simple_undirected(flow(spark, d), nodes(spark, d)))
 
 
-@query(f"""{FLOW}, q AS (SELECT unnest(['nation:3', 'naton:3', 'x/nation:12']) AS query) SELECT 'nation:3' AS query, 'nation:3' AS id, 1 AS layer, 1.0::DOUBLE AS similarity, 1 AS rank""")
+SYMBOLS = "sym AS (SELECT DISTINCT 'src/' || p_brand || '::' || replace(p_name, ' ', '_') AS id, replace(p_name, ' ', '_') AS name FROM part)"
+
+
+@query(f"""WITH {SYMBOLS}, q AS (SELECT DISTINCT unnest([id, substr(id, 5), name, 'x' || substr(name, 1, 1) || substr(name, 3)]) AS query FROM sym), h AS (
+SELECT query, id, 1 AS layer, 1.0::DOUBLE AS similarity FROM q JOIN sym ON query = id UNION ALL SELECT query, id, 2, 0.9 FROM q JOIN sym ON ends_with(id, query) AND id <> query AND regexp_matches(query, '[/:]') UNION ALL
+SELECT query, id, 3, CASE WHEN count(*) OVER (PARTITION BY query) > 1 THEN 0.7 WHEN regexp_matches(query, '[./:]') THEN 0.95 ELSE 0.9 END FROM q JOIN sym ON name = lower(regexp_extract(query, '[^:/]*$')) UNION ALL
+SELECT query, id, 4, least(0.75, 1 - levenshtein(lower(query), name) / greatest(length(query), length(name))) FROM q JOIN sym ON length(name) BETWEEN ceil(length(query) / 2) AND length(query) + floor(length(query) / 2) AND 1 - levenshtein(lower(query), name) / greatest(length(query), length(name)) >= 0.5),
+f AS (SELECT *, min(layer) OVER (PARTITION BY query) AS first FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id)::INT AS rank FROM f WHERE layer = first)
+SELECT query, id, layer, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 5""")
 def fuzzy_resolve(spark, d):
-    q = spark.createDataFrame([("nation:3",)], "query string")
-    return g.fuzzy(q, nation_nodes(spark, d))
+    """Every part's name in every brand as a symbol, asked for by id, by the id's end, by name and misspelt."""
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    symbols = table(spark, d, "part").select(F.concat(F.lit("src/"), "p_brand", F.lit("::"), name).alias("id"), name.alias("name")).distinct()
+    forms = F.array(F.col("id"), F.substring("id", F.lit(5), F.length("id")), F.col("name"), F.concat(F.lit("x"), F.substring("name", 1, 1), F.substring("name", F.lit(3), F.length("name"))))
+    return g.fuzzy(symbols.select(F.explode(forms).alias("query")), symbols.select("id")).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""{GRAPH}, t AS (SELECT e.*, CASE WHEN a.kind = 'api-schema' THEN 'document' ELSE a.kind END AS source_kind, CASE WHEN b.kind = 'api-schema' THEN 'document' ELSE b.kind END AS target_kind
@@ -329,21 +380,41 @@ def quality_contains_coverage(spark, d):
     return g.contains_coverage(nodes(spark, d), edges(spark, d), F.col("kind").isin("component", "service", "api-schema"))
 
 
-@query(f"""{GRAPH}, z AS (SELECT id, label FROM nodes WHERE kind = 'component' AND id NOT IN (SELECT source FROM edges WHERE relation <> 'contains'))
-SELECT CASE WHEN id LIKE '%7' THEN 'entrypoint' WHEN id LIKE '%3' THEN 'pure-type' WHEN id LIKE '%1' THEN 'test-export' ELSE 'orphan' END AS reason, count(*) AS n FROM z GROUP BY 1""")
+@query(f"""{GRAPH}, strong AS (SELECT source AS id FROM edges WHERE score >= 0.9 AND relation <> 'contains' UNION SELECT target FROM edges WHERE score >= 0.9 AND relation <> 'contains'),
+z AS (SELECT id, id IN (SELECT id FROM strong) AS c FROM nodes WHERE kind = 'component'), y AS (SELECT CASE WHEN c THEN 'coupled' WHEN id LIKE '%7' THEN 'entrypoint' WHEN id LIKE '%3' THEN 'pure-type' WHEN id LIKE '%1' THEN 'test-export' ELSE 'orphan' END AS r, c FROM z)
+SELECT count(*) AS symbols, count(*) FILTER (NOT c) AS lone, count(*) FILTER (r = 'entrypoint') AS entrypoints, count(*) FILTER (r = 'pure-type') AS pure_types, count(*) FILTER (r = 'test-export') AS test_exports, count(*) FILTER (r = 'orphan') AS orphans,
+count(*) FILTER (r = 'orphan') / count(*) AS ratio, count(*) FILTER (r = 'orphan') / count(*) <= 0.05 AS passed FROM y""")
 def quality_orphans(spark, d):
-    """Components without any coupling, exemptions in order."""
-    lone = nodes(spark, d).filter("kind = 'component'").join(g.coupling_degree(edges(spark, d)), "id", "left_anti")
-    reason = F.when(F.col("id").endswith("7"), "entrypoint").when(F.col("id").endswith("3"), "pure-type").when(F.col("id").endswith("1"), "test-export").otherwise("orphan")
-    return lone.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Components without a well-attested coupling."""
+    at = F.col("id")
+    symbols = nodes(spark, d).filter("kind = 'component'").select("id", at.endswith("7").alias("entrypoint"), at.endswith("3").alias("pure_type"), at.endswith("1").alias("test_export"))
+    return g.orphans(symbols, g.passing(edges(spark, d), least=0.9))
+
+
+LEGACY = """odd AS (SELECT CASE WHEN CAST(split_part(id, ':', 2) AS INT) % 5 = 0 THEN replace(id, ':', '#') WHEN CAST(split_part(id, ':', 2) AS INT) % 5 = 1 THEN 'dist/' || replace(id, ':', '::') ELSE replace(id, ':', '::') END AS id, kind FROM nodes UNION ALL SELECT replace(id, ':', '::'), kind FROM nodes WHERE kind = 'module'),
+lg AS (SELECT id, CASE WHEN contains(id, '#') THEN 'legacy' WHEN id LIKE 'dist/%' THEN 'ignored' END AS reason FROM odd WHERE contains(id, '#') OR id LIKE 'dist/%')"""
+
+
+def odd_nodes(spark, d):
+    """Nodes with canonical ids, a fifth of them legacy ones, a fifth in an ignored folder, modules with a canonical twin."""
+    n = nodes(spark, d)
+    k = F.split("id", ":")[1].cast("long") % 5
+    canonical = F.replace("id", F.lit(":"), F.lit("::"))
+    own = n.select(F.when(k == 0, F.replace("id", F.lit(":"), F.lit("#"))).when(k == 1, F.concat(F.lit("dist/"), canonical)).otherwise(canonical).alias("id"), "kind")
+    return own.unionByName(n.filter("kind = 'module'").select(canonical.alias("id"), "kind"))
+
+
+@query(f"{GRAPH}, {LEGACY} SELECT id, reason FROM lg")
+def quality_legacy_ignored(spark, d):
+    return g.legacy_or_ignored(odd_nodes(spark, d), "^dist/")
 
 
-@query(f"""{GRAPH}, kept AS (SELECT * FROM nodes {SOME}), x AS (SELECT (SELECT count(*) FROM edges WHERE source NOT IN (SELECT id FROM kept) OR target NOT IN (SELECT id FROM kept)) AS dangling, 0::BIGINT AS duplicates,
-(SELECT count(*) FROM nodes WHERE id LIKE '%#%') AS legacy) SELECT *, CASE WHEN dangling > 0 OR duplicates > 0 THEN 'fail' WHEN legacy > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM x""")
+@query(f"""{GRAPH}, {LEGACY}, kept AS (SELECT * FROM nodes {SOME}), x AS (SELECT (SELECT count(*) FROM edges WHERE source NOT IN (SELECT id FROM kept) OR target NOT IN (SELECT id FROM kept)) AS dangling,
+(SELECT count(*) FROM (SELECT replace(id, '#', '::') AS c, kind FROM odd GROUP BY ALL HAVING count(DISTINCT id) > 1)) AS duplicates, (SELECT count(*) FROM lg) AS legacy) SELECT *, CASE WHEN dangling > 0 OR duplicates > 0 THEN 'fail' WHEN legacy > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM x""")
 def quality_verdict(spark, d):
     dangling = g.dangling_edges(edges(spark, d), some_nodes(spark, d)).agg(F.count(F.lit(1)).alias("dangling"))
-    duplicates = g.duplicate_ids(nodes(spark, d)).agg(F.count(F.lit(1)).alias("duplicates"))
-    legacy = nodes(spark, d).agg(F.count(F.when(F.col("id").contains("#"), 1)).alias("legacy"))
+    duplicates = g.duplicate_ids(odd_nodes(spark, d)).agg(F.count(F.lit(1)).alias("duplicates"))
+    legacy = g.legacy_or_ignored(odd_nodes(spark, d), "^dist/").agg(F.count(F.lit(1)).alias("legacy"))
     one_row = dangling.join(F.broadcast(duplicates)).join(F.broadcast(legacy))
     return one_row.withColumn("verdict", F.when((F.col("dangling") > 0) | (F.col("duplicates") > 0), "fail").when(F.col("legacy") > 0, "warn").otherwise("pass"))
 
@@ -356,12 +427,14 @@ def graph_bag_diff(spark, d):
 
 @query(f"""{GRAPH}, files AS (SELECT id, kind, label, 'f' || (CAST(split_part(id, ':', 2) AS INT) % 10) AS file FROM nodes WHERE kind IN ('component', 'service')),
 gone AS (SELECT id FROM files WHERE file IN ('f1', 'f2')), calls AS (SELECT source, target FROM edges WHERE relation = 'calls')
-SELECT count(*) AS edges, (SELECT count(*) FROM files WHERE file NOT IN ('f1', 'f2')) + 1 AS nodes FROM calls WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone)""")
+SELECT 'edge' AS what, source AS a, target AS b FROM calls WHERE source NOT IN (SELECT id FROM gone) AND target NOT IN (SELECT id FROM gone) UNION ALL SELECT 'edge', 'supplier:1', 'supplier:3'
+UNION ALL SELECT 'node', id, file FROM files WHERE file NOT IN ('f1', 'f2') UNION ALL SELECT 'node', 'supplier:1', 'f1' UNION ALL SELECT 'node', 'new:1', 'f2'""")
 def incremental_merge(spark, d):
+    """Two changed files, of whose nodes one is still there and one is new: the merged graph, nodes and edges."""
     file = F.concat(F.lit("f"), (F.split("id", ":")[1].cast("long") % 10).cast("string"))
     n = nodes(spark, d).filter("kind IN ('component', 'service')").withColumn("file", file)
-    fresh = spark.createDataFrame([("new:1", "component", "fresh", "f1")], "id string, kind string, label string, file string")
+    fresh = spark.createDataFrame([("supplier:1", "service", "again", "f1"), ("new:1", "component", "fresh", "f2")], "id string, kind string, label string, file string")
     changed = spark.createDataFrame([("f1",), ("f2",)], "file string")
     e = edges(spark, d).filter("relation = 'calls'").select("source", "target")
-    merged_nodes, merged_edges = g.merge_incremental(n, e, fresh, e.limit(0), changed)
-    return merged_edges.agg(F.count(F.lit(1)).alias("edges")).join(F.broadcast(merged_nodes.agg(F.count(F.lit(1)).alias("nodes"))))
+    merged_nodes, merged_edges = g.merge_incremental(n, e, fresh, spark.createDataFrame([("supplier:1", "supplier:3")], "source string, target string"), changed)
+    return merged_edges.select(F.lit("edge").alias("what"), F.col("source").alias("a"), F.col("target").alias("b")).unionByName(merged_nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("file").alias("b")))

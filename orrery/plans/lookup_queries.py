@@ -57,9 +57,10 @@ def community_lookup(spark, d):
     return g.degree_total(members, flow(spark, d)).join(members, "id").select("community", "id", "degree")
 
 
-@query("""SELECT community, row_number() OVER (ORDER BY size DESC, community)::INT - 1 AS rank, size FROM (SELECT n_regionkey AS community, count(*) AS size FROM nation WHERE n_nationkey % 3 <> 0 GROUP BY 1) WHERE size >= 2""")
+@query("""SELECT community, row_number() OVER (ORDER BY size DESC, community)::INT - 1 AS rank, size FROM (SELECT s_nationkey AS community, count(*) AS size FROM supplier GROUP BY 1) WHERE size >= 2""")
 def community_ranks(spark, d):
-    sizes = table(spark, d, "nation").filter("n_nationkey % 3 <> 0").groupBy(F.col("n_regionkey").alias("community")).agg(F.count(F.lit(1)).alias("size")).filter("size >= 2")
+    """Suppliers' nations as communities."""
+    sizes = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("community")).agg(F.count(F.lit(1)).alias("size")).filter("size >= 2")
     return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "community")) - 1)  # a row for each community
 
 
@@ -74,10 +75,11 @@ def result_caps(spark, d):
     return r.cap_results(rows).select("query_id", "rank", F.length("shown").alias("shown"))
 
 
-@query("""SELECT lang AS query_id, left(string_agg('<<<' || source || chr(10) || replace(replace(left(text, 100), '<<<', '< <<'), '>>>', '> >>') || chr(10) || '>>>', chr(10) ORDER BY doc_id), 4000) AS block
-FROM documents WHERE doc_id < 100 GROUP BY lang""")
+@query("""WITH h AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS o, '<<<' || source || chr(10) || replace(replace(text, '<<<', '< <<'), '>>>', '> >>') || chr(10) || '>>>' AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
+SELECT lang AS query_id, left(string_agg(t, chr(10) ORDER BY o), 4000) AS block FROM h GROUP BY lang""")
 def evidence_blocks(spark, d):
-    hits = table(spark, d, "documents").filter("doc_id < 100").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("rank"), F.left("text", F.lit(100)).alias("text"), "source")
+    """Every document as a hit of its language, whole."""
+    hits = table(spark, d, "documents").filter("source IS NOT NULL").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("rank"), "text", "source")
     return v.evidence_block(hits)
 
 

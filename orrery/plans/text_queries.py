@@ -108,14 +108,16 @@ def keywords_topn(spark, d):
     return r.keywords(docs(spark, d), "doc_id", "text")
 
 
-@query("""WITH q AS (SELECT unnest(['red widget', 'small ring', 'ring']) AS query), e AS (SELECT p_partkey AS entity_id, lower(p_name) AS name FROM part),
+@query("""WITH q AS (SELECT DISTINCT p_name AS query FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part), e AS (SELECT p_partkey AS entity_id, lower(p_name) AS name FROM part),
 x AS (SELECT query, entity_id, CASE WHEN query = name THEN 0.0 WHEN contains(name, query) THEN 1.0
  ELSE 2.0 - len(list_intersect(list_distinct(string_split(query, ' ')), list_distinct(string_split(name, ' ')))) / len(list_distinct(string_split(query, ' '))) END AS distance
  FROM q, e WHERE list_has_any(string_split(query, ' '), string_split(name, ' ')))
 SELECT query, entity_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, entity_id)::INT AS rank FROM x) WHERE rank <= 10""")
 def entity_match(spark, d):
-    q = spark.createDataFrame([("red widget",), ("small ring",), ("ring",)], "query string")
-    return r.match_entities(q, table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name")))
+    """Every name and every last word of one as a question."""
+    p = table(spark, d, "part")
+    q = p.select(F.explode(F.array(F.col("p_name"), F.split("p_name", " ")[1])).alias("query")).distinct()
+    return r.match_entities(q, p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name")))
 
 
 @query("""WITH c AS (SELECT p_name AS entity_id, p_partkey AS candidate, p_type AS signature, p_size / 50.0::DOUBLE AS version, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice / 2000 END AS recency, (p_partkey % 7) / 7.0::DOUBLE AS confidence FROM part),
@@ -204,10 +206,15 @@ def similar_topk(spark, d):
     return r.similar_pairs(v, v, -1.0, top=10).withColumn("rank", rank).select("a", "b", F.round("score", 6).alias("score"), "rank")
 
 
-@query(r"""WITH n AS (SELECT p_partkey AS node, p_name AS name FROM part WHERE p_partkey < 50), c AS (SELECT doc_id AS chunk, text FROM documents)
-SELECT chunk, node, CASE WHEN regexp_matches(lower(text), '(^|[^\pL\pN_])' || lower(split_part(name, ' ', 2)) || '($|[^\pL\pN_])') THEN 'references' ELSE 'conceptually_related_to' END AS relation, 0.5::DOUBLE AS score
-FROM c JOIN n ON chunk % 50 = node""")
+@query(rf"""WITH c AS (SELECT doc_id AS chunk, text || ' ' || ['ring', 'bolt', 'gear', 'widget'][1 + doc_id % 4] AS text, embedding FROM documents JOIN embeddings ON vec_id = doc_id), n AS (SELECT p_partkey AS node, split_part(p_name, ' ', 2) AS name, embedding FROM part JOIN embeddings ON vec_id = p_partkey),
+x AS (SELECT chunk, node, text, name, {COS} AS score FROM c a JOIN n b ON chunk <> node WHERE {COS} >= 0.25)
+SELECT chunk, node, CASE WHEN regexp_matches(lower(text), '(^|[^\pL\pN_])' || name || '($|[^\pL\pN_])') THEN 'references' ELSE 'conceptually_related_to' END AS relation, round(score, 4) AS score FROM x""")
 def semantic_edges(spark, d):
-    n = table(spark, d, "part").filter("p_partkey < 50").select(F.col("p_partkey").alias("node"), F.split("p_name", " ")[1].alias("name"))
-    pairs = docs(spark, d).select(F.col("doc_id").alias("chunk"), "text").join(F.broadcast(n), F.col("chunk") % 50 == F.col("node")).withColumn("score", F.lit(0.5))  # 50 rows
+    """Documents and parts with the vector of their number: pairs of a cosine of 0.25 or more."""
+    v, words = vectors(spark, d), F.array(*map(F.lit, ["ring", "bolt", "gear", "widget"]))
+    text = F.concat("text", F.lit(" "), F.element_at(words, (F.col("doc_id") % 4 + 1).cast("int")))
+    c = docs(spark, d).select(F.col("doc_id").alias("chunk"), text.alias("text"))
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.split("p_name", " ")[1].alias("name"))
+    near = r.similar_pairs(v.join(c.select(F.col("chunk").alias("id")), "id", "left_semi"), v.join(n.select(F.col("node").alias("id")), "id", "left_semi"), 0.25)
+    pairs = near.select(F.col("a").alias("chunk"), F.col("b").alias("node"), "score").join(c, "chunk").join(n, "node")
     return r.semantic_edges(pairs)
