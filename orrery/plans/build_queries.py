@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orrery.operators import chunking as h
 from orrery.operators import codefacts as c
 from orrery.operators import knowledge as k
 from orrery.operators import planning as p
 
 from .catalog import query
 from .derivation_queries import CUST, paths, skeletons
-from .views import EDGES_SQL, FLOW_SQL, edges, flow, node_id, table
+from .views import EDGES_SQL, FLOW_SQL, NODES_SQL, edges, flow, node_id, nodes, table
 
 TEXT = lambda col: F.col(col).cast("string")
 
@@ -327,3 +328,43 @@ def fill_rate(spark, d):
 @query()
 def proportion_ci(spark, d):
     return p.proportion_interval(table(spark, d, "events").select("event_id", (F.col("value") > 10).cast("int").alias("good")), "good", "event_id")
+
+
+# --- pieces, lines and surroundings -----------------------------------------------------------------------------------
+
+
+@query()
+def section_chunks(spark, d):
+    return h.section_chunks(table(spark, d, "documents").select(TEXT("doc_id").alias("path"), "text"))
+
+
+@query(r"""WITH l AS (SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT path, l, generate_subscripts(l, 1) AS i, unnest(l) AS t FROM l),
+m AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) AS r, count(*) OVER (PARTITION BY path) AS total FROM e WHERE regexp_matches(t, 'th[ae]t? [a-z]+ing'))
+SELECT path, i::INT AS line, t AS text, l[greatest(i - 2, 1):i - 1] AS before, l[i + 1:i + 2] AS after, total::INT AS total FROM m WHERE r <= 3""")
+def pattern_context(spark, d):
+    return h.find_lines(table(spark, d, "documents").select(TEXT("doc_id").alias("path"), "text"), "th[ae]t? [a-z]+ing", True, 2, 3)
+
+
+FILES = "fo AS (SELECT id, kind || '/' || CAST(split_part(id, ':', 2) AS INT) % 40 AS file FROM nodes WHERE kind IN ('component', 'service', 'api-schema'))"
+
+
+@query(f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {FILES}, fl AS (SELECT DISTINCT a.file AS s, b.file AS t FROM edges JOIN fo a ON a.id = source JOIN fo b ON b.id = target WHERE a.file <> b.file),
+w(file, hop) AS (SELECT 'api-schema/3', 0 UNION SELECT fl.s, hop + 1 FROM w JOIN fl ON fl.t = w.file WHERE hop < 2) SELECT file, min(hop) AS hop FROM w GROUP BY file""")
+def caller_files(spark, d):
+    """Files of 40 for each kind of node: those that reach a file of parts within two hops."""
+    owners = nodes(spark, d).filter("kind IN ('component', 'service', 'api-schema')").select("id", F.concat("kind", F.lit("/"), (F.split("id", ":")[1].cast("long") % 40).cast("string")).alias("file"))
+    return h.expand_callers(edges(spark, d), owners, spark.createDataFrame([("api-schema/3",)], "file string"))
+
+
+@query(f"""WITH RECURSIVE {FLOW_SQL}, f AS (SELECT DISTINCT source, target FROM flow WHERE source <> target), walk(id) AS (SELECT 'nation:7' UNION SELECT 'nation:11' UNION SELECT f.source FROM walk JOIN f ON f.target = walk.id)
+SELECT f.source AS id, list(DISTINCT f.target ORDER BY f.target) AS impacted_by FROM f WHERE source IN (SELECT id FROM walk) AND target IN (SELECT id FROM walk) AND source NOT IN ('nation:7', 'nation:11') GROUP BY 1""")
+def propagation(spark, d):
+    return h.propagate(flow(spark, d), spark.createDataFrame([("nation:7",), ("nation:11",)], "id string"))
+
+
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, cr AS (SELECT target, source, row_number() OVER (PARTITION BY target ORDER BY score DESC, source) AS r FROM edges WHERE relation = 'calls')
+SELECT n.id, label, coalesce((SELECT list(source ORDER BY source) FROM cr WHERE target = n.id AND r <= 5), []) AS callers, [] AS callees, [] AS imports, (SELECT min(source) FROM edges WHERE target = n.id AND relation = 'contains') AS container,
+(SELECT count(*) FROM edges WHERE target = n.id AND relation = 'calls') AS n_callers FROM nodes n WHERE kind = 'service'""")
+def service_context(spark, d):
+    ids = nodes(spark, d).filter("kind = 'service'").select("id")
+    return h.context(nodes(spark, d), edges(spark, d), ids, 5)

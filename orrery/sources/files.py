@@ -259,3 +259,60 @@ def pnpm_lock_versions(files: DataFrame) -> DataFrame:
     yarn = yarn.select("path", F.regexp_extract("e", r"^(@?[^@]+)@", 1).alias("package"), F.regexp_extract("e", r'version:? "?([^"]+)$', 1).alias("version"))
     other = files.filter(F.col("path").rlike(r"(^|/)(Cargo\.lock|poetry\.lock|go\.sum|Gemfile\.lock|composer\.lock)$")).select("path", F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("version"))
     return pnpm.unionByName(yarn).distinct().unionByName(other)
+
+
+def yaml_pairs(text: str) -> list[tuple[str, str]]:
+    """(key path, value) of the plain part of YAML: nested maps by indentation, items of lists by number, comments left out.
+    Block texts, anchors and flow collections stay as they are written."""
+    out: list[tuple[str, str]] = []
+    stack: list[tuple[int, str, int]] = []  # indentation, key, items so far
+    for line in text.split("\n"):
+        bare = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if not bare.strip() or bare.strip() in ("---", "..."):
+            continue
+        indent, rest = len(bare) - len(bare.lstrip()), bare.lstrip()
+        while rest:
+            item = rest == "-" or rest.startswith("- ")
+            while stack and (stack[-1][0] > indent or (stack[-1][0] == indent and not (item and not stack[-1][1].startswith("[")))):
+                if item and stack[-1][0] == indent and stack[-1][1].startswith("["):
+                    break
+                stack.pop()
+            if item:
+                if stack and stack[-1][0] == indent and stack[-1][1].startswith("["):
+                    n = stack.pop()[2] + 1
+                else:
+                    n = 0
+                stack.append((indent, f"[{n}]", n))
+                indent, rest = indent + 2 + len(rest[1:]) - len(rest[1:].lstrip()) - 1, rest[1:].lstrip()
+                continue
+            m = re.match(r"""(?:"([^"]+)"|'([^']+)'|([^:\s][^:]*?))\s*:(?:\s+(.*))?$""", rest)
+            path = [k for _, k, _ in stack]
+            if not m:
+                out.append((".".join(path).replace(".[", "["), rest.strip("\"'")))
+            else:
+                key = m[1] or m[2] or m[3]
+                if m[4]:
+                    out.append((".".join([*path, key]).replace(".[", "["), m[4].strip().strip("\"'")))
+                else:
+                    stack.append((indent, key, 0))
+            break
+    return out
+
+
+def yaml_entries(files: DataFrame) -> DataFrame:
+    """(path, key, type, value) of YAML files (path, text), as ``config_entries`` has them of others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, k, v) for p, t in zip(b["path"], b["text"], strict=True) if t for k, v in yaml_pairs(t)], columns=["path", "key", "value"])
+
+    rows = files.select("path", "text").mapInPandas(run, "path string, key string, value string")
+    kind = F.when(F.col("value").rlike("^(?i:true|false)$"), "boolean").when(F.col("value").rlike(r"^-?\d+(\.\d+)?$"), "number").otherwise("string")
+    return rows.select("path", "key", kind.alias("type"), "value")
+
+
+def skill_rows(files: DataFrame) -> DataFrame:
+    """(path, name, description, sections) of skill files (path, text): the fields of their front matter and their H2 headings."""
+    front = F.regexp_extract("text", r"(?s)^---[^\n]*\n(.*?)\n---", 1)
+    field = lambda n: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(front, rf"(?m)^{n}:[ \t]*(.*)$", 1), r"^[\"']|[\"']$", "")), F.lit(""))
+    return files.select("path", field("name").alias("name"), field("description").alias("description"), F.regexp_extract_all("text", F.lit(r"(?m)^## +(.+?) *$"), F.lit(1)).alias("sections"))
