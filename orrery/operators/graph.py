@@ -292,16 +292,34 @@ def closure(edges: DataFrame) -> DataFrame:
         n = m
 
 
-def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Edges up to which one task takes a graph whole: rounds over a small one cost more than the graph.
+SMALL = 500_000
+
+
+def strongly_connected(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(id, component, size), component being its smallest member: nodes that reach each other.
 
-    Forward and backward minimal labels spread over edges; nodes whose two labels agree form a component with that
-    label, leave, and the rest goes on. Each round is bounded by the edges; no closure is built.
+    Up to ``small`` edges, which are counted, one task walks the graph. Beyond, forward and backward minimal labels
+    spread over edges; nodes whose two labels agree form a component with that label, leave, and the rest goes on.
+    Nodes that nothing points at or that point at nothing are components of their own and leave before each round. Each
+    round is bounded by the edges; no closure is built.
     """
     left = cut(nodes.select("id").distinct())
-    live = cut(edges.select("source", "target").filter("source <> target").distinct())
+    live = cut(valid_edges(edges.select("source", "target").filter("source <> target").distinct(), left))
+    if live.count() <= small:
+        kind = dict(left.dtypes)["id"]
+        parts = live.groupBy(F.lit(0).alias("g")).applyInPandas(components_of, f"id {kind}, component {kind}")
+        parts = cut(left.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+        return parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("id", "component", "size")
     done = None
     while not left.isEmpty():
+        inner = left.join(live.select(F.col("source").alias("id")), "id", "left_semi").join(live.select(F.col("target").alias("id")), "id", "left_semi")
+        single = cut(left.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
+        if not single.isEmpty():
+            done = single if done is None else done.unionByName(single)
+            left = cut(inner)
+            live = cut(valid_edges(live, left))
+            continue
         forward, backward = spread(left, live, "source", "target"), spread(left, live, "target", "source")
         labels = cut(forward.withColumnRenamed("label", "f").join(backward.withColumnRenamed("label", "b"), "id"))
         same = labels.filter("f = b").select("id", F.col("f").alias("component"))
@@ -315,6 +333,60 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done.join(done.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("id", "component", "size")
 
 
+def components_of(edges: pd.DataFrame) -> pd.DataFrame:
+    """Strong components of a whole graph (source, target) by depth-first search with an explicit stack: (id, component)."""
+    after: dict = {}
+    for a, b in zip(edges["source"], edges["target"], strict=True):
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    order, low, stack, on, out = {}, {}, [], set(), {}
+    for root in after:
+        if root in order:
+            continue
+        work = [(root, iter(after[root]))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            w = next(rest, None)
+            if w is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == order[v]:
+                    at = stack.index(v) if len(stack) < 64 else len(stack) - 1 - stack[::-1].index(v)
+                    part, stack[at:] = stack[at:], []
+                    on.difference_update(part)
+                    out |= dict.fromkeys(part, min(part))
+            elif w not in order:
+                order[w] = low[w] = len(order)
+                stack.append(w)
+                on.add(w)
+                work.append((w, iter(after[w])))
+            elif w in on:
+                low[v] = min(low[v], order[w])
+    return pd.DataFrame(list(out.items()), columns=["id", "component"])
+
+
+def levels_of(edges: pd.DataFrame) -> pd.DataFrame:
+    """Longest distances from the roots of a whole acyclic graph (cs, ct): (component, level)."""
+    after: dict = {}
+    waits: dict = {}
+    for a, b in zip(edges["cs"], edges["ct"], strict=True):
+        after.setdefault(a, []).append(b)
+        waits[b] = waits.get(b, 0) + 1
+    level = {v: 0 for v in after if v not in waits}
+    ready = list(level)
+    for v in ready:
+        for w in after.get(v, ()):
+            level[w] = max(level.get(w, 0), level[v] + 1)
+            waits[w] -= 1
+            if not waits[w]:
+                ready.append(w)
+    return pd.DataFrame(list(level.items()), columns=["component", "level"])
+
+
 def spread(ids: DataFrame, edges: DataFrame, frm: str, to: str) -> DataFrame:
     """(id, label): the smallest id from which a node is reached along edges, itself included."""
     labels = cut(ids.select("id", F.col("id").alias("label")))
@@ -326,11 +398,15 @@ def spread(ids: DataFrame, edges: DataFrame, frm: str, to: str) -> DataFrame:
         labels = after.select("id", "label")
 
 
-def levels(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level): 0 for components that nobody points at, else 1 + the greatest level of those that do; members share it."""
+def levels(components: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id, level): 0 for components that nobody points at, else 1 + the greatest level of those that do; members share it.
+    Up to ``small`` edges between components one task takes them all, beyond, there is a join for each level."""
     of = components.select("id", "component")
     dag = edges.join(of.select(F.col("id").alias("source"), F.col("component").alias("cs")), "source").join(of.select(F.col("id").alias("target"), F.col("component").alias("ct")), "target")
     dag = cut(dag.filter("cs <> ct").select("cs", "ct").distinct())
+    if dag.count() <= small:
+        found = dag.groupBy(F.lit(0).alias("g")).applyInPandas(levels_of, f"component {dict(of.dtypes)['component']}, level int")
+        return of.join(found, "component", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
     level = cut(of.select("component").distinct().withColumn("level", F.lit(0)))
     while True:
         sent = dag.join(level, F.col("cs") == F.col("component")).groupBy(F.col("ct").alias("component")).agg((F.max("level") + 1).alias("new"))

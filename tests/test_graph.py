@@ -204,3 +204,30 @@ def test_questions_find_what_they_name(spark, make):
     assert g.question_subgraph(nodes, e, "").collect() == []
     assert [r.truncated for r in g.question_subgraph(nodes, e, "queue", budget=1).collect()] == [True]
     assert g.sampled(nodes, 2).count() == 2
+
+
+def test_components_in_one_task_and_in_rounds(spark, make):
+    import random
+
+    rnd = random.Random(6)
+    for n, m in ((30, 45), (60, 50), (12, 60)):
+        pairs = [(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(m)] + [("n1", "ghost"), ("ghost", "n2")]
+        nodes, e = ids(spark, *[f"n{i}" for i in range(n)]), make(pairs)
+        reach = {f"n{i}": {f"n{i}"} for i in range(n)}
+        for _ in range(n):
+            for a, b in pairs:
+                if a in reach and b in reach:
+                    reach[a] |= reach[b]
+        want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach}
+        one, rounds = g.strongly_connected(nodes, e), g.strongly_connected(nodes, e, small=0)
+        assert {r.id: r.component for r in one.collect()} == {r.id: r.component for r in rounds.collect()} == want
+        assert {r.id: r.level for r in g.levels(one, e).collect()} == {r.id: r.level for r in g.levels(one, e, small=0).collect()}
+    assert g.strongly_connected(ids(spark, "a").limit(0), make([("a", "b")])).collect() == []
+
+
+def test_a_long_chain_in_one_task(spark):
+    chain = spark.range(30_000).select(F.format_string("%06d", "id").alias("source"), F.format_string("%06d", F.col("id") + 1).alias("target"))
+    nodes = spark.range(30_001).select(F.format_string("%06d", "id").alias("id"))
+    parts = g.strongly_connected(nodes, chain)
+    assert parts.select("component").distinct().count() == 30_001 and g.levels(parts, chain).agg(F.max("level")).first()[0] == 30_000
+
