@@ -188,42 +188,52 @@ def indexed(vectors: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
     blocks = coded.withColumn("split", F.pmod(F.xxhash64("ids"), of).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def compare(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         if not len(members) or not len(queries):
-            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            return none
         x = shared.value
         vecs = matrix(members.vec)
         codes = np.frombuffer(b"".join(members.code), np.uint8).reshape(len(members), -1)
-        norms, ids = np.sqrt((vecs * vecs).sum(1)), members.ids.tolist()
+        norms = np.sqrt((vecs * vecs).sum(1))
+        many = np.array([len(i) for i in members.ids])
+        flat = np.concatenate([np.asarray(i) for i in members.ids])
+        known, place = np.unique(np.concatenate([flat, queries.id.to_numpy()]), return_inverse=True)  # numbers in the order of ids
+        own, asks = place[: len(flat)], place[len(flat) :]
+        first = np.cumsum(many) - many
         centroid = x.centroids[members.list.iloc[0]]
+
+        def best_of(rows: np.ndarray, at: np.ndarray, q: np.ndarray, me: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(row, id, score) of the k best ids of each row among the vectors ``at`` its pairs name."""
+            score = (vecs[at] * q[rows]).sum(1) / (norms[at] * np.sqrt((q * q).sum(1))[rows])
+            n = many[at]
+            rows, score = np.repeat(rows, n), np.repeat(score, n)
+            ids = own[np.repeat(first[at], n) + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)]
+            other = ids != me[rows]
+            rows, ids, score = rows[other], ids[other], score[other]
+            order = np.lexsort((ids, -score, rows))
+            rows, ids, score = rows[order], ids[order], score[order]
+            once = np.sort(np.unique(rows * len(known) + ids, return_index=True)[1])  # of an id with several vectors the best
+            rows, ids, score = rows[once], ids[once], score[once]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            return rows[rank < k], ids[rank < k], score[rank < k]
+
+        out = []
         for i in range(0, len(queries), 256):
-            part = queries.iloc[i : i + 256]
-            q = matrix(part.vec)
+            q, me = matrix(queries.vec.iloc[i : i + 256]), asks[i : i + 256]
             u = units(q)
             guess = x.estimate(u, u @ centroid, codes)
             if len(members) > k + 1:
                 bar = np.partition(guess, -(k + 1), axis=1)[:, -(k + 1)] - x.margin
             else:
                 bar = np.full(len(q), -np.inf)
-            for j, me in enumerate(part.id):
-                near = np.nonzero(guess[j] >= bar[j])[0]
-                score = (vecs[near] * q[j]).sum(1) / (norms[near] * np.sqrt((q[j] * q[j]).sum()))
-                # a vector has another id than the query's own, or the next vector takes its place
-                best = near[np.argsort(-score, kind="stable")]
-                value = dict(zip(near.tolist(), score.tolist(), strict=True))
-                limit = value[int(best[min(k, len(best) - 1)])]
-                found = [(-value[int(a)], other) for a in best if value[int(a)] >= limit for other in ids[a] if other != me]
-                if len({other for _, other in found}) < k:  # some ids stand with several vectors: look at all of the list
-                    score = (vecs * q[j]).sum(1) / (norms * np.sqrt((q[j] * q[j]).sum()))
-                    found = [(-s, other) for s, of in zip(score.tolist(), ids, strict=True) for other in of if other != me]
-                first: dict = {}
-                for s, other in sorted(found):
-                    if other not in first:
-                        first[other] = -s
-                        if len(first) == k:
-                            break
-                out += [(me, other, s) for other, s in first.items()]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            found = [best_of(*np.nonzero(guess >= bar[:, None]), q, me)]
+            # ids with several vectors may leave fewer than k: such rows look at all of the list
+            few = np.nonzero(np.bincount(found[0][0], minlength=len(q)) < k)[0]
+            if len(few) and len(members) > k + 1:
+                found = [tuple(v[~np.isin(found[0][0], few)] for v in found[0]), best_of(np.repeat(few, len(members)), np.tile(np.arange(len(members)), len(few)), q, me)]
+            for rows, ids, score in found:
+                out.append(pd.DataFrame({"query_id": known[me[rows]], "vec_id": known[ids], "score": score}))
+        return pd.concat(out) if out else none
 
     keys = ["list", "split", "chunk"]
     kinds = dict(vectors.dtypes)["ids"].removeprefix("array<").removesuffix(">")
