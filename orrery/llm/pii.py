@@ -257,7 +257,8 @@ def anonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     titled = F.col("text").rlike(TITLED)
     none = F.array().cast("array<string>")
-    found = F.when(titled, F.regexp_extract_all(F.col("text"), F.lit(WORDS_TOO), F.lit(0))).when(F.col("text").rlike(HINT), F.regexp_extract_all(F.col("text"), F.lit(UNION), F.lit(0)))
+    every = F.when(titled, F.regexp_extract_all(F.col("text"), F.lit(WORDS_TOO), F.lit(0))).otherwise(F.regexp_extract_all(F.col("text"), F.lit(UNION), F.lit(0)))
+    found = F.when(F.col("text").rlike(HINT), every)  # most texts are scanned once
     clean = rows.withColumn("found", F.coalesce(found, none))
     pieces = F.when(titled, F.split("text", WORDS_TOO, -1)).otherwise(F.split("text", UNION, -1))
     hit = clean.filter("size(found) > 0").withColumn("_row", F.monotonically_increasing_id()).withColumn("pieces", pieces)
