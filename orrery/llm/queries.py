@@ -72,6 +72,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymise(table(spark, sf_dir, "documents"), key="orrery")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .merkle import digest, manifest
+
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    original, tampered = (digest([*columns, text]) for text in (F.col("text"), F.translate("text", "\n", "")))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return manifest(table(spark, sf_dir, "documents"), tampered=F.when(hit, tampered).otherwise(original), **more)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -81,7 +92,28 @@ def oracle_sql() -> dict[str, str]:
     from . import mixing as m
 
     weigh = "CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END"
+    crc = "list_reduce(list_prepend(4294967295, list_transform(range(strlen(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))"
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
     return {
+        "op13_merkle_manifest": f"""
+WITH RECURSIVE step(i, k, c) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+leaves AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS leaf, CASE WHEN xor({crc}, 4294967295) % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS now FROM documents, tbl),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+tree(g, lvl, pos, n, d) AS (SELECT g, 0, pos, n, leaf FROM placed UNION ALL
+  SELECT g, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY g, lvl, n, pos // 3),
+subs AS (SELECT g, d, lvl, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(lvl, pos, n, d) AS (SELECT 0, pos, n, d FROM subs UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, n, pos // 3),
+every AS (SELECT g, lvl, pos, n, d FROM tree UNION ALL SELECT NULL, lvl, pos, n, d FROM top),
+sib AS (SELECT a.g, a.lvl, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM every a JOIN every b ON a.g IS NOT DISTINCT FROM b.g AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+walk(doc_id, leaf, g, place, k, lvl, pos, top_pos, cur, path) AS (SELECT doc_id, leaf, p.g, p.pos, p.g, 0, p.pos, s.pos, now, '' FROM placed p JOIN subs s ON p.g = s.g UNION ALL
+  SELECT doc_id, leaf, w.g, place, CASE WHEN x.l IS NULL THEN NULL ELSE k END, CASE WHEN x.l IS NULL THEN 0 ELSE w.lvl + 1 END, CASE WHEN x.l IS NULL THEN top_pos ELSE w.pos // 3 END, top_pos,
+    CASE WHEN x.l IS NULL THEN cur ELSE sha256(x.l || cur || x.r) END, path || coalesce(x.l || x.r, '')
+  FROM walk w LEFT JOIN sib x ON w.k IS NOT DISTINCT FROM x.g AND w.lvl = x.lvl AND w.pos = x.pos WHERE x.l IS NOT NULL OR k IS NOT NULL),
+done AS (SELECT * FROM walk WHERE k IS NULL QUALIFY row_number() OVER (PARTITION BY g, place ORDER BY lvl DESC) = 1)
+SELECT doc_id, leaf, s.d AS subroot, t.d AS root, sha256(path) AS proof_sha256, cur AS folded_root, cur = t.d AS verified
+FROM done JOIN subs s ON done.g = s.g, (SELECT d FROM top WHERE n = 1) t""",
         "op1_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 ds AS (SELECT r, doc_id, len(w) - 4 AS m, unnest(range(len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5),
