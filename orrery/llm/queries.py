@@ -72,6 +72,20 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymise(table(spark, sf_dir, "documents"), key="orrery")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .word_bpe import round_trips
+
+    return round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -94,7 +108,22 @@ def oracle_sql() -> dict[str, str]:
     weigh = "CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END"
     crc = "list_reduce(list_prepend(4294967295, list_transform(range(strlen(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))"
     leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+    rounds = "".join(
+        f"""a{k} AS (SELECT r, p, arg_min(i, (s, i)) AS i FROM (SELECT r, p, i, sum((x - c) * (x - c))::BIGINT AS s FROM x JOIN c{k} USING (p, j) GROUP BY ALL) GROUP BY r, p),
+c{k + 1} AS (SELECT c.p, c.i, c.j, coalesce(m.c, c.c) AS c FROM c{k} c LEFT JOIN (SELECT p, i, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS c FROM x JOIN a{k} USING (r, p) GROUP BY ALL) m USING (p, i, j)),
+"""
+        for k in range(2)
+    )
     return {
+        "op11_vector_codes": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding AS e, len(embedding) AS d FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+x AS (SELECT r, (j - 1) * 16 // d AS p, j, floor(256 * e[j]::DOUBLE)::BIGINT AS x FROM (SELECT *, unnest(range(1, d + 1)) AS j FROM v)),
+c0 AS (SELECT p, i, j, x AS c FROM x JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, e) - 1 AS i FROM v) USING (r) WHERE i < 64),
+""" + rounds + """
+a2 AS (SELECT r, p, min(s) AS s, arg_min(i, (s, i)) AS i FROM (SELECT r, p, i, sum((x - c) * (x - c))::BIGINT AS s FROM x JOIN c2 USING (p, j) GROUP BY ALL) GROUP BY r, p),
+o AS (SELECT r, vec_id, label, string_agg(printf('%02x', i), '' ORDER BY p) AS code, sum(s)::BIGINT AS error FROM v JOIN a2 USING (r) GROUP BY ALL)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, i, j)) FROM c2) AS codebooks_sha256 FROM o""",
         "op13_merkle_manifest": f"""
 WITH RECURSIVE step(i, k, c) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8),
 tbl AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
