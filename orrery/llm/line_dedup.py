@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import lookup, materialize
 
-#: A line goes if it stands on more than RATIO of its host's pages and on SEEN of them or more. PAGES is the oracle's only.
-RATIO, SEEN, PAGES = 0.3, 2, 5
+#: A line goes if it stands on more than RATIO of its host's pages and on SEEN of them or more.
+RATIO, SEEN = 0.3, 2
 #: What ends a line of a page, and what holds no text.
 BREAKS = r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|nav|article|section|header|footer|title|table|tr|td|th|body|head|html|main|aside|form|blockquote|pre)\b[^>]*|br[^>]*)>"
 SILENT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"

@@ -149,11 +149,11 @@ ds AS (SELECT r, doc_id, len(w) - 4 AS m, unnest(range(len(w) - 4)) AS p, unnest
 i AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
 si AS (SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, len(w) - 4 AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM i WHERE len(w) >= 5) GROUP BY ALL),
 hit AS (SELECT r, doc_id, m, p, item_id, n, s, c FROM ds JOIN si USING (s)),
-win AS (SELECT r, doc_id, item_id, n, a, s, c, count(*) AS k FROM (SELECT *, unnest(range(greatest(0, p - n + 1), least(p, m - n) + 1)) AS a FROM hit WHERE m >= n) GROUP BY ALL),
-com AS (SELECT r, doc_id, item_id, n, a, sum(least(c, k))::DOUBLE AS x FROM win GROUP BY ALL),
-sim AS (SELECT r, doc_id, item_id, n, a, x / (2 * n - x) AS j FROM com WHERE x / (2 * n - x) >= 0.8),
+win AS (SELECT r, doc_id, item_id, n, w, a, s, c, count(*) AS k FROM (SELECT *, unnest(range(greatest(0, p - w + 1), least(p, m - w) + 1)) AS a FROM (SELECT *, least(m, n) AS w FROM hit)) GROUP BY ALL),
+com AS (SELECT r, doc_id, item_id, n, w, a, sum(least(c, k))::DOUBLE AS x FROM win GROUP BY ALL),
+sim AS (SELECT r, doc_id, item_id, n, w, a, x / (n + w - x) AS j FROM com WHERE x / (n + w - x) >= 0.8),
 best AS (SELECT *, row_number() OVER (PARTITION BY r, item_id, n ORDER BY j DESC, a) AS o FROM sim)
-SELECT doc_id, item_id, j AS similarity, a::INT AS start_word, (n + 4)::INT AS n_words FROM best WHERE o = 1""",
+SELECT doc_id, item_id, j AS similarity, a::INT AS start_word, (w + 4)::INT AS n_words FROM best WHERE o = 1""",
         "op9_sharding": """
 WITH RECURSIVE step(i, k, c) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8),
 tbl AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
@@ -182,9 +182,9 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
 WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{d.HOST}', 1)) AS host, coalesce(list_filter(list_transform(string_split(
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{d.SILENT}', '', 'g'), '{d.SPACE}', ' ', 'g'), '{d.BREAKS}', chr(10), 'g'), '{d.TAG}', '', 'g'),
   chr(10)), lambda x: trim(x)), lambda x: x <> ''), []) AS lines FROM pages),
-t AS (SELECT host, count(*) AS pages FROM p WHERE host <> '' GROUP BY host HAVING count(*) >= {d.PAGES}),
+t AS (SELECT host, count(*) AS pages FROM p WHERE host <> '' GROUP BY host),
 e AS (SELECT host, unnest(list_distinct(lines)) AS line FROM p),
-b AS (SELECT e.host, list(line) AS gone FROM (SELECT host, line, count(*) AS n FROM e GROUP BY ALL) e JOIN t ON e.host = t.host WHERE n > pages * {d.RATIO} GROUP BY e.host)
+b AS (SELECT e.host, list(line) AS gone FROM (SELECT host, line, count(*) AS n FROM e GROUP BY ALL) e JOIN t ON e.host = t.host WHERE n > pages * {d.RATIO} AND n >= {d.SEEN} GROUP BY e.host)
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text
 FROM (SELECT p.*, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept FROM p LEFT JOIN b ON p.host = b.host)""",
     }
