@@ -28,6 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "rounds") -> DataFrame:
+    """``df`` written as a table in the shared folder and read back, with no more files than a shuffle has partitions.
+
+    Loops use it where a checkpoint would do: what a checkpoint knows about its columns (their constraints) grows from round
+    to round with conditional expressions, until planning takes longer than the work. Like a checkpoint's, its files stay
+    until the folder is emptied, as a returned plan may still read them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/orrery/{name}-{uuid.uuid4().hex}"
+    df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def file_system(spark: SparkSession, path: str):
     """(Hadoop's file system of ``path``, its path)."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

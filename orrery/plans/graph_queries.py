@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as g
+from orrery.operators import layers, modularity
 
 from .catalog import query
 from .views import EDGES_SQL, FLOW_SQL, NODES_SQL, adjacent, derived_edges, edges, flow, nodes, table
@@ -208,7 +209,7 @@ def question_subgraph(spark, d):
 
 @query()
 def louvain_communities(spark, d):
-    return g.louvain(g.simple_undirected(flow(spark, d), nodes(spark, d)))
+    return modularity.louvain(g.simple_undirected(flow(spark, d), nodes(spark, d)))
 
 
 @query(f"""{GRAPH} SELECT 'supplier:1' AS id, (SELECT label FROM nodes WHERE id = 'supplier:1') AS label, (SELECT count(*) FROM edges WHERE target = 'supplier:1' AND relation = 'calls') AS callers,
@@ -249,7 +250,7 @@ LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a)
 
 @query(f"{FLOW}, {REACH}, {SCC} SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM scc")
 def scc(spark, d):
-    return g.strongly_connected(nation_nodes(spark, d), flow(spark, d))
+    return layers.strongly_connected(nation_nodes(spark, d), flow(spark, d))
 
 
 TOPO = """dag AS (SELECT DISTINCT x.component AS a, y.component AS b FROM flow JOIN scc x ON source = x.id JOIN scc y ON target = y.id WHERE x.component <> y.component),
@@ -259,7 +260,7 @@ lv(c, level) AS (SELECT DISTINCT component, 0 FROM scc UNION SELECT b, level + 1
 @query(f"{FLOW}, {REACH}, {SCC}, {TOPO} SELECT id, level FROM scc JOIN top ON c = component")
 def topo_levels(spark, d):
     f = g.cut(flow(spark, d))
-    return g.levels(g.strongly_connected(nation_nodes(spark, d), f), f)
+    return layers.levels(layers.strongly_connected(nation_nodes(spark, d), f), f)
 
 
 @query(f"""{FLOW}, {REACH}, {SCC}, {TOPO}, f AS (SELECT * FROM flow WHERE source <> target), i AS (SELECT target AS id, count(*) AS n FROM f GROUP BY 1), o AS (SELECT source AS id, count(*) AS n FROM f GROUP BY 1)
@@ -268,8 +269,8 @@ FROM scc s JOIN top ON c = component LEFT JOIN i ON i.id = s.id LEFT JOIN o ON o
 def module_graph(spark, d):
     f = g.cut(flow(spark, d).filter("source <> target"))
     n = nation_nodes(spark, d)
-    parts = g.strongly_connected(n, f)
-    out = g.degree_in_out(n, f).join(parts, "id").join(g.levels(parts, f), "id")
+    parts = layers.strongly_connected(n, f)
+    out = g.degree_in_out(n, f).join(parts, "id").join(layers.levels(parts, f), "id")
     return out.select("id", "in_degree", "out_degree", ((F.col("in_degree") == 0) & (F.col("out_degree") == 0)).alias("orphan"), "level", (F.col("size") > 1).alias("circular"))
 
 
@@ -313,7 +314,7 @@ between AS (SELECT least(u, v) AS a, greatest(u, v) AS b, sum(x.w * y.w / z.w) A
 @query(f"{BETWEEN} SELECT a, b, round(betweenness, 6) AS betweenness FROM between")
 def betweenness_exact(spark, d):
     pairs = g.simple_undirected(flow(spark, d), nodes(spark, d))
-    return g.betweenness(pairs, nation_nodes(spark, d)).select("a", "b", F.round("betweenness", 6).alias("betweenness"))
+    return modularity.betweenness(pairs, nation_nodes(spark, d)).select("a", "b", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query(f"""{BETWEEN}, {MEMBERS} SELECT source, target, relation, x.community <> y.community AS across,
@@ -322,7 +323,7 @@ FROM flow JOIN members x ON x.id = source JOIN members y ON y.id = target LEFT J
 ORDER BY surprise DESC, source, target LIMIT 10""")
 def surprising_edges(spark, d):
     f = flow(spark, d)
-    between = g.betweenness(g.simple_undirected(f, nodes(spark, d)), nation_nodes(spark, d))
+    between = modularity.betweenness(g.simple_undirected(f, nodes(spark, d)), nation_nodes(spark, d))
     return g.surprising(f.withColumn("confidence", F.lit("INFERRED")), region_of(spark, d), between)
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import graph as g
+from orrery.operators import layers, modularity
 
 
 @pytest.fixture(scope="module")
@@ -42,9 +43,9 @@ def test_risk(spark, direct, rest, tier):
 
 def test_strong_components_and_levels(spark, make):
     e = make([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("a", "a"), ("z", "a")])
-    parts = g.strongly_connected(ids(spark, *"abcdefz"), e)
+    parts = layers.strongly_connected(ids(spark, *"abcdefz"), e)
     assert {r.id: (r.component, r.size) for r in parts.collect()} == {"a": ("a", 3), "b": ("a", 3), "c": ("a", 3), "d": ("d", 2), "e": ("d", 2), "f": ("f", 1), "z": ("z", 1)}
-    assert {r.id: r.level for r in g.levels(parts, e).collect()} == {"z": 0, "a": 1, "b": 1, "c": 1, "d": 2, "e": 2, "f": 0}
+    assert {r.id: r.level for r in layers.levels(parts, e).collect()} == {"z": 0, "a": 1, "b": 1, "c": 1, "d": 2, "e": 2, "f": 0}
 
 
 def test_closure(spark, make):
@@ -54,22 +55,16 @@ def test_closure(spark, make):
 
 def test_two_cliques_and_their_bridge(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "f"), ("d", "f"), ("c", "d")], "a string, b string")
-    between = {(r.a, r.b): r.betweenness for r in g.betweenness(pairs, ids(spark, *"abcdef")).collect()}
+    between = {(r.a, r.b): r.betweenness for r in modularity.betweenness(pairs, ids(spark, *"abcdef")).collect()}
     assert max(between, key=between.get) == ("c", "d") and between["c", "d"] == 18.0
     members = g.communities(pairs)
     edges = pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("calls").alias("relation"), F.lit("EXTRACTED").alias("confidence"))
     halves = spark.createDataFrame([(x, x in "def") for x in "abcdef"], "id string, community boolean")
-    (top,) = g.surprising(edges, halves, g.betweenness(pairs, ids(spark, *"abcdef"))).collect()
+    (top,) = g.surprising(edges, halves, modularity.betweenness(pairs, ids(spark, *"abcdef"))).collect()
     assert (top.source, top.target, top.across, top.surprise) == ("c", "d", True, 6.0)
     assert {r.id for r in members.collect()} == set("abcdef")
 
 
-def test_betweenness_checks_its_bound(spark):
-    pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
-    with pytest.raises(ValueError, match="bound"):
-        g.betweenness(pairs, ids(spark, "a"), most=1)
-
-
 def test_node_upsert(spark):
     rows = [("n", 1, "old", "document", {"a": "1", "b": "1"}), ("n", 2, "new", "module", {"b": "2"}), ("m", 1, "m", "k", None)]
     got = {r.id: r for r in g.upsert_nodes(spark.createDataFrame(rows, "id string, rank int, label string, kind string, metadata map<string,string>")).collect()}
@@ -178,15 +173,15 @@ def test_upserts_keep_the_winning_row(spark):
 def test_communities_by_modularity(spark):
     clique = lambda names: [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     pairs = spark.createDataFrame(clique("abcd") + clique("efghi") + [("d", "e")], "a string, b string")
-    got = {r.id: r.community for r in g.louvain(pairs).collect()}
+    got = {r.id: r.community for r in modularity.louvain(pairs).collect()}
     assert got == dict.fromkeys("efghi", 0) | dict.fromkeys("abcd", 1)
     many = [[f"{c}{i}" for i in range(4)] for c in "klmnopq"]
     ring = [x for names in many for x in clique(names)] + [(many[i][0], many[i - 1][1]) for i in range(7)]
     by = {}
-    for r in g.louvain(spark.createDataFrame(ring, "a string, b string")).collect():
+    for r in modularity.louvain(spark.createDataFrame(ring, "a string, b string")).collect():
         by.setdefault(r.community, set()).add(r.id)
     assert sorted(map(sorted, by.values())) == sorted(many)
-    assert g.louvain(pairs.limit(0)).collect() == [] and g.louvain(pairs, most=3).count() == 9
+    assert modularity.louvain(pairs.limit(0)).collect() == []
 
 
 def test_surprises_of_nodes_without_a_community(spark):
@@ -204,30 +199,3 @@ def test_questions_find_what_they_name(spark, make):
     assert g.question_subgraph(nodes, e, "").collect() == []
     assert [r.truncated for r in g.question_subgraph(nodes, e, "queue", budget=1).collect()] == [True]
     assert g.sampled(nodes, 2).count() == 2
-
-
-def test_components_in_one_task_and_in_rounds(spark, make):
-    import random
-
-    rnd = random.Random(6)
-    for n, m in ((30, 45), (60, 50), (12, 60)):
-        pairs = [(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(m)] + [("n1", "ghost"), ("ghost", "n2")]
-        nodes, e = ids(spark, *[f"n{i}" for i in range(n)]), make(pairs)
-        reach = {f"n{i}": {f"n{i}"} for i in range(n)}
-        for _ in range(n):
-            for a, b in pairs:
-                if a in reach and b in reach:
-                    reach[a] |= reach[b]
-        want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach}
-        one, rounds = g.strongly_connected(nodes, e), g.strongly_connected(nodes, e, small=0)
-        assert {r.id: r.component for r in one.collect()} == {r.id: r.component for r in rounds.collect()} == want
-        assert {r.id: r.level for r in g.levels(one, e).collect()} == {r.id: r.level for r in g.levels(one, e, small=0).collect()}
-    assert g.strongly_connected(ids(spark, "a").limit(0), make([("a", "b")])).collect() == []
-
-
-def test_a_long_chain_in_one_task(spark):
-    chain = spark.range(30_000).select(F.format_string("%06d", "id").alias("source"), F.format_string("%06d", F.col("id") + 1).alias("target"))
-    nodes = spark.range(30_001).select(F.format_string("%06d", "id").alias("id"))
-    parts = g.strongly_connected(nodes, chain)
-    assert parts.select("component").distinct().count() == 30_001 and g.levels(parts, chain).agg(F.max("level")).first()[0] == 30_000
-
