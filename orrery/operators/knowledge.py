@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.durable import written
 from orrery.functions.texts import nfkc
 from orrery.operators.retrieval import check_parameters, kb_tokens
+from orrery.operators.substrings import containing, holding_han
 
 # --- queries ----------------------------------------------------------------------------------------------------------
 
@@ -95,14 +97,13 @@ def with_metadata(scored: DataFrame, meta: DataFrame, version: str | None = None
     return scored.join(rows, "chunk_id").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
 
-def han_fallback(hits: DataFrame, chunks: DataFrame, queries: DataFrame, top: int = 5, floor: int = 3) -> DataFrame:
+def han_fallback(hits: DataFrame, chunks: DataFrame, queries: DataFrame, top: int = 5, floor: int = 3, postings: DataFrame | None = None) -> DataFrame:
     """``hits`` (query_id, chunk_id, score) of ``queries`` (query_id, text) with what a substring search adds for questions
-    of one or two Han characters and fewer than ``floor`` hits: score 1, after the others, none twice."""
+    of one or two Han characters and fewer than ``floor`` hits: score 1, after the others, none twice. The search reads
+    ``postings`` of characters and pairs (``han_postings``)."""
     n = F.regexp_count("text", F.lit(r"\p{IsHan}"))
     few = queries.join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").filter((n >= 1) & (n <= 2) & (F.coalesce("n", F.lit(0)) < floor))
-    wanted = few.select("query_id", F.trim("text").alias("wanted"))
-    # one or two characters can't be a key, and their questions are few: each chunk is compared with every one of them
-    more = chunks.select("chunk_id", "text").join(wanted, F.col("text").contains(F.col("wanted"))).select("query_id", "chunk_id", F.lit(1.0).alias("score"))
+    more = holding_han(chunks, few.select("query_id", F.trim("text").alias("wanted")), postings).withColumn("score", F.lit(1.0))
     both = hits.select("query_id", "chunk_id", "score").unionByName(more.join(hits, ["query_id", "chunk_id"], "left_anti"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "chunk_id"))).filter(F.col("rank") <= top)
 
@@ -138,8 +139,8 @@ def lookup_documents(docs: DataFrame, refs: DataFrame, asked: DataFrame) -> Data
     some = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
     bad = asked.filter(~some("id") & ~some("keyword")).select("query_id", F.lit("INVALID_LOOKUP_ARG").alias("code"))
     exact = asked.filter(some("id")).select("query_id", F.col("id").alias("doc_id")).join(docs, "doc_id")
-    # titles have no key that holds a part of them; the questions of a call are few
-    titled = asked.filter(~some("id") & some("keyword")).select("query_id", F.lower("keyword").alias("_k")).join(docs, F.lower("title").contains(F.col("_k"))).drop("_k")
+    keyed = asked.filter(~some("id") & some("keyword")).select("query_id", F.lower("keyword").alias("_k"))
+    titled = containing(docs.select("doc_id", "title", "source_kind", F.lower("title").alias("_t")), "_t", keyed, "_k")
     found = exact.select("query_id", "doc_id", "title", "source_kind").unionByName(titled.select("query_id", "doc_id", "title", "source_kind"))
     out = refs.groupBy(F.col("source").alias("doc_id"), "source_kind").agg(F.array_sort(F.collect_set("target")).alias("refers_to"))
     back = refs.groupBy(F.col("target").alias("doc_id"), "source_kind").agg(F.array_sort(F.collect_set("source")).alias("referred_by"))
@@ -161,16 +162,22 @@ def matched_entities(queries: DataFrame, entities: DataFrame, top: int = 10) ->
     words = lambda c: F.transform(kb_tokens(c), lambda t: F.lower(t))
     q = queries.filter(low("api") != "").select("query_id", low("api").alias("_q"), F.array_distinct(words(F.col("api"))).alias("_qw"), F.col("kind").alias("_kind"), low("container").alias("_in"))
     e = entities.withColumn("_n", low("name")).withColumn("_f", low("qualified")).withColumn("_l", F.element_at(F.split(low("qualified"), r"\."), -1)).withColumn("_ew", F.array_distinct(F.concat(words(F.col("name")), words(F.col("qualified")))))
-    # the questions of a call are few and every entity may hold one as a part: each is compared with every question
+    e = written(e.withColumn("_e", F.monotonically_increasing_id()), "entities")
+    # candidates by key: a name that holds the question, a question that holds a name, and a common word
+    names = e.select("_e", F.explode(F.array_distinct(F.array("_n", "_f"))).alias("_text"))
+    asked = q.select("query_id", "_q")
+    held = containing(names, "_text", asked, "_q").select("_e", "query_id")
+    holds = containing(asked, "_q", e.filter(F.length("_n") >= 4).select("_e", "_n"), "_n").select("_e", "query_id")
+    shared = e.select("_e", F.explode("_ew").alias("_w")).join(q.select("query_id", F.explode("_qw").alias("_w")), "_w").select("_e", "query_id")
     fits = (F.col("_kind").isNull() | (F.col("_kind") == F.col("kind"))) & (F.col("_in").isNull() | (F.col("_in") == F.coalesce(low("container"), F.lit(""))))
-    pairs = e.join(q.withColumnRenamed("_kind", "_kind"), fits & (F.col("_n").contains(F.col("_q")) | F.col("_f").contains(F.col("_q")) | F.col("_q").contains(F.col("_n")) | F.arrays_overlap("_ew", "_qw")))
+    pairs = held.unionByName(holds).unionByName(shared).distinct().join(q, "query_id").join(e, "_e").filter(fits)
     exact = (F.col("_n") == F.col("_q")) | (F.col("_f") == F.col("_q")) | (F.col("_l") == F.col("_q"))
     part = F.col("_n").contains(F.col("_q")) | F.col("_f").contains(F.col("_q")) | ((F.length("_n") >= 4) & F.col("_q").contains(F.col("_n")))
     common = F.size(F.array_intersect("_ew", "_qw"))
     distance = F.when(exact, 0.0).when(part, 1.0).when(common > 0, F.lit(2.0) - common / F.greatest(F.size("_qw"), F.lit(1)))
     rows = pairs.withColumn("distance", distance).filter("distance IS NOT NULL").withColumn("match", F.when(exact, "exact").otherwise("fuzzy"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "entity_id", "source_kind"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= top).drop("_q", "_qw", "_kind", "_in", "_n", "_f", "_l", "_ew")
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= top).drop("_q", "_qw", "_kind", "_in", "_n", "_f", "_l", "_ew", "_e")
 
 
 def with_evidence(entities: DataFrame, chunks: DataFrame, most: int = 500) -> DataFrame:

@@ -113,6 +113,25 @@ def document_lookup(spark, d):
     return k.lookup_documents(rows, refs, asked)
 
 
+HAN = "['数据库 index', '错误码', '一个 数 据', '码 数据', ''][doc_id % 5 + 1]"
+ASKED = "asked AS (SELECT * FROM (VALUES (1, '数'), (2, '数据'), (3, ' 错误 '), (4, '库 i'), (5, '据数'), (6, '数据库'), (7, 'index'), (8, '码')) t(query_id, text))"
+
+
+@query(f"""WITH ch AS (SELECT doc_id AS chunk_id, coalesce(text, '') || ' ' || {HAN} AS text FROM documents), {ASKED},
+hits AS (SELECT query_id, l.doc_id AS chunk_id, -1.0 - quality AS score FROM labels l JOIN asked ON query_id = 7 OR query_id = 8 AND toxic = 1),
+few AS (SELECT a.query_id, trim(a.text) AS wanted FROM asked a WHERE len(regexp_extract_all(a.text, '[一-龥]')) BETWEEN 1 AND 2 AND (SELECT count(*) FROM hits h WHERE h.query_id = a.query_id) < 3),
+al AS (SELECT query_id, chunk_id, score::DOUBLE AS score FROM hits UNION ALL SELECT query_id, chunk_id, 1.0 FROM few JOIN ch ON contains(ch.text, wanted) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = few.query_id AND h.chunk_id = ch.chunk_id))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id)::INT AS rank FROM al) WHERE rank <= 5""")
+def short_han_search(spark, d):
+    """Questions of one or two Han characters, alone and with others, over all texts, each with a few Han words of its own."""
+    words = F.get(F.array(*map(F.lit, ["数据库 index", "错误码", "一个 数 据", "码 数据", ""])), (F.col("doc_id") % 5).cast("int"))
+    chunks = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), words).alias("text"))
+    asked = spark.createDataFrame([(1, "数"), (2, "数据"), (3, " 错误 "), (4, "库 i"), (5, "据数"), (6, "数据库"), (7, "index"), (8, "码")], "query_id int, text string")
+    labels = table(spark, d, "labels")
+    some = lambda q, rows: rows.select(F.lit(q).alias("query_id"), F.col("doc_id").alias("chunk_id"), (F.lit(-1.0) - F.col("quality")).alias("score"))
+    return k.han_fallback(some(7, labels).unionByName(some(8, labels.filter("toxic = 1"))), chunks, asked)
+
+
 ENTITIES = """ent AS (SELECT p_partkey AS entity_id, split_part(p_name, ' ', 2) AS name, replace(p_name, ' ', '.') AS qualified, p_type AS kind, p_brand AS container, CASE WHEN p_partkey % 2 = 0 THEN 'vendor' ELSE 'project' END AS source_kind, p_partkey % 7 AS chunk_id,
 CASE WHEN p_partkey % 3 = 0 THEN 'quoted ' || p_partkey END AS quote, p_partkey % 5 = 0 AS deprecated, p_name AS declared FROM part)"""
 
