@@ -22,7 +22,8 @@ from .common import materialize
 
 #: At most LISTS centroids and PER_LIST sampled vectors for each; PROBES sampled queries choose the number of lists
 #: that finds RECALL of their neighbours in the sample. A task compares BLOCK vectors with about CHUNK queries.
-LISTS, PER_LIST, PROBES, RECALL, BLOCK, CHUNK = 1024, 40, 256, 0.975, 4096, 8192
+#: SPREAD: see ``ceiling``.
+LISTS, PER_LIST, PROBES, RECALL, BLOCK, CHUNK, SPREAD = 1024, 40, 256, 0.975, 4096, 8192, 1.0
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, unit: bool = False) -> np.ndarray:
@@ -150,8 +151,34 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def ceiling(near: np.ndarray, lists: pd.DataFrame, dim: int) -> np.ndarray:
+    """The greatest cosine that a member of each list can have with each query, from cosines of queries and centroids.
+
+    A member is its part along the centroid plus one across it. By the angle from the centroid to the farthest member it
+    can't come nearer than the difference of angles. The parts across point to all sides, so what they add is mostly far
+    less: SPREAD deviations and those that the best of so many members is expected to reach. The lesser of the two holds.
+    """
+    widest = np.arccos(np.clip(lists.least.to_numpy(), -1, 1))
+    strict = np.cos(np.maximum(np.arccos(np.clip(near, -1, 1)) - widest, 0))
+    across = np.sqrt(np.clip(1 - near * near, 0, 1)) * np.sqrt(lists.across.to_numpy() / max(1, dim - 1))
+    along = np.where(near > 0, near * lists.most.to_numpy(), near * lists.least.to_numpy())
+    return np.minimum(strict, along + across * (SPREAD + np.sqrt(2 * np.log1p(lists.n.to_numpy()))))
+
+
+def kth(found: DataFrame, k: int) -> DataFrame:
+    """(id, least): the score of the k-th best of each query that has so many."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best))
+    return once.filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+
+
 def indexed(vectors: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the nearest of ``vectors`` (vec, ids), n of one length, in each visited list."""
+    """(query_id, vec_id, score) of the nearest of ``vectors`` (vec, ids), n of one length, in each visited list.
+
+    A first round visits the lists of as many nearest centroids as found the neighbours of sampled queries. A second one
+    visits, for each query, every other list that may hold a nearer one than its k-th, and all lists for queries that have
+    fewer than k: so queries from sparse regions, of which a sample has few, are not cut short.
+    """
     spark = vectors.sparkSession
     lists = max(1, min(LISTS, round(math.sqrt(n))))
     sample = vectors.select("vec", F.xxhash64(F.col("ids")[0]).alias("h")).orderBy("h").limit(lists * PER_LIST).toPandas()
@@ -161,13 +188,18 @@ def indexed(vectors: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                at, codes = shared.value.encode(units(matrix(b.vec)))
-                yield b.assign(list=at.astype(np.int32), code=[c.tobytes() for c in codes])
+                unit = units(matrix(b.vec))
+                at, codes = shared.value.encode(unit)
+                yield b.assign(list=at.astype(np.int32), code=[c.tobytes() for c in codes], along=(unit * shared.value.centroids[at]).sum(1))
 
     fields = f"vec {dict(vectors.dtypes)['vec']}, ids {dict(vectors.dtypes)['ids']}"
-    coded = materialize(vectors.mapInPandas(assign, f"{fields}, list int, code binary"), "coded")
-    counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row for each list
-    chunks = max(1, math.ceil(asked.count() * index.probes / len(index.centroids) / CHUNK))
+    coded = materialize(vectors.mapInPandas(assign, f"{fields}, list int, code binary, along double"), "coded")
+    stats = coded.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("along").alias("least"), F.max("along").alias("most"), F.avg(1 - F.col("along") * F.col("along")).alias("across"))
+    lists_of = stats.toPandas().set_index("list").reindex(range(len(index.centroids)))  # a row for each list
+    lists_of = lists_of.fillna({"n": 0, "least": 1.0, "most": 1.0, "across": 0.0})
+    counts = {i: int(c) for i, c in lists_of.n.items() if c}
+    total = asked.count()
+    dim = index.centroids.shape[1]
     splits = [max(1, math.ceil(counts.get(i, 0) / BLOCK)) for i in range(len(index.centroids))]
     filled = np.array([i in counts for i in range(len(index.centroids))])
 
@@ -176,16 +208,20 @@ def indexed(vectors: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
         for b in batches:
             for i in range(0, len(b), 64):
                 part = b.iloc[i : i + 64]
-                order = nearest(units(matrix(part.vec)), x.centroids, x.probes)
-                out = [(j, c, s) for j in range(len(part)) for c in order[j] if filled[c] for s in range(splits[c])]
+                unit = units(matrix(part.vec))
+                order = nearest(unit, x.centroids, len(x.centroids))
+                if "least" in part:
+                    may = ceiling(unit @ x.centroids.T, lists_of, dim) >= part.least.fillna(-2.0).to_numpy()[:, None]
+                    visits = [[c for c in order[j][x.probes :] if may[j, c]] for j in range(len(part))]
+                else:
+                    visits = order[:, : x.probes]
+                out = [(j, c, s) for j in range(len(part)) for c in visits[j] if filled[c] for s in range(splits[c])]
                 if out:
                     j, c, s = map(list, zip(*out, strict=True))
                     yield pd.DataFrame({"id": part.id.to_numpy()[j], "vec": part.vec.to_numpy()[j], "list": np.array(c, np.int32), "split": np.array(s, np.int32)})
 
     qfields = f"id {dict(asked.dtypes)['id']}, vec {dict(asked.dtypes)['vec']}, list int, split int"
-    probes = asked.mapInPandas(route, qfields).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
     of = F.element_at(F.expr(f"array({','.join(map(str, splits))})"), F.col("list") + 1)
-    blocks = coded.withColumn("split", F.pmod(F.xxhash64("ids"), of).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def compare(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -237,4 +273,15 @@ def indexed(vectors: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
 
     keys = ["list", "split", "chunk"]
     kinds = dict(vectors.dtypes)["ids"].removeprefix("array<").removesuffix(">")
-    return blocks.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(compare, f"query_id {dict(asked.dtypes)['id']}, vec_id {kinds}, score double")
+
+    def visited(queries: DataFrame, share: float) -> DataFrame:
+        chunks = max(1, math.ceil(total * share / CHUNK))
+        probes = queries.mapInPandas(route, qfields).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+        blocks = coded.drop("along").withColumn("split", F.pmod(F.xxhash64("ids"), of).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        return blocks.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(compare, f"query_id {dict(asked.dtypes)['id']}, vec_id {kinds}, score double")
+
+    first = materialize(visited(asked, index.probes / len(index.centroids)), "found")
+    if index.probes >= len(index.centroids):
+        return first
+    more = materialize(asked.join(kth(first, k), "id", "left"), "wider")
+    return first.unionByName(visited(more, 1.0))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from orrery.llm.vector_search import neighbours
 
@@ -87,3 +88,16 @@ def test_lengths_and_ids_with_several_vectors(spark):
                     best[j] = max(best.get(j, -2), round(float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)), 9))
         mine = [(x.vec_id, round(x.score, 9)) for x in sorted(got, key=lambda x: x.rank) if x.query_id == q]
         assert mine == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_queries_from_sparse_regions(spark, seed):
+    """Ten tight clusters and 60 vectors far from them, which ask: few samples are like them, none is cut short."""
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(10, 32))
+    v = np.concatenate([np.repeat(centres, 250, 0) + 0.05 * r.normal(size=(2500, 32)), r.normal(size=(60, 32))]).astype(np.float32)
+    rows = [(i if i < 2500 else 10_000 + i, x) for i, x in enumerate(v.tolist())]
+    frame = table(spark, rows)
+    got = neighbours(frame, frame.filter("vec_id >= 10000")).collect()
+    check(got, brute(rows, {i for i, _ in rows if i >= 10_000}), 0.95)
+    assert len(got) == 300
