@@ -6,12 +6,13 @@ of their five-word shingles: the sum of the lesser counts over the sum of the gr
 1. Anchors. A window as similar as ``similarity`` to an item has at least N * 2s / (1 + s) of its N shingles in common
    with it, so only stretches of a document with that many of the item's shingles can hold one. A broadcast set of the
    items' shingle hashes (size checked) finds them inside each document's array, without exploding documents.
-2. Windows. Every start at which enough shingles lie in the window is a candidate window of the item's length. Both
-   bounds above are necessary conditions, so nothing is lost.
-3. SimHash. A 64-bit fingerprint of each candidate window, from words and shingles weighed by count, is looked up in a
-   multi-index of the items of that length: radius + 1 blocks of bits, of which one must be equal if at most
-   ``radius`` bits differ. Blocks guarantee all fingerprints within the radius.
-4. Verification by exact weighted-shingle similarity of the texts' words.
+2. Windows. Of the item-sized windows that hold so many, the first of the most similar is found in one sweep over the
+   item's shingles in the document (``swept``): each counts in an interval of starts, and sums of intervals are exact
+   weighted similarities. Both bounds are necessary conditions, so nothing is lost, and the work grows with the shingles
+   in common, not with their square.
+3. SimHash. The 64-bit fingerprint of that window is looked up in a multi-index of the items: radius + 1 blocks of bits,
+   of which one must be equal if at most ``radius`` bits differ. Blocks guarantee all fingerprints within the radius.
+4. Verification: the exact weighted-shingle similarity of the window reaches ``similarity``.
 
 A document of fewer words than the item is one window, the whole of it. Such documents, items of over 32,767 shingles, and
 items and documents with a shingle more than once (one that differs and weighs much turns more bits than the radius)
@@ -72,11 +73,6 @@ def first_equal(a: str, b: str, radius: int) -> Column:
     return F.expr("coalesce(" + ", ".join(f"if({v} = 0, {i}, NULL)" for i, v in enumerate(block_values(f"({a} ^ {b})", radius))) + ")")
 
 
-def common(a: Column, b: Column) -> Column:
-    """Sum of the lesser counts of two bags."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
-
-
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(_item, item_id, h, n, plain, fp, pass) of items that have a shingle; plain: none of them twice, and no more than a counter holds."""
     items = benchmark.select(F.col(item_col).alias("item_id"), shingles(F.col(text_col)).alias("h")).withColumn("n", F.size("h"))
@@ -99,7 +95,7 @@ def swept(hits: DataFrame) -> DataFrame:
     # ends sort before beginnings at the same start, so a sum is never too great in between
     top = f"""aggregate({steps}, named_struct('run', 0, 'best', 0, 'start', 0), (t, s) -> named_struct(
         'run', t.run + s.d, 'best', greatest(t.best, t.run + s.d), 'start', if(t.run + s.d > t.best, s.a, t.start)))"""
-    return hits.withColumn("top", F.expr(top)).select("_row", "item_id", "n", "w", "top.best", "top.start")
+    return hits.withColumn("top", F.expr(top)).select("_row", "_item", "item_id", "n", "w", "exact", "top.best", "top.start")
 
 
 def one_pass(docs: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
@@ -118,26 +114,17 @@ def one_pass(docs: DataFrame, items: DataFrame, similarity: float, radius: int)
     hits = materialize(hits.withColumn("need", F.greatest(need, F.lit(1))).filter("size(e) >= need"), "hits")
     exact = "m < n OR NOT plain OR NOT once"
     score = F.col("best") / (F.col("n") + F.col("w") - F.col("best"))
-    whole = swept(hits.filter(exact)).withColumn("similarity", score).filter(F.col("similarity") >= similarity)
-    whole = whole.join(found.select("_row", "doc_id"), "_row").select("_row", "doc_id", "item_id", "n", "w", "start", "similarity")
-    # need hits within n places, first the j-th: the window starts between (last - n + 1) and the first
-    hits = hits.filter(f"NOT ({exact})").withColumn("at", F.expr("sort_array(transform(e, v -> v.at))"))
-    starts = F.expr("""array_distinct(flatten(transform(sequence(0, size(at) - need), j ->
-        CASE WHEN at[j + need - 1] - at[j] < n AND greatest(0, at[j + need - 1] - n + 1) <= least(at[j], m - n)
-        THEN sequence(greatest(0, at[j + need - 1] - n + 1), least(at[j], m - n)) ELSE cast(array() AS array<int>) END)))""")
-    hits = hits.select("_row", "n", starts.alias("starts")).filter("size(starts) > 0")
-    windows = hits.join(found, "_row").select("_row", "doc_id", "n", "h", F.explode("starts").alias("start"))
-    windows = windows.select("_row", "doc_id", "n", "start", F.expr("slice(h, start + 1, n)").alias("w")).dropDuplicates(["_row", "n", "start"])
-    windows = materialize(windows.withColumn("fp", fingerprint("w", "n")), "windows")
-    index = items.filter("plain").select("item_id", "n", "fp", "h", F.explode(blocks("fp", radius)).alias("b")).select("item_id", "n", F.col("fp").alias("item_fp"), F.col("h").alias("item_h"), "b.*")
-    probe = windows.select("*", F.explode(blocks("fp", radius)).alias("b")).select("_row", "doc_id", "n", "start", "w", "fp", "b.*")
-    near = probe.join(F.broadcast(index), ["n", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    likely = swept(hits.withColumn("exact", F.expr(exact))).withColumn("similarity", score).filter(F.col("similarity") >= similarity)
+    likely = materialize(likely.join(found.select("_row", "doc_id"), "_row").select("_row", "doc_id", "item_id", "_item", "n", "w", "start", "similarity", "exact"), "likely")
+    cut = likely.filter("NOT exact").join(found.select("_row", "h"), "_row").withColumn("h", F.expr("slice(h, start + 1, n)"))
+    cut = materialize(cut.withColumn("fp", fingerprint("h", "n")).drop("h"), "windows")
+    index = items.filter("plain").select("_item", "n", F.col("fp").alias("item_fp"), F.explode(blocks("fp", radius)).alias("b")).select("_item", "n", "item_fp", "b.*")
+    probe = cut.select("*", F.explode(blocks("fp", radius)).alias("b")).select("*", "b.*").drop("b")
+    near = probe.join(F.broadcast(index), ["_item", "n", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     # a pair that agrees in several blocks is taken in the first of them
     near = near.filter(F.col("block") == first_equal("fp", "item_fp", radius))
-    # the array of one binds the sum, which would else be made anew wherever it is used
-    score = F.transform(F.array(common(F.col("item_h"), F.col("w"))), lambda c: c / (F.col("n") * 2 - c))[0]
-    both = near.withColumn("similarity", score).filter(F.col("similarity") >= similarity)
-    both = both.select("_row", "doc_id", "item_id", "n", F.col("n").alias("w"), "start", "similarity").unionByName(whole)
+    columns = ["_row", "doc_id", "item_id", "n", "w", "start", "similarity"]
+    both = near.select(columns).unionByName(likely.filter("exact").select(columns))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("best")
     out = both.groupBy("_row", "doc_id", "item_id", "n", "w").agg(best)
     return out.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.s")).alias("start_word"), (F.col("w") + SHINGLE - 1).alias("n_words"))

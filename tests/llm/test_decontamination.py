@@ -132,3 +132,19 @@ def test_repeated_shingles(spark, docs):
     rows = [(k, "before it " + item(k) + " ." * 14) for k in range(12)] + [(k, item(k)[: -len(f" i{k}w115") * 10] + " -" * 12) for k in range(12, 16)]
     got = found(spark, docs, rows, items)
     assert got == brute(rows, items) and {i for i, *_ in got} >= set(range(12))
+
+
+@pytest.mark.parametrize("n", [2_000, 30_000])
+def test_long_items_take_seconds(spark, docs, n):
+    """An item of n words word for word in three times as many, with a word changed, and with a fifth of it gone."""
+    import time
+
+    w = [f"w{i}" for i in range(3 * n)]
+    changed = w[:]
+    changed[n + n // 2] = "other"
+    rows = [(1, " ".join(w)), (2, " ".join(changed)), (3, " ".join(w[: n + 2 * n // 3] + w[n + n // 2 + 2 * n // 3 :]))]
+    before = time.time()
+    got = found(spark, docs, rows, [(1, " ".join(w[n : 2 * n]))])
+    assert time.time() - before < 60
+    m = n - 4
+    assert got == Counter({(1, 1, 1.0, n): 1, (2, 1, round((m - 5) / (m + 5), 9), n): 1})
