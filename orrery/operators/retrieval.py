@@ -272,22 +272,106 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (n == 0) | n.isNull(), 0.0).otherwise(dot / n)
 
 
+#: Pivots of a similarity join at most, of so many times the rows; cells of more rows than a block are split.
+PIVOTS, DRAWN = 1024, 4
+
+
+def unit_rows(vecs: pd.Series):
+    """(unit vectors, whether each has a direction): zero vectors and those with infinite components have none."""
+    import numpy as np
+
+    m = np.array([np.asarray(v, np.float64) for v in vecs])
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        u = m / np.sqrt((m * m).sum(1))[:, None]
+    sound = np.isfinite(u).all(1)
+    return np.where(sound[:, None], u, 0.0), sound
+
+
+def spread_out(u, n: int):
+    """``n`` of the unit vectors, each the farthest from those before it: so every dense region has one."""
+    import numpy as np
+
+    near, at = u @ u[0], [0]
+    while len(at) < min(n, len(u)) and near.min() < 1 - 1e-9:
+        at.append(int(near.argmin()))
+        near = np.maximum(near, u @ u[at[-1]])
+    return u[at]
+
+
+def celled(rows: DataFrame, id_col: str, vec_col: str, pivots: dict) -> DataFrame:
+    """``rows`` with their length ``d``, the ``cell`` of the nearest pivot (of ``pivots``: unit vectors by length) and the
+    ``angle`` to it; without a direction or a pivot they are of cell -1, which is near everything."""
+    import numpy as np
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sizes = b[vec_col].map(len)
+            for d in sizes.unique():
+                part = b[sizes == d].assign(d=int(d), cell=-1, angle=0.0)
+                if d in pivots:
+                    u, sound = unit_rows(part[vec_col])
+                    s = u @ pivots[d].T
+                    best = s.argmax(1)
+                    part["cell"] = np.where(sound, best, -1)
+                    part["angle"] = np.where(sound, np.arccos(np.clip(s[np.arange(len(s)), best], -1, 1)), 0.0)
+                yield part
+
+    t = dict(rows.dtypes)
+    return rows.select(id_col, vec_col).mapInPandas(run, f"{id_col} {t[id_col]}, {vec_col} {t[vec_col]}, d int, cell int, angle double")
+
+
+def near_cells(left: pd.DataFrame, right: pd.DataFrame, pivots: dict, least: float) -> pd.DataFrame:
+    """(d, a, b, p, q) of cells (d, cell, radius, splits) that may hold a pair of cosine ``least``: the angle of their pivots
+    less both radii, which no pair's angle is below, is no greater than that cosine's."""
+    import numpy as np
+
+    out = []
+    limit = np.arccos(np.clip(least, -1, 1)) + 1e-6
+    for d in sorted(set(left.d) & set(right.d)):
+        a, b = left[left.d == d], right[right.d == d]
+        gap = np.zeros((len(a), len(b)))
+        if d in pivots:
+            p = np.vstack([pivots[d], np.zeros(pivots[d].shape[1])])  # cell -1 is the last row
+            gap = np.arccos(np.clip(p[a.cell] @ p[b.cell].T, -1, 1)) - a.radius.to_numpy()[:, None] - b.radius.to_numpy()[None, :]
+            gap[a.cell.to_numpy() < 0, :] = 0
+            gap[:, b.cell.to_numpy() < 0] = 0
+        i, j = np.nonzero(gap <= limit)
+        out.append(pd.DataFrame({"d": int(d), "a": a.cell.to_numpy()[i], "b": b.cell.to_numpy()[j], "p": a.splits.to_numpy()[i], "q": b.splits.to_numpy()[j]}))
+    return pd.concat(out) if out else pd.DataFrame({"d": [], "a": [], "b": [], "p": [], "q": []})
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, least: float, top: int | None = None, block: int = 4096) -> DataFrame:
     """(a, b, score) of all pairs of ``left`` and ``right`` (id, vec) of one length with a cosine of ``least`` or more, a <> b.
 
     With ``top`` only the best so many of each left row, ties to the smaller id. Vectors that are null, empty or hold
-    nulls take no part; a zero vector has cosine 0. Rows of either side are dealt to blocks of about ``block`` rows, each
-    pair of blocks is one task with matrix products of slices: no side is broadcast, a task's memory doesn't grow with
-    the tables, and no pair below the threshold, nor beyond the best ``top`` of a task, leaves it.
+    nulls take no part; a zero vector has cosine 0. Rows of either side are dealt to the cells of their nearest pivots,
+    which are the farthest apart of some rows by hash, PIVOTS at most, and large cells to splits of about ``block`` rows. Only cells meet that
+    may hold such a pair by the triangle inequality of angles, and a row is copied for these alone. Each meeting is one
+    task with matrix products of slices: no side is broadcast, a task's memory doesn't grow with the tables, and no pair
+    below the threshold, nor beyond the best ``top`` of a task, leaves it.
     """
     import numpy as np
 
+    from orrery.functions.durable import written
+
     fine = lambda df: df.filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).filter(~F.exists("vec", lambda x: x.isNull()))
     left, right = fine(left.select("id", "vec")), fine(right.select("id", "vec"))
-    p, q = (max(1, -(-df.count() // block)) for df in (left, right))
-    x = left.select("id", "vec", F.size("vec").alias("d"), F.pmod(F.xxhash64("id"), F.lit(p)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("j"))
+    n = max(left.count(), right.count())
+    wanted = 0 if least <= -1 else min(PIVOTS, -(-n // block))  # where all pairs pass, one cell is as good as many
+    drawn = left.select("vec").unionByName(right.select("vec")).orderBy(F.xxhash64("vec"), "vec").limit(DRAWN * wanted).toPandas() if wanted > 1 else pd.DataFrame({"vec": []})
+    pivots = {}
+    for d, part in drawn.groupby(drawn.vec.map(len)):
+        u, sound = unit_rows(part.vec)
+        if sound.any():
+            pivots[int(d)] = spread_out(u[sound], wanted)
     right = right.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"))  # new columns, or both sides of one table would be mixed up
-    y = right.select("rid", "rvec", F.size("rvec").alias("d"), F.pmod(F.xxhash64("rid"), F.lit(q)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("i"))
+    x, y = written(celled(left, "id", "vec", pivots), "cells"), written(celled(right, "rid", "rvec", pivots), "cells")
+    cells = lambda df: df.groupBy("d", "cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("splits")).toPandas()  # noqa: E731  (a row for each cell)
+    met = near_cells(cells(x), cells(y), pivots, least)
+    met = left.sparkSession.createDataFrame([tuple(int(v) for v in r) for r in met.itertuples(index=False)], "d int, a int, b int, p int, q int")
+    # every split of a cell meets every split of the other
+    x = x.withColumnRenamed("cell", "a").join(met, ["d", "a"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).select("id", "vec", "d", "a", "b", "i", "j")
+    y = y.withColumnRenamed("cell", "b").join(met, ["d", "b"]).withColumn("j", F.pmod(F.xxhash64("rid"), F.col("q")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("rid", "rvec", "d", "a", "b", "i", "j")
     kind, other = dict(left.dtypes)["id"], dict(right.dtypes)["rid"]
 
     def compare(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -310,7 +394,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, top: int | No
                 out.append(pd.DataFrame({"a": a_ids[at + a], "b": b_ids[b], "score": s[a, b]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "score": []})
 
-    keys = ["d", "i", "j"]
+    keys = ["d", "a", "b", "i", "j"]
     pairs = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(compare, f"a {kind}, b {other}, score double")
     if top is None:
         return pairs

@@ -97,3 +97,39 @@ def cohort_stats(spark, d):
 SELECT * FROM (SELECT DISTINCT task FROM runs) LEFT JOIN (PIVOT c ON cohort USING max(cell) GROUP BY task) USING (task)""")
 def cohort_task_matrix(spark, d):
     return cohorts.cohort_matrix(runs(spark, d))
+
+
+#: Pairs of old and new code by language, and what is to be found out about them.
+CHANGES = [
+    ("typescript", "const u = 'http://a.b';", "const u = 'http://a.c';", None),
+    ("typescript", "f(a, b); // note", "f(a,  b)", "formatting"),
+    ("typescript", "x = [1, 2,]; /* old */", "x = [1, 2]", "formatting"),
+    ("typescript", "import { a } from 'x';\nimport { b } from 'y';\ngo()", "import { b } from 'y';\nimport { a } from 'x';\ngo()", "imports"),
+    ("javascript", "import { a } from 'x'; go()", "import { a } from 'x'; stop()", None),
+    ("javascript", "s = `/* ${a} */`", "s = `/* ${b} */`", None),
+    ("python", "x = '# no comment'", "x = '# another'", None),
+    ("python", "x = 1  # one", "x = 1  # uno", "formatting"),
+    ("python", "import os\nimport re\nrun()", "import re\nimport os\nrun()", "imports"),
+    ("go", 'a := "//x" // y', 'a := "//x"', "formatting"),
+    ("java", "int a = 1;", "int a = 1", None),
+    ("rust", "use a::b;\nuse c::d;", "use c::d;\nuse a::b;", "imports"),
+    (None, "", "x", None),
+]
+
+
+def _literal(v):
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+@query("WITH c(k, language, old, new, reason) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(_literal, c))})" for i, c in enumerate(CHANGES)) + f""")
+SELECT p_partkey AS id, language, CASE WHEN old = '' THEN NULL WHEN p_partkey % 3 = 0 AND k <> 12 THEN CASE WHEN reason IS NULL OR k IN (3, 8, 11) THEN reason ELSE 'formatting' END ELSE reason END AS reason FROM part JOIN c ON p_partkey % {len(CHANGES)} = k""")
+def drift_noise_by_language(spark, d):
+    """Parts as changes of code in six languages, of which a third have a blank line more on either side."""
+    from orrery.operators import noise
+
+    forms = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("language", "old", "new"), c, strict=False)]) for c in CHANGES])
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(k.alias("id"), F.element_at(forms, (k % len(CHANGES) + 1).cast("int")).alias("c")).select("id", "c.*")
+    blank = (F.col("id") % 3 == 0) & (F.length("old") > 0)
+    rows = rows.withColumn("old", F.when(blank, F.concat(F.lit("\n\n"), "old")).otherwise(F.col("old"))).withColumn("new", F.when(blank, F.concat("new", F.lit("\n"))).otherwise(F.col("new")))
+    return noise.noise(rows).select("id", "language", "reason")
