@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from orrery.plans import build_queries, derivation_queries, graph_queries, ingest_queries, knowledge_queries, lookup_queries, stat_queries, text_queries  # noqa: F401
+from orrery.plans import architecture_queries, build_queries, derivation_queries, graph_queries, ingest_queries, knowledge_queries, lookup_queries, stat_queries, text_queries  # noqa: F401
 from orrery.plans.catalog import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
