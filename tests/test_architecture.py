@@ -27,7 +27,7 @@ def test_stages(spark):
     two = got["stage-2"]
     assert (two.base, two.copies_from, two.ports, two.volumes, two.environment) == ("deps", ["deps", "nginx:1"], ["443", "80/tcp"], ["/d"], {})
     final = got["final"]
-    assert (final.role, final.index, final.copies_from, final.command, final.entrypoint, final.workdir) == ("runtime", 2, ["stage-2"], "serve --fast", '["/run"]', None)
+    assert (final.role, final["index"], final.copies_from, final.command, final.entrypoint, final.workdir) == ("runtime", 2, ["stage-2"], "serve --fast", '["/run"]', None)
     assert {r.name: r.role for r in a.build_stages(rows, ["deps"]).collect()} == {"deps": "runtime", "stage-2": "build", "final": "build"}
 
 
