@@ -56,7 +56,7 @@ def plain(spark, at, rows):
     from orrery.llm.simhash_dedup import fingerprint
     from orrery.llm.toxicity import fit
 
-    from test_decontamination import brute_cut
+    from test_decontamination import brute
     from test_mixing import targets, words
 
     read = lambda t: spark.read.parquet(f"{at}/{t}.parquet")
@@ -81,7 +81,7 @@ def plain(spark, at, rows):
             least[root(i)] = (key, r)
     rows = [r for _, r in least.values()]
     items = [(r.item_id, r.text) for r in read("benchmark").collect()]
-    bad = {i for i, *_ in brute_cut([(k, r[1]) for k, r in enumerate(rows)], items)}
+    bad = {i for i, *_ in brute([(k, r[1]) for k, r in enumerate(rows)], items)}
     rows = [r for k, r in enumerate(rows) if k not in bad]
     sizes = Counter()
     for _, t, _, s in rows:
