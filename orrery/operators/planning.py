@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.durable import written
 from orrery.functions.texts import excerpt, valid_iso
 
 # --- budgets and order ------------------------------------------------------------------------------------------------
@@ -261,6 +262,18 @@ def question_context(nodes: DataFrame, hyperedges: DataFrame, question: str) ->
     return found.groupBy("id").agg(F.min(F.struct(*[c for c in hyperedges.columns if c != "id"])).alias("_h")).select("id", "_h.*"), mode
 
 
+def retrieved(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame, question: str, budget: int = 20, depth: int = 2) -> tuple[DataFrame, DataFrame, str | None]:
+    """(nodes, hyperedges, mode) for a question: the nodes (id, rank, depth, weight) that its words name and those around
+    them, ranked and cut at ``budget``, the hyperedges beside them (``question_context``), and rag-only if nodes are few."""
+    from orrery.operators.graph import question_subgraph
+
+    found = question_subgraph(nodes, edges, question, budget, depth)
+    order = Window.orderBy("tier", F.desc("weight"), "id")  # ``budget`` rows at most
+    ranked = written(found.select("id", F.row_number().over(order).alias("rank"), "depth", "weight"), "retrieved")
+    near, mode = question_context(ranked, hyperedges, question)
+    return ranked, near, mode
+
+
 def citations(chunks: DataFrame, nodes: DataFrame, debts: DataFrame, hyperedges: DataFrame, lines: DataFrame) -> DataFrame:
     """(place, path, first, last, excerpt, node, similarity): chunks by rank, then nodes, debts and hyperedges, in that order.
 

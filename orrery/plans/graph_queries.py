@@ -439,3 +439,25 @@ def incremental_merge(spark, d):
     e = edges(spark, d).filter("relation = 'calls'").select("source", "target")
     merged_nodes, merged_edges = g.merge_incremental(n, e, fresh, spark.createDataFrame([("supplier:1", "supplier:3")], "source string, target string"), changed)
     return merged_edges.select(F.lit("edge").alias("what"), F.col("source").alias("a"), F.col("target").alias("b")).unionByName(merged_nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("file").alias("b")))
+
+
+ASKED = "flows of 24"
+
+
+@query(f"""{FLOW}, {NATIONS}, seeds AS (SELECT id, (contains(lower(label), '24')::INT + contains(lower(id), '24')::INT * 0.5)::DOUBLE AS weight FROM nat WHERE contains(lower(label), '24') OR contains(lower(id), '24')),
+walk(id, depth) AS (SELECT id, 0 FROM seeds UNION SELECT CASE WHEN f.source = walk.id THEN f.target ELSE f.source END, depth + 1 FROM walk JOIN flow f ON f.source = walk.id OR f.target = walk.id WHERE depth < 2),
+near AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id),
+r AS (SELECT n.id, n.depth, coalesce(s.weight, 1.0) AS weight, row_number() OVER (ORDER BY s.id IS NULL, coalesce(s.weight, 1.0) DESC, n.id) AS rank FROM near n LEFT JOIN seeds s USING (id)),
+k AS (SELECT * FROM r WHERE rank <= 12), h AS (SELECT 'h:' || n_regionkey AS id, list('nation:' || n_nationkey) AS members FROM nation GROUP BY n_regionkey)
+SELECT 'node' AS what, id, rank::INT AS rank, depth::INT AS depth, weight FROM k UNION ALL
+SELECT 'hyperedge', h.id, NULL, NULL, NULL FROM h WHERE EXISTS (SELECT 1 FROM k WHERE rank <= 5 AND list_contains(members, k.id)) UNION ALL
+SELECT 'mode', CASE WHEN (SELECT count(*) FROM k) < 3 THEN 'rag-only' ELSE 'graph' END, NULL, NULL, NULL""")
+def question_retrieval(spark, d):
+    """What is retrieved for a question that names one nation: it, what is two flows around it, and the regions beside."""
+    from orrery.operators import planning
+
+    regions = region_of(spark, d).groupBy("community").agg(F.collect_list("id").alias("nodes"))
+    hyper = regions.select(F.concat(F.lit("h:"), F.col("community").cast("string")).alias("id"), F.concat(F.lit("region "), F.col("community").cast("string")).alias("label"), "nodes")
+    found, near, mode = planning.retrieved(nation_nodes(spark, d), flow(spark, d).withColumn("score", F.lit(1.0)), hyper, ASKED, budget=12)
+    rows = found.select(F.lit("node").alias("what"), "id", "rank", "depth", "weight")
+    return rows.unionByName(near.select(F.lit("hyperedge").alias("what"), "id"), allowMissingColumns=True).unionByName(one(spark, mode or "graph").select(F.lit("mode").alias("what"), "id"), allowMissingColumns=True)
