@@ -121,18 +121,28 @@ def bucket(node: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
 
 
-def store_adjacency(edges: DataFrame, path: str, buckets: int = 16) -> None:
+#: Edges of a bucket, about, buckets at least, and ids of a frontier that are handed to the scan at most.
+PER_BUCKET, FEWEST, HANDED = 5_000_000, 16, 1000
+
+
+def store_adjacency(edges: DataFrame, path: str, buckets: int | None = None) -> None:
     """Write ``edges`` twice, by source and by target: a folder for each relation and bucket of the node they start from.
 
-    A hop reads the buckets of its frontier, so a large graph wants as many as leave some hundred megabytes in each.
+    A hop reads the buckets of its frontier; there are as many as leave about PER_BUCKET edges in each, a power of two.
     """
+    if buckets is None:
+        buckets = FEWEST
+        n = edges.count()
+        while buckets * PER_BUCKET < n:
+            buckets *= 2
     for direction in ("downstream", "upstream"):
         rows = adjacency(edges, direction, "relation").withColumn("bucket", bucket(F.col("at"), buckets))
         rows.repartition("relation", "bucket").sortWithinPartitions("relation", "bucket", "at").write.partitionBy("relation", "bucket").parquet(f"{path}/{direction}-{buckets}")
 
 
 def stored_hops(spark: SparkSession, path: str, direction: str, relations: list[str] | None = None, least: float | None = None) -> Callable[[DataFrame], DataFrame]:
-    """One hop over a stored adjacency: reads the frontier's buckets only, whose numbers are all that the driver sees."""
+    """One hop over a stored adjacency: reads the frontier's buckets only, and of these, whose files are sorted by node, the
+    row groups that may hold one of its ids where they are HANDED at most. Bucket numbers and these ids come to the driver."""
     fs, at = file_system(spark, path)
     folders = {s.getPath().getName().rpartition("-")[0]: s.getPath().getName() for s in fs.listStatus(at)}
 
@@ -141,8 +151,10 @@ def stored_hops(spark: SparkSession, path: str, direction: str, relations: list[
         for d in ("downstream", "upstream") if direction == "both" else (direction,):
             buckets = int(folders[d].rpartition("-")[2])
             wanted = [r[0] for r in frontier.select(bucket(F.col("id"), buckets)).distinct().collect()]
+            few = [r[0] for r in frontier.select("id").limit(HANDED + 1).collect()]
             kind = dict(frontier.dtypes)["id"]
             rows = spark.read.schema(f"at {kind}, next {kind}, score double, relation string, bucket int").parquet(f"{path}/{folders[d]}").filter(F.col("bucket").isin(wanted))
+            rows = rows.filter(F.col("at").isin(few)) if len(few) <= HANDED else rows
             rows = rows.filter(F.col("relation").isin(relations)) if relations else rows
             sides.append(rows.filter(F.col("score") >= least) if least is not None else rows)
         every = sides[0].unionByName(sides[1]) if len(sides) > 1 else sides[0]

@@ -59,29 +59,40 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
     return rows.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "chunk_id", "tf", "dl")
 
 
-#: Buckets of a stored index: a question reads those of its terms.
-BUCKETS = 32
+#: Buckets of a stored index at least, chunks for each at most, and terms that are handed to the scan at most.
+BUCKETS, PER_BUCKET, HANDED = 32, 1_000_000, 1000
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def store_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text") -> None:
-    """Write the postings of ``chunks`` by bucket of the term, and beside them one row (n, avgdl) on all chunks, those without a token too."""
-    rows = postings(chunks, id_col, text_col).withColumn("bucket", bucket(F.col("term")))
-    rows.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    """Write the postings of ``chunks`` by bucket of the term, and beside them one row (n, avgdl) on all chunks, those without
+    a token too. There are buckets for the number of chunks, a power of two."""
+    n, buckets = chunks.count(), BUCKETS
+    while buckets * PER_BUCKET < n:
+        buckets *= 2
+    rows = postings(chunks, id_col, text_col).withColumn("bucket", bucket(F.col("term"), buckets))
+    rows.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings-{buckets}")
     spark = chunks.sparkSession
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))
-    tokens = spark.read.parquet(f"{path}/postings").agg(F.sum("tf").alias("tokens"))
-    n.join(F.broadcast(tokens)).select("n", (F.coalesce("tokens", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl")).write.parquet(f"{path}/stats")
+    tokens = spark.read.parquet(f"{path}/postings-{buckets}").agg(F.sum("tf").alias("tokens"))
+    tokens.select(F.lit(n).cast("long").alias("n"), (F.coalesce("tokens", F.lit(0)) / max(n, 1)).alias("avgdl")).write.parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None) -> DataFrame:
-    """The stored postings, of the buckets of ``terms`` (term) only if given: at most BUCKETS numbers come to the driver."""
-    rows = spark.read.parquet(f"{path}/postings")
+    """The stored postings, if ``terms`` (term) are given those of their buckets only, and of these, whose files are sorted by
+    term, the row groups that may hold one of up to HANDED terms. Bucket numbers and these terms come to the driver."""
+    from orrery.functions.durable import file_system
+
+    fs, at = file_system(spark, path)
+    folder = next(x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().startswith("postings-"))
+    rows = spark.read.parquet(f"{path}/{folder}")
     if terms is not None:
-        rows = rows.filter(F.col("bucket").isin([r[0] for r in terms.select(bucket(F.lower("term"))).distinct().collect()]))
+        low = terms.select(F.lower("term").alias("t")).distinct()
+        rows = rows.filter(F.col("bucket").isin([r[0] for r in low.select(bucket(F.col("t"), int(folder.rpartition("-")[2]))).distinct().collect()]))
+        few = [r[0] for r in low.limit(HANDED + 1).collect()]
+        rows = rows.filter(F.col("term").isin(few)) if len(few) <= HANDED else rows
     return rows.select("term", "chunk_id", "tf", "dl")
 
 
