@@ -30,7 +30,12 @@ def call_sites(spark, d):
     return c.call_sites(files)
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey AS k, lower(p_type) AS folder, replace(p_name, ' ', '_') AS b FROM part),
+f AS (SELECT DISTINCT 'src/' || folder || '/' || b || CASE k % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' ELSE '.tsx' END AS path FROM p),
+i AS (SELECT k % 8 AS form, 'src/' || folder || '/main.ts' AS file, ['./' || b, '../economy/' || b || '.js', '@app/promo/' || b, 'node:fs', 'react', './x.json', '../../../' || b, 'standard/' || b][k % 8 + 1] AS specifier,
+CASE k % 8 WHEN 0 THEN 'src/' || folder || '/' || b WHEN 1 THEN 'src/economy/' || b WHEN 2 THEN 'src/promo/' || b WHEN 7 THEN 'src/standard/' || b END AS loc FROM p),
+r AS (SELECT *, CASE WHEN loc || '.ts' IN (SELECT path FROM f) THEN loc || '.ts' WHEN loc || '.tsx' IN (SELECT path FROM f) THEN loc || '.tsx' WHEN form <> 1 AND loc || '/index.ts' IN (SELECT path FROM f) THEN loc || '/index.ts' END AS resolved FROM i)
+SELECT file, specifier, resolved, CASE WHEN resolved IS NOT NULL THEN CASE form WHEN 2 THEN 'paths-alias' WHEN 7 THEN 'absolute' ELSE 'relative' END WHEN form IN (3, 4, 5, 7) THEN 'external' WHEN form = 2 THEN 'external' ELSE 'unresolved' END AS kind FROM r""")
 def import_resolution(spark, d):
     """Parts as files and imports of a project."""
     t = table(spark, d, "part")
