@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -298,12 +299,33 @@ def citations(chunks: DataFrame, nodes: DataFrame, debts: DataFrame, hyperedges:
 
 def proportion_interval(rows: DataFrame, column: str, key: str, rounds: int = 200, seed: int = 7, alpha: float = 0.05) -> DataFrame:
     """(low, high, samples): percentile interval of the mean of a column of 0 and 1 over Poisson resamples, null for fewer
-    than three rows. ``key`` tells rows apart: a row's weight in a round is a hash of both, so reruns agree."""
-    u = F.pmod(F.xxhash64(key, "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
-    known = rows.filter(F.col(column).isNotNull()).select(F.col(column).cast("int").alias("v"), key)
-    each = known.select("v", key, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("w", sum((u >= s).cast("int") for s in steps))
-    means = each.groupBy("round").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"), F.count(F.lit(1)).alias("n"))
+    than three rows. ``key`` tells rows apart: a row's weight in a round is a hash of both, so reruns agree.
+
+    Every task adds up its rows' weights for all rounds, so what is shuffled is a row for each round and task."""
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    half = lambda at: F.conv(F.substring(hashed, at, 8), 16, 10).cast("long")
+    known = rows.filter(F.col(column).isNotNull()).select(F.col(column).cast("int").alias("v"), half(1).alias("hi"), half(9).alias("lo"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        steps = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563])
+        each = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        weight, good, n = np.zeros(rounds, np.int64), np.zeros(rounds, np.int64), 0
+        for b in batches:
+            h = (b["hi"].to_numpy(np.uint64) << np.uint64(32)) | b["lo"].to_numpy(np.uint64)
+            v = b["v"].to_numpy(np.int64)
+            for at in range(0, len(h), 4096):
+                z = h[at : at + 4096, None] + each[None, :]  # a mixing of 64 bits, modulo their power of two
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(steps, ((z ^ (z >> np.uint64(31))) >> np.uint64(34)) / float(1 << 30), side="right")
+                weight += w.sum(0)
+                good += (w * v[at : at + 4096, None]).sum(0)
+            n += len(h)
+        yield pd.DataFrame({"round": np.arange(rounds), "w": weight, "g": good, "n": n})
+
+    means = known.mapInPandas(run, "round int, w long, g long, n long").groupBy("round").agg(F.try_divide(F.sum("g"), F.sum("w")).alias("m"), F.sum("n").alias("n"))
     low, high = math.floor(alpha / 2 * rounds), min(rounds - 1, math.ceil((1 - alpha / 2) * rounds) - 1)
     sums = means.agg(F.array_sort(F.collect_list("m")).alias("m"), F.coalesce(F.max("n"), F.lit(0)).alias("samples"))  # a number for each round
     some = F.col("samples") >= 3

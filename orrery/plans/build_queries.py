@@ -330,7 +330,13 @@ def fill_rate(spark, d):
     return p.fill_rate(calls, table(spark, d, "customer").select(F.col("c_custkey").alias("file")))
 
 
-@query()
+@query("""WITH h AS (SELECT (value > 10)::INT AS v, ('0x' || substr(md5('7|' || event_id), 1, 16))::UBIGINT::UHUGEINT AS h FROM events WHERE value IS NOT NULL), n AS (SELECT *, 18446744073709551616::UHUGEINT AS p FROM h),
+a AS (SELECT v, p, r, (h + r * 11400714819323198485::UHUGEINT) % p AS z FROM n, (SELECT unnest(range(1, 201))::UHUGEINT AS r)),
+b AS (SELECT v, p, r, (xor(z, z >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT) % p AS z FROM a), c AS (SELECT v, r, (xor(z, z >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT) % p AS z FROM b),
+u AS (SELECT v, r, (xor(z, z >> 31::UHUGEINT) >> 34::UHUGEINT)::DOUBLE / 1073741824 AS u FROM c),
+w AS (SELECT v, r, len(list_filter([0.36787944117144233::DOUBLE, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563], lambda s: u >= s)) AS w FROM u),
+m AS (SELECT r, sum(w * v) / sum(w) AS m FROM w GROUP BY r), l AS (SELECT list(m ORDER BY m) AS l FROM m)
+SELECT l[6]::DOUBLE AS low, l[195]::DOUBLE AS high, (SELECT count(*) FROM h) AS samples FROM l""")
 def proportion_ci(spark, d):
     return p.proportion_interval(table(spark, d, "events").select("event_id", (F.col("value") > 10).cast("int").alias("good")), "good", "event_id")
 
