@@ -196,16 +196,16 @@ DEEPEST, LEAST, NODES, MOST = 5, 0.65, 200, 1000
 
 
 def traverse(
-    edges: DataFrame, starts: DataFrame, depth: int = 2, direction: str = "upstream", least: float = LEAST, budget: int = NODES, relations: tuple[str, ...] = ("calls",), visited: DataFrame | None = None
+    edges: DataFrame, starts: DataFrame, depth: int = 2, direction: str = "upstream", least: float = LEAST, budget: int | None = NODES, relations: tuple[str, ...] = ("calls",), visited: DataFrame | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """((id, depth, score, reason, path), warnings): who is reached, why and on which way.
+    """((id, depth, score, reason, path), warnings): who is reached, why and on which way; without a budget (None) all of them.
 
     Warnings: depth-clamped beyond DEEPEST, budget-truncated where nodes are left out (the nearest and best scored stay),
     missing-confidence-score where edges have no score (they are not followed), confidence-filtered-all where no edge at
     the starts has the score asked for.
     """
     of = edges.filter(F.col("relation").isin(list(relations)))
-    kept, budget = of.filter(F.col("score") >= least), max(1, min(budget, MOST))
+    kept, budget = of.filter(F.col("score") >= least), None if budget is None else max(1, min(budget, MOST))
     reached = bfs(kept, starts, min(depth, DEEPEST), direction, budget, visited)
     warnings = []
     if depth > DEEPEST:
@@ -217,6 +217,8 @@ def traverse(
     if depth > 0 and first[1] and not first[2]:
         warnings.append("confidence-filtered-all")
     rows = reached.withColumn("reason", F.concat(F.lit("called via "), "parent", F.lit(" -> "), "id")).select("id", "depth", "score", "reason", "path")
+    if budget is None:
+        return rows, warnings
     if reached.limit(budget + 1).count() > budget:
         warnings.append("budget-truncated")
         rows = rows.orderBy("depth", F.desc("score"), "id").limit(budget)
