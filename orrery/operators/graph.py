@@ -122,22 +122,24 @@ def bucket(node: Column, buckets: int) -> Column:
 
 
 #: Edges of a bucket, about, buckets at least, and ids of a frontier that are handed to the scan at most.
-PER_BUCKET, FEWEST, HANDED = 5_000_000, 16, 1000
+PER_BUCKET, FEWEST, HANDED = 2_000_000, 16, 1000
 
 
 def store_adjacency(edges: DataFrame, path: str, buckets: int | None = None) -> None:
     """Write ``edges`` twice, by source and by target: a folder for each relation and bucket of the node they start from.
 
-    A hop reads the buckets of its frontier; there are as many as leave about PER_BUCKET edges in each, a power of two.
+    A hop reads the buckets of its frontier; there are as many as leave about PER_BUCKET edges in each, a power of two. They
+    are dealt to a number of parts that grows with them, which aren't put together again, so what a task sorts is bounded.
     """
     if buckets is None:
         buckets = FEWEST
         n = edges.count()
         while buckets * PER_BUCKET < n:
             buckets *= 2
+    parts = 2 * buckets  # most edges are of a few relations
     for direction in ("downstream", "upstream"):
         rows = adjacency(edges, direction, "relation").withColumn("bucket", bucket(F.col("at"), buckets))
-        rows.repartition("relation", "bucket").sortWithinPartitions("relation", "bucket", "at").write.partitionBy("relation", "bucket").parquet(f"{path}/{direction}-{buckets}")
+        rows.repartition(parts, "relation", "bucket").sortWithinPartitions("relation", "bucket", "at").write.partitionBy("relation", "bucket").parquet(f"{path}/{direction}-{buckets}")
 
 
 def stored_hops(spark: SparkSession, path: str, direction: str, relations: list[str] | None = None, least: float | None = None) -> Callable[[DataFrame], DataFrame]:

@@ -31,18 +31,33 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges as they are stored once for all queries, a folder for each relation, so that filters on it prune."""
     files = [f"{sf_dir}/{t}.parquet" for t in ("nation", "customer", "supplier", "orders", "lineitem")]
-    path = stored(spark, "edges", files, lambda at: derived_edges(spark, sf_dir).write.partitionBy("relation").parquet(at))
+    path = stored(spark, "edges", files, lambda at: store_edges(spark, sf_dir, at))
     return spark.read.parquet(path).select("source", "target", "relation", "n", "confidence", "score")
 
 
+#: Lines that are counted in one task, about.
+PER_TASK = 1_000_000
+
+
+def store_edges(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the edges of each relation on their own, so that no task sorts them by relation, from as many parts as leave
+    about PER_TASK lines in each: a task's memory doesn't grow with the tables."""
+    parts = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // PER_TASK))
+    rows = derived_edges(spark, sf_dir, parts)
+    for relation in ("contains", "calls", "references"):
+        rows.filter(F.col("relation") == relation).drop("relation").write.parquet(f"{path}/relation={relation}")
+
+
 def adjacent(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the stored adjacency of ``edges``."""
     files = [f"{sf_dir}/{t}.parquet" for t in ("nation", "customer", "supplier", "orders", "lineitem")]
     return stored(spark, "adjacency", files, lambda at: store_adjacency(edges(spark, sf_dir), at))
 
 
-def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, target, relation, n, confidence, score): containment, customers calling suppliers, suppliers' parts."""
+def derived_edges(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """(source, target, relation, n, confidence, score): containment, customers calling suppliers, suppliers' parts; with
+    ``parts``, lines are counted in so many, which are not put together again."""
+    dealt = lambda df, *keys: df.repartition(parts, *keys) if parts else df
     t = lambda name: table(spark, sf_dir, name)
     one = F.lit(3).cast("long").alias("n")
     contains = [
@@ -51,9 +66,9 @@ def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("supplier").select(node_id("nation", "s_nationkey").alias("source"), node_id("supplier", "s_suppkey").alias("target"), F.lit("contains").alias("relation"), one),
     ]
     lines = t("lineitem")
-    bought = lines.join(t("orders"), lines.l_orderkey == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    bought = dealt(lines.join(t("orders"), lines.l_orderkey == F.col("o_orderkey")).select("o_custkey", "l_suppkey"), "o_custkey", "l_suppkey").groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     calls = bought.select(node_id("customer", "o_custkey").alias("source"), node_id("supplier", "l_suppkey").alias("target"), F.lit("calls").alias("relation"), "n")
-    made = lines.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    made = dealt(lines.select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
     references = made.select(node_id("supplier", "l_suppkey").alias("source"), node_id("part", "l_partkey").alias("target"), F.lit("references").alias("relation"), "n")
     out = reduce(DataFrame.unionByName, [*contains, calls, references])
     return out.withColumn("confidence", evidence_level(F.col("n"))).withColumn("score", level_score(F.col("confidence")))
