@@ -162,13 +162,19 @@ def matched_entities(queries: DataFrame, entities: DataFrame, top: int = 10) ->
     words = lambda c: F.transform(kb_tokens(c), lambda t: F.lower(t))
     q = queries.filter(low("api") != "").select("query_id", low("api").alias("_q"), F.array_distinct(words(F.col("api"))).alias("_qw"), F.col("kind").alias("_kind"), low("container").alias("_in"))
     e = entities.withColumn("_n", low("name")).withColumn("_f", low("qualified")).withColumn("_l", F.element_at(F.split(low("qualified"), r"\."), -1)).withColumn("_ew", F.array_distinct(F.concat(words(F.col("name")), words(F.col("qualified")))))
-    e = written(e.withColumn("_e", F.monotonically_increasing_id()), "entities")
+    # entities alike in all that a question looks at are equally near to it: of each class its first ``top`` are enough
+    same = ["name", "qualified", "kind", "container"]
+    first = F.row_number().over(Window.partitionBy(*same).orderBy("entity_id", "source_kind"))
+    members = F.collect_list(F.struct(*[c for c in entities.columns if c not in same])).alias("_members")
+    e = e.withColumn("_r", first).filter(F.col("_r") <= top).groupBy(*same, "_n", "_f", "_l", "_ew").agg(members)
+    # what is read back looks small by its file size: hints keep it, and what it is exploded to, from being broadcast
+    e = written(e.withColumn("_e", F.monotonically_increasing_id()), "entities").hint("merge")
     # candidates by key: a name that holds the question, a question that holds a name, and a common word
     names = e.select("_e", F.explode(F.array_distinct(F.array("_n", "_f"))).alias("_text"))
     asked = q.select("query_id", "_q")
     held = containing(names, "_text", asked, "_q").select("_e", "query_id")
     holds = containing(asked, "_q", e.filter(F.length("_n") >= 4).select("_e", "_n"), "_n").select("_e", "query_id")
-    shared = e.select("_e", F.explode("_ew").alias("_w")).join(q.select("query_id", F.explode("_qw").alias("_w")), "_w").select("_e", "query_id")
+    shared = e.select("_e", F.explode("_ew").alias("_w")).hint("merge").join(q.select("query_id", F.explode("_qw").alias("_w")), "_w").select("_e", "query_id")
     fits = (F.col("_kind").isNull() | (F.col("_kind") == F.col("kind"))) & (F.col("_in").isNull() | (F.col("_in") == F.coalesce(low("container"), F.lit(""))))
     pairs = held.unionByName(holds).unionByName(shared).distinct().join(q, "query_id").join(e, "_e").filter(fits)
     exact = (F.col("_n") == F.col("_q")) | (F.col("_f") == F.col("_q")) | (F.col("_l") == F.col("_q"))
@@ -177,12 +183,13 @@ def matched_entities(queries: DataFrame, entities: DataFrame, top: int = 10) ->
     distance = F.when(exact, 0.0).when(part, 1.0).when(common > 0, F.lit(2.0) - common / F.greatest(F.size("_qw"), F.lit(1)))
     rows = pairs.withColumn("distance", distance).filter("distance IS NOT NULL").withColumn("match", F.when(exact, "exact").otherwise("fuzzy"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "entity_id", "source_kind"))
+    rows = rows.withColumn("_m", F.explode("_members")).select(*[c for c in rows.columns if c != "_members"], "_m.*")
     return rows.withColumn("rank", rank).filter(F.col("rank") <= top).drop("_q", "_qw", "_kind", "_in", "_n", "_f", "_l", "_ew", "_e")
 
 
 def with_evidence(entities: DataFrame, chunks: DataFrame, most: int = 500) -> DataFrame:
     """``entities`` (chunk_id, quote) with ``evidence``: the quote, else their chunk's text, cut at ``most``."""
-    texts = chunks.select("chunk_id", F.col("text").alias("_text"))
+    texts = chunks.select("chunk_id", F.left("text", F.lit(most)).alias("_text"))
     return entities.join(texts, "chunk_id", "left").withColumn("evidence", F.left(F.coalesce("quote", "_text", F.lit("")), F.lit(most))).drop("_text")
 
 

@@ -26,7 +26,8 @@ def containing(rows: DataFrame, text: str, asked: DataFrame, needle: str) -> Dat
     pairs = None
     for n in range(1, GRAM + 1):
         mine = wanted.filter(F.col("_n") == n).select("_needle", F.explode(runs(F.col("_needle"), n)).alias("_gram"))
-        held = rows.filter(F.length(text) >= n).withColumn("_gram", F.explode(runs(F.col(text), n)))
+        # exploded rows are many more than their files' size tells: they are never broadcast
+        held = rows.filter(F.length(text) >= n).withColumn("_gram", F.explode(runs(F.col(text), n))).hint("merge")
         often = held.join(mine.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_rows"))
         # a needle with a run that no row has is in none of them
         counted = mine.join(often, "_gram", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_rows", F.lit(0)).alias("k"), "_gram")).alias("_b"))
