@@ -31,12 +31,14 @@ def facts(sources: dict[str, DataFrame]) -> DataFrame:
 
 def elements(of: DataFrame) -> DataFrame:
     """(element, kind, sources, relations): every element of ``facts``; what is only pointed at is external."""
-    told = of.select("element", "kind", F.explode("sources").alias("s"), F.col("relation").isNotNull().cast("int").alias("r"), F.size("sources").alias("n"))
-    own = told.groupBy("element", "kind").agg(F.array_sort(F.collect_set("s")).alias("sources"))
-    counts = of.groupBy("element").agg(F.count("relation").alias("relations"))
-    only = of.filter("target IS NOT NULL").select(F.col("target").alias("element"), F.explode("sources").alias("s")).join(own.select("element"), "element", "left_anti")
-    rest = only.groupBy("element").agg(F.array_sort(F.collect_set("s")).alias("sources")).select("element", F.lit("external").alias("kind"), "sources", F.lit(0).cast("long").alias("relations"))
-    return own.join(counts, "element").select("element", "kind", "sources", "relations").unionByName(rest)
+    # each fact once, as a row for either end: what has none of its own is external
+    end = lambda element, kind, own, r: F.struct(element.alias("element"), kind.alias("kind"), own.alias("own"), r.alias("r"))
+    ends = F.array(end(F.col("element"), F.col("kind"), F.lit(True), F.col("relation").isNotNull().cast("long")), end(F.col("target"), F.lit(None).cast("string"), F.lit(False), F.lit(0).cast("long")))
+    rows = of.select(F.explode(ends).alias("e"), "sources").select("e.*", "sources").filter("element IS NOT NULL")
+    own = F.col("own")
+    out = rows.groupBy("element").agg(F.max("own").alias("own"), F.max("kind").alias("kind"), F.collect_set(F.when(own, F.col("sources"))).alias("said"), F.collect_set(F.when(~own, F.col("sources"))).alias("pointed"), F.sum("r").alias("relations"))
+    sources = F.array_sort(F.array_distinct(F.flatten(F.when(own, F.col("said")).otherwise(F.col("pointed")))))
+    return out.select("element", F.when(own, F.col("kind")).otherwise("external").alias("kind"), sources.alias("sources"), "relations")
 
 
 def views(of: DataFrame, shown: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
