@@ -122,3 +122,25 @@ def test_endpoints_and_times(spark):
         x.valid_iso(F.lit("2024-02-30T00:00:00Z")), x.date_bucket(F.lit("2024-02-29T01:02:03.5Z")), x.han_share(F.lit("数据ab")),
     ).first()
     assert tuple(row) == ("/a/b", "/", ["a", "b"], "users", 2, 9, False, "2024-02-29", 0.5)
+
+
+def test_redaction_looks_at_long_runs_once(spark):
+    import random
+    import re
+    import time
+
+    rng = random.Random(5)
+    bits = ["a", "b", "Z", "9", "_", ".", "-", "+", "@", "://", ":", "/", "?", "&token=", "sk-", "ghp_", "Bearer ", "/home/", "C:\\Users\\", " ", "\n", "12345678", "q" * 9, "é", "="]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(4000)]
+    texts += ["a@b.cc_d@e.ff", "a@b.cc.d@e.ff@g.hh", "1ab2cd://u:p@h x9://u:p@h", "aé://x:y@z", "http://h/?key=1&u://a:b@c d://e:f@g"]
+    got = {r.i: (r.text, r.tags) for r in k.redact_queries(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    for i, text in enumerate(texts):
+        tags = []
+        for tag, pattern in k.REDACTIONS:
+            masked = re.sub(pattern, f"<{tag}>", text, flags=re.ASCII)
+            tags += [tag] if re.search(pattern, text, flags=re.ASCII) else []
+            text = masked
+        assert got[i] == (text, tags), texts[i]
+    long = "x@y u://w " + "a-" * 200_000
+    began = time.time()
+    assert k.redact_queries(spark.createDataFrame([(long,)], "text string")).first().text == long and time.time() - began < 20  # minutes before
