@@ -143,4 +143,4 @@ def test_redaction_looks_at_long_runs_once(spark):
         assert got[i] == (text, tags), texts[i]
     long = "x@y u://w " + "a-" * 200_000
     began = time.time()
-    assert k.redact_queries(spark.createDataFrame([(long,)], "text string")).first().text == long and time.time() - began < 20  # minutes before
+    assert k.redact_queries(spark.createDataFrame([(long,)], "text string")).first().text == long and time.time() - began < 20  # not the square of its length
