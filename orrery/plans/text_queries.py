@@ -84,11 +84,8 @@ def recall_at_k(spark, d):
     """Items that documents quote: does retrieval find one of those documents?"""
     found = merged(spark, d).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
     items = table(spark, d, "benchmark")
-    # a quoting document holds the item's first token run; the check of the whole text follows the equi-join
-    first = F.regexp_extract("text", r"([A-Za-z]{6,})", 1)
-    keyed = items.select("item_id", F.col("text").alias("item"), first.alias("w")).filter("w <> ''")
-    words = docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0)))).alias("w"))
-    quoted = words.join(keyed, "w").filter(F.col("text").contains(F.col("item"))).select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"), "doc_id").distinct()
+    quoted = r.quoting(docs(spark, d), items.select(F.col("item_id").alias("query_id"), "text"))
+    quoted = quoted.withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
     return r.recall_at_k(found, quoted)
 
 
